@@ -10,6 +10,7 @@ from . import url_filter as urls
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .token_files import token_files
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +106,21 @@ SELECT doc_id, text, lang, source, n_chars, n_copies, copy,
 FROM t, unnest(range(n_copies)) AS x(copy)"""
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -143,9 +159,9 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM do
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_decontaminate, op4_poisson_mix, op6_token_files, op8_language_id,
+    return {f.__name__: f for f in (op1_url_filter, op3_decontaminate, op4_poisson_mix, op5_near_dedup, op6_token_files, op8_language_id,
                                          op9_exact_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": op1_sql(), "op3_decontaminate": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_url_filter": op1_sql(), "op3_decontaminate": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
