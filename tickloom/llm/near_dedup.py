@@ -163,53 +163,144 @@ def components(links: DataFrame) -> DataFrame:
                       .union(down.select("b", "m")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs.
+ROUNDS = 2              # of comparing with one leader a band, before all that is still apart is compared
 
-    Sets are the distinct runs of five words, A-Z lower-cased; documents with fewer words
-    have one, all of them; without words or text none, and these are linked with nothing.
-    Rows whose similarity is 0.85 or more are linked, component_id is the smallest doc_id that
-    a row reaches, and kept are the rows that bear it.
 
-    Rows with equal sets are one class from the start. Classes that share a band are compared
-    with the first of the band; classes of a band that are not connected then are compared
-    with one another, so that no link of a shared band is lost. A row is a node of its own,
-    so a repeated doc_id does not link rows; a null doc_id is passed over in the minimum,
-    and where a component has no other, component_id is null and kept true. Further columns
-    are ignored; an empty table gives no rows.
+def fits(x: str, y: str):
+    """Sets of such sizes can be similar."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+
+
+def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of bands that hold more than one component."""
+    own = members.join(roots, F.col("row_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row_id")).drop("node")
+    mixed = stage(own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"))
+    return stage(own.join(mixed, "key", "left_semi"))
+
+
+def links_of_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among members of a band that differ in root, by comparing all such pairs.
+
+    A band's members are dealt into blocks of about GROUP, and each two blocks meet in one
+    group; the pairs are formed inside it, each in the first of the bands that it shares, and
+    only links leave it. Pairs that the group's own links connect already are passed over.
     """
-    spark = docs.sparkSession
-    texts = bucketed(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                     "row_id", partitions(spark))
+    blocks = stage(members.groupBy("key").agg(F.expr(f"cast(count(1) div {GROUP} as int) + 1").alias("blocks")))
+    keys = stage(members.groupBy("row_id").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    dealt = (members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("row_id", "key", "root", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
+    met = (dealt.join(keys, "row_id").join(texts.select("row_id", "text"), "row_id")
+           .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id"))
+
+    def compare(batches):
+        group, rows = None, []
+        for batch in small_batches(batches, "text"):
+            sets = shingle_sets(batch.column("text"))
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "row_id", "root", "own", "keys")]
+            for key, i, j, row, root, own, keys, grams in zip(*cols, sets, strict=True):
+                if (key, i, j) != group:
+                    yield links(group, rows)
+                    group, rows = (key, i, j), []
+                rows.append((row, root, own, frozenset(keys), frozenset(grams.tolist())))
+        yield links(group, rows)
+
+    def links(group, rows):
+        found = [], []
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for k, (b, broot, bown, bkeys, bset) in enumerate(rows):
+            for a, aroot, aown, akeys, aset in rows[:k]:
+                if aroot == broot or (group[1] != group[2] and aown == bown):
+                    continue
+                small, large = sorted((len(aset), len(bset)))
+                if 100 * small < PERCENT * large or min(akeys & bkeys) != group[0] or top(aroot) == top(broot):
+                    continue
+                both = len(aset & bset)
+                if 100 * both >= PERCENT * (small + large - both):
+                    parent[top(broot)] = top(aroot)
+                    found[0].append(min(a, b))
+                    found[1].append(max(a, b))
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+
+    return met.select("key", "i", "j", "row_id", "root", "own", "keys", "text").mapInArrow(compare, "a bigint, b bigint")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, stored so that later joins on it leave the texts in place."""
+    rows = docs.withColumn("row_id", F.monotonically_increasing_id())
+    return bucketed(rows, "row_id", partitions(docs.sparkSession))
+
+
+def rooted(texts: DataFrame) -> DataFrame:
+    """row_id, doc_id, n_shingles and root of each row."""
     sigs = stage(texts.mapInArrow(signatures, "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     full = sigs.filter("n_shingles > 0")
     classes = stage(full.groupBy("d1", "d2").agg(F.min("row_id").alias("rep")))
     firsts = full.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
     placed = firsts.select("row_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
 
-    led = stage(placed.groupBy("key").agg(F.min(F.struct("row_id", "n")).alias("lead"), F.count(F.lit(1)).alias("c"))
-                .filter("c > 1").select("key", F.col("lead.row_id").alias("a"), F.col("lead.n").alias("an")))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
-    pairs = stage(placed.join(led, "key").filter((F.col("a") != F.col("row_id")) & fits(F.col("n"), F.col("an")))
-                  .select("a", F.col("row_id").alias("b")).distinct())
-    links = stage(verified(pairs, texts))
-    roots = stage(components(links))
-
-    own = placed.join(led.select("key"), "key", "left_semi").join(roots, F.col("row_id") == F.col("node"), "left")
-    own = own.select("key", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
-    mixed = stage(own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"))
-    rest = stage(own.join(mixed, "key", "left_semi"))
-    other = rest.select("key", F.col("row_id").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
-    more = (rest.join(other, "key").filter((F.col("row_id") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn")))
-            .select(F.col("row_id").alias("a"), "b").distinct())
-    more = stage(more.join(pairs, ["a", "b"], "left_anti"))
-    extra = stage(verified(more, texts))
+    # A leader should be near to as many others as possible: the original of many copies shares
+    # more bands with them than they do with one another.
+    sizes = stage(placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    crowded = stage(placed.join(sizes, "key"))
+    weight = crowded.groupBy("row_id").agg(F.sum("c").alias("weight"))
+    members = stage(crowded.join(weight, "row_id").select("key", "row_id", "n", "weight"))
+    tested, links, roots = None, None, None
+    for _ in range(ROUNDS):
+        if roots is not None:
+            members = still_apart(members, roots)
+        led = stage(members.groupBy("key").agg(F.max(F.struct("weight", "row_id", "n")).alias("lead"))
+                    .select("key", F.col("lead.row_id").alias("a"), F.col("lead.n").alias("an")))
+        pairs = (members.join(led, "key").filter((F.col("a") != F.col("row_id")) & fits("n", "an"))
+                 .select("a", F.col("row_id").alias("b")).distinct())
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = verified(pairs, texts)
+        links = stage(found if links is None else links.union(found))
+        tested = pairs if tested is None else tested.union(pairs)
+        roots = stage(components(links))
+        members = stage(members.join(led, "key").filter("row_id != a").select("key", "row_id", "n", "weight"))
+    extra = stage(links_of_rest(still_apart(members, roots), texts))
     if extra.head(1):
         roots = stage(components(links.union(extra)))
 
     rows = (sigs.select("row_id", "doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
             .withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("row_id")))
             .select("row_id", "doc_id", "n_shingles", "rep"))
-    rows = stage(rows.join(roots, F.col("rep") == F.col("node"), "left").select("row_id", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")))
+    return stage(rows.join(roots, F.col("rep") == F.col("node"), "left").select("row_id", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs.
+
+    Sets are the distinct runs of five words, A-Z lower-cased; documents with fewer words
+    have one, all of them; without words or text none, and these are linked with nothing.
+    Rows whose similarity is 0.85 or more are linked, component_id is the smallest doc_id that
+    a row reaches, and kept are the rows that bear it.
+
+    Rows with equal sets are one class from the start. Classes that share a band are compared
+    with the band's leader, its most connected member; after ROUNDS such leaders, all members
+    of a band that are still not connected are compared
+    with one another, so that no link of a shared band is lost. A row is a node of its own,
+    so a repeated doc_id does not link rows; a null doc_id is passed over in the minimum,
+    and where a component has no other, component_id is null and kept true. Further columns
+    are ignored; an empty table gives no rows.
+    """
+    texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = rooted(texts)
     least = stage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that near_duplicates links with a kept one: of each component
+    the row with the smallest doc_id stays (a null one last), of equal ones one row."""
+    texts = numbered(docs.withColumn("_given", F.struct("*")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_given"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
+    kept = stage(rooted(texts.drop("_given")).groupBy("root").agg(first).select("first.row_id"))
+    return texts.join(kept, "row_id", "left_semi").select("_given.*")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,14 +108,14 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Write docs, in ascending doc_id, as token files below path.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: Column | None = None) -> None:
+    """Write docs, in ascending doc_id or the given order, as token files below path.
 
     path/dictionary has one row: the dictionary and its sha256. path/blocks has rows of at
     most BLOCK_DOCS documents or about BLOCK_BYTES: dictionary hash, bytes per id, ids of the
     documents, offset and number of tokens of each, and the frames one after another. So a
     reader finds a document from the small columns and decompresses nothing else. Shards are
-    Spark partitions by range of doc_id; a lost task writes the same again.
+    Spark partitions by range of the order; a lost task writes the same again.
 
     Null text is empty and has the end id alone. A null doc_id comes first; rows with the
     same doc_id stay in one shard, ordered by text. Further columns are not written; an
@@ -157,8 +157,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if ids:
             yield flush()
 
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-     .repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    key = F.col("doc_id") if order is None else order
+    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("_key"))
+     .repartitionByRange(partitions(spark), "_key").sortWithinPartitions("_key", "text").drop("_key")
      .mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
@@ -212,8 +213,8 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     return out.withColumnRenamed("last", last)
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, digest: bool = True) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, digest: bool = True, order: Column | None = None) -> DataFrame:
     """Write docs' token files (below the shared folder if no path is given) and read them back."""
     path = path or shared_dir(docs.sparkSession)
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, order=order)
     return read_tokens(docs.sparkSession, path, digest)
