@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, shared_dir
+from .common import partitions, shared_dir, small_batches
 
 END_ID = 1
-SAMPLE_DOCS, SAMPLE_IDS = 1000, 4096   # the dictionary is trained on at most so many documents, and ids of each
+SAMPLE_DOCS, SAMPLE_IDS = 400, 4096   # the dictionary is trained on at most so many documents, and ids of each
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 PIECE = 1 << 20
 
 BLOCKS = T.StructType([
@@ -31,33 +31,59 @@ BLOCKS = T.StructType([
 
 class Encoder:
     """Ids of texts as little-endian bytes. The tokenizer cuts at ASCII white space and drops
-    it, so what stands between is encoded once and remembered."""
+    it, so what stands between is encoded by itself, and words of letters are remembered in
+    lower case, as the tokenizer lowers them anyway."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.seen: dict[str, bytes] = {}
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[w for piece in pieces(t) for w in piece.split(" ")] if len(t) <= PIECE else None for t in texts]
-        words = set().union(*(s for s in split if s)) - self.seen.keys() if split else set()
-        if len(self.seen) + len(words) > CACHE_WORDS:
-            self.seen.clear()
-            words = set().union(*(s for s in split if s))
-        self.learn(words)
-        get = self.seen.__getitem__
+        get = self.of(set().union(*(s for s in split if s))).__getitem__
         return [b"".join(map(get, s)) if s is not None else b"".join(self.encode(list(pieces(t)))) for s, t in zip(split, texts, strict=True)]
 
-    def learn(self, words) -> None:
-        words = list(words)
-        for i in range(0, len(words), 1 << 14):
-            part = words[i:i + (1 << 14)]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, self.dtype).tobytes()
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word; one letter-only word with a mark behind it is two words."""
+        plain, known, odd = {}, self.words, []
+        for w in words:
+            if w and w < "\u0100" and max(w) < "\u0100":
+                core = w[:-1] if w[-1] in ".,;:!?" and len(w) > 1 else w
+                if core.isalpha() and core[-1] != "\xaa" and core[-1] != "\xba":
+                    plain[w] = core.lower()
+                    continue
+            odd.append(w)
+        new = set(plain.values()) - known.keys()
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(plain.values())
+        self.learn(list(new))
+        marks = {m: self.one([m])[0] for m in {w[-1] for w, c in plain.items() if len(w) > len(c)}}
+        out = {w: known[c] if len(w) == len(c) else known[c] + marks[w[-1]] for w, c in plain.items()}
+        out.update(zip(odd, self.one(odd), strict=True))
+        return out
+
+    def one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def learn(self, words: list[str]) -> None:
+        """Many words in one call; each ends with the one id that ends a word."""
+        for i in range(0, len(words), 2048):
+            part = words[i:i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part) and stop[-1] == len(ids):
+                raw, at = ids.tobytes(), (stop * self.width).tolist()
+                self.words.update(zip(part, (raw[x:y] for x, y in zip([0, *at], at, strict=False)), strict=True))
+            else:
+                self.words.update(zip(part, self.one(part), strict=True))
 
 
 BLANK = str.maketrans("\t\n\r\f\v", "     ")
@@ -93,9 +119,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     def ids(batches):
         for batch in batches:
             coder = encoder(tokenizer)
-            for text in batch.column("text").to_pylist():
-                out = coder.encode([text or ""])[0]
-                yield pa.RecordBatch.from_arrays([pa.array([out[:SAMPLE_IDS * coder.width]], pa.binary())], names=["ids"])
+            out = [x[:SAMPLE_IDS * coder.width] for x in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     rows = [bytes(r[0]) for r in sample.mapInArrow(ids, "ids binary").collect() if r[0]]
     try:
@@ -138,11 +163,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                    "offset": [offsets], "n_tokens": [sizes], "data": [b"".join(frames)]}
             return pa.RecordBatch.from_pydict(row, schema=ARROW)
 
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             texts = batch.column("text")
-            for i in range(0, len(texts), 256):
-                coded = coder.encode([t or "" for t in texts.slice(i, 256).to_pylist()])
-                for doc, raw in zip(batch.column("doc_id").slice(i, 256).to_pylist(), coded, strict=True):
+            for i in range(0, len(texts), 1024):
+                coded = coder.encode([t or "" for t in texts.slice(i, 1024).to_pylist()])
+                for doc, raw in zip(batch.column("doc_id").slice(i, 1024).to_pylist(), coded, strict=True):
                     raw += end
                     frame = press.compress(raw)
                     ids.append(doc)
