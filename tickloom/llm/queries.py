@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .repeats import remove_repeats
 from .token_files import token_files
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,6 +132,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+
+
 def held_out(folds: int, fold: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
 
@@ -159,7 +164,7 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM do
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_decontaminate, op4_poisson_mix, op5_near_dedup, op6_token_files, op8_language_id,
+    return {f.__name__: f for f in (op1_url_filter, op3_decontaminate, op4_poisson_mix, op5_near_dedup, op6_token_files, op7_suffix_dedup, op8_language_id,
                                          op9_exact_dedup, op10_quality)}
 
 
