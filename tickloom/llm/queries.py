@@ -9,6 +9,7 @@ from . import language, quality
 from . import url_filter as urls
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .repeats import remove_repeats
@@ -62,6 +63,10 @@ SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule,
 FROM v JOIN a{d} USING (host, shape) JOIN q USING (host, prefix)"""
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items")
@@ -164,7 +169,7 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM do
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_decontaminate, op4_poisson_mix, op5_near_dedup, op6_token_files, op7_suffix_dedup, op8_language_id,
+    return {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_decontaminate, op4_poisson_mix, op5_near_dedup, op6_token_files, op7_suffix_dedup, op8_language_id,
                                          op9_exact_dedup, op10_quality)}
 
 
