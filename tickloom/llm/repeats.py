@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ def find_anchors(batches):
             names=["done", "gram", "whole", "doc_id", "row_id", "first", "last"])
 
 
-def judge_anchors(batches):
+def judge_anchors(batches, group: int = GROUP):
     """Sorted rows of find_anchors to spans that repeat, and to runs that need a closer look: the first
     of each content, if its anchor has several. Only the last anchor's state goes from batch to batch."""
     before = None   # (gram, whole) of the last row
@@ -112,14 +113,14 @@ def judge_anchors(batches):
         begin = np.flatnonzero(head)[np.cumsum(head) - 1]
         rank = np.arange(len(g)) - begin + np.where(begin == 0, count if carried == g[0] else 0, 0)
         if held is not None and g[0] == held.column("gram")[0].as_py():
-            yield looks(held, np.zeros(1, np.int64))
+            yield looks(held, np.zeros(1, np.int64), group)
         held, count = None, int(rank[-1]) + 1
         several = rank > 0
         several[:-1] |= ~head[1:]
         if not several[-1]:
             held = fresh.slice(len(g) - 1)
         pick = pa.array(several)
-        yield looks(fresh.filter(pick), rank[several])
+        yield looks(fresh.filter(pick), rank[several], group)
 
 
 FOUND = "part int, gram bigint, doc_id bigint, row_id bigint, first bigint, last bigint"
@@ -134,8 +135,8 @@ def spans(batch, last: str, more: int):
         batch.column("first"), pa.array(batch.column(last).to_numpy() + more)], names=FOUND_NAMES)
 
 
-def looks(batch, rank: np.ndarray):
-    return pa.RecordBatch.from_arrays([pa.array((rank // GROUP).astype(np.int32)), *(batch.column(c) for c in FOUND_NAMES[1:])], names=FOUND_NAMES)
+def looks(batch, rank: np.ndarray, group: int):
+    return pa.RecordBatch.from_arrays([pa.array((rank // group).astype(np.int32)), *(batch.column(c) for c in FOUND_NAMES[1:])], names=FOUND_NAMES)
 
 
 def cut_contexts(batches):
@@ -316,7 +317,7 @@ def apply_spans(batches):
             names=[*(c for c in batch.schema.names if c not in ("text", "spans")), "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left of each row.
 
     Each byte goes that a string of LENGTH bytes covers which also starts earlier: in a
@@ -326,7 +327,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Each string holds an anchor that its content selects. Texts are cut into runs of strings
     with the same anchor; equal runs repeat as a whole, and of different runs with the same
     anchor the suffixes are sorted. Rows go by anchor, equal ones of a batch first being
-    made one; an anchor with over GROUP different runs is split over several groups, whose
+    made one; an anchor with over ``group`` different runs is split over several groups, whose
     first strings are then compared by fingerprints of 128 bits.
 
     Null text counts as empty. Of rows with the same doc_id, the order in which they are
@@ -336,7 +337,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = bucketed(rows, "row_id", partitions(docs.sparkSession))
     seen = texts.mapInArrow(find_anchors, "done boolean, gram bigint, whole bigint, doc_id bigint, row_id bigint, first bigint, last bigint")
-    found = stage(seen.repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "row_id", "first").mapInArrow(judge_anchors, FOUND))
+    found = stage(seen.repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "row_id", "first").mapInArrow(partial(judge_anchors, group=group), FOUND))
     look = found.filter("part >= 0")
     hot = stage(look.filter("part > 0").select("gram").distinct())
     look = look.join(hot.withColumn("hot", F.lit(True)), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
