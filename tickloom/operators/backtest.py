@@ -114,7 +114,7 @@ def backtest_sweep(bars: DataFrame, params: DataFrame, decide: Callable, initial
                 closes.append(close)
                 nav = cash + held * mark
                 weight = decide(np.array(closes), run)
-                if weight is not None and close > 0:
+                if weight is not None and close > 0 and np.isfinite(nav / close):
                     pending = int(round(weight * nav / close)) - held
                 out.append((run["run_id"], step, at, nav))
         return pd.DataFrame(out, columns=["run_id", "step", "ts_ms", "nav"]).astype({"ts_ms": "Int64"})

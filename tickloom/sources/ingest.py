@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TICK = "array<struct<sym:string,p:double,s:double,t:bigint>>"
-TYPED_TICK = "array<struct<T:string,S:string,p:double,s:double,t:string>>"
+TYPED_TICK = "array<map<string,string>>"  # T and t, S and s are different keys
 BARS = "bars map<string,array<struct<t:string,o:double,h:double,l:double,c:double>>>"
 RESULTS = "results array<struct<t:bigint,o:double,h:double,l:double,c:double>>"
 EVENT = ("order_id string, event_seq bigint, state int, delta_qty int, timestamp bigint, correlation_id string, "
@@ -29,9 +29,10 @@ def parse_ticks(df: DataFrame, col: str) -> DataFrame:
 
 def parse_ticks_typed(df: DataFrame, col: str) -> DataFrame:
     """Ticks of the vendor that marks them T = t and gives RFC 3339 times; a bad time is now."""
-    rows = df.select(F.explode(F.from_json(F.col(col), TYPED_TICK)).alias("x")).filter("x.T = 't'")
-    at = F.coalesce(F.unix_millis(F.try_to_timestamp("x.t")), F.unix_millis(F.current_timestamp()))
-    return valid_ticks(rows.select(F.col("x.S").alias("symbol"), F.col("x.p").alias("price"), F.col("x.s").alias("size"), at.alias("ts_ms")))
+    rows = df.select(F.explode(F.from_json(F.col(col), TYPED_TICK)).alias("x")).filter(F.col("x")["T"] == "t")
+    at = F.coalesce(F.unix_millis(F.try_to_timestamp(F.col("x")["t"])), F.unix_millis(F.current_timestamp()))
+    number = lambda k: F.coalesce(F.expr(f"try_cast(x['{k}'] AS double)"), F.lit(0.0))
+    return valid_ticks(rows.select(F.col("x")["S"].alias("symbol"), number("p").alias("price"), number("s").alias("size"), at.alias("ts_ms")))
 
 
 def parse_bars_map(df: DataFrame, col: str) -> DataFrame:
