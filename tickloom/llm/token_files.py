@@ -19,7 +19,7 @@ END_ID = 1
 SAMPLE_DOCS, SAMPLE_IDS = 400, 4096   # the dictionary is trained on at most so many documents, and ids of each
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 PIECE = 1 << 20
 
 BLOCKS = T.StructType([
@@ -43,29 +43,33 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of letters, in lower case
+        self.seen: dict[str, bytes] = {}   # as they stand in the texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[w for piece in pieces(t) for w in piece.split(" ")] if len(t) <= PIECE else None for t in texts]
-        get = self.of(set().union(*(s for s in split if s))).__getitem__
+        split = [blank_split(t) if len(t) <= PIECE else None for t in texts]
+        words = set().union(*(s for s in split if s))
+        if len(self.seen) + len(words) > CACHE_WORDS:
+            self.seen.clear()
+        self.seen.update(self.of(words - self.seen.keys()))
+        get = self.seen.__getitem__
         return [b"".join(map(get, s)) if s is not None else b"".join(self.encode(list(pieces(t)))) for s, t in zip(split, texts, strict=True)]
 
     def of(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each word; one letter-only word with a mark behind it is two words."""
+        """Ids of each word; one of letters only with a mark behind it is two words."""
         plain, known, odd = {}, self.words, []
         for w in words:
-            if w and w < "\u0100" and max(w) < "\u0100":
-                core = w[:-1] if w[-1] in ".,;:!?" and len(w) > 1 else w
-                if core.isalpha() and core[-1] != "\xaa" and core[-1] != "\xba":
-                    plain[w] = core.lower()
-                    continue
-            odd.append(w)
+            core = w[:-1] if w[-1:] in MARKS else w
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0100" and core[-1] not in "\xaa\xba")):
+                plain[w] = core.lower()
+            else:
+                odd.append(w)
         new = set(plain.values()) - known.keys()
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = set(plain.values())
         self.learn(list(new))
-        marks = {m: self.one([m])[0] for m in {w[-1] for w, c in plain.items() if len(w) > len(c)}}
+        marks = dict(zip(MARKS, self.one(list(MARKS)), strict=True))
         out = {w: known[c] if len(w) == len(c) else known[c] + marks[w[-1]] for w, c in plain.items()}
         out.update(zip(odd, self.one(odd), strict=True))
         return out
@@ -86,6 +90,14 @@ class Encoder:
                 self.words.update(zip(part, self.one(part), strict=True))
 
 
+MARKS = (".", ",", ";", ":", "!", "?")
+CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split, but not to tokenizers
+
+
+def blank_split(text: str) -> list[str]:
+    return text.translate(BLANK).split(" ") if any(c in text for c in CONTROLS) else text.split()
+
+
 BLANK = str.maketrans("\t\n\r\f\v", "     ")
 
 
