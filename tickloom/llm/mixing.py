@@ -19,19 +19,26 @@ def uniform(seed: int, key: Column, draw: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def poisson(u: Column, rate: Column) -> Column:
-    """The least k with u < P(X <= k); a fold over k that stops adding once u is reached."""
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(int(LARGEST_RATE * 4))),
-        F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("sum")),
-        lambda a, i: F.when(u < a["sum"], a).otherwise(F.struct(
-            i.alias("k"), (a["p"] * rate / i).alias("p"), (a["sum"] + a["p"] * rate / i).alias("sum"))),
-        lambda a: a["k"])
-    return step
+def poisson_table(mean: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... of a Poisson distribution, as far as doubles tell the sums apart."""
+    zero = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("sums"))
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
+
+    def step(a, i):
+        p = a["p"] * mean / i
+        return F.struct(p.alias("p"), F.concat(a["sums"], F.array(F.element_at(a["sums"], -1) + p)).alias("sums"))
+
+    return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda a: a["sums"])
+
+
+def poisson(u: Column, table: Column) -> Column:
+    """The least k with u < P(X <= k)."""
+    return F.size(F.filter(table, lambda c: c <= u)).cast("long")
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None, source: str) -> DataFrame:
-    """source, rate: the mean number of copies that brings each source to its share of total rows."""
+    """s, draws, table: each source's number of draws, and the distribution of each, whose means
+    add up to the number of copies that brings the source to its share of total rows."""
     counts = docs.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighed = counts.withColumn("w", F.lit(1.0))
@@ -43,7 +50,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float
     rows, ws = float(sums["rows"] or 0), float(sums["ws"] or 0)
     goal = float(total) if total is not None else rows
     rate = F.lit(goal) * F.col("w") / F.lit(ws) / F.col("n") if ws > 0 else F.lit(0.0)
-    return stage(weighed.select("s", rate.alias("rate")))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int")
+    rated = weighed.select("s", rate.alias("rate")).withColumn("draws", draws)
+    return stage(rated.select("s", "draws", poisson_table(F.col("rate") / F.col("draws")).alias("table")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None,
@@ -54,7 +63,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     all alike); total the expected number of rows of the result (None: as many as docs).
     A row's mean number of copies is total * share / rows of its source. The draw comes
     from md5 of seed and key, so a lost task draws the same again. Adds n_copies, copy
-    (from 0) and shuffle_key, by which the result is sorted over all partitions.
+    (from 0) and shuffle_key, an md5 that deals the rows to partitions and sorts each of them.
 
     A null source is a source of its own; with weights it has weight 0. Rows with the
     same or a null key draw alike. Empty tables give no rows. Texts are not looked at.
@@ -62,13 +71,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """
     names = [c for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
     rates = source_rates(docs.select(source), weights, total, source)
-    rated = docs.select(*names).join(rates, F.col(source).eqNullSafe(F.col("s"))).drop("s")
-    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int")
-    counted = rated.withColumn("_draws", draws).withColumn("_mean", F.col("rate") / F.col("_draws"))
-    first = poisson(uniform(seed, F.col(key), F.lit(0)), F.col("_mean"))
+    taken = rates.select("s", F.col("draws").alias("_draws"), F.col("table").alias("_table"))
+    rated = docs.select(*names).join(taken, F.col(source).eqNullSafe(F.col("s"))).drop("s")
+    first = poisson(uniform(seed, F.col(key), F.lit(0)), F.col("_table"))
     more = F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0).cast("long"),
-                       lambda a, i: a + poisson(uniform(seed, F.col(key), i), F.col("_mean")))
-    counted = counted.withColumn("n_copies", first.cast("long") + F.when(F.col("_draws") > 1, more).otherwise(F.lit(0)))
+                       lambda a, i: a + poisson(uniform(seed, F.col(key), i), F.col("_table")))
+    counted = rated.withColumn("n_copies", first + F.when(F.col("_draws") > 1, more).otherwise(F.lit(0)))
     blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(n_copies - 1) div {BLOCK}"))
     copies = (counted.filter("n_copies > 0").withColumn("_block", F.explode(blocks))
               .withColumn("copy", F.explode(F.sequence(F.col("_block") * BLOCK,
@@ -76,4 +84,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
               .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"),
                           F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string")))))
     out = copies.select(*names, "n_copies", "copy", "shuffle_key")
-    return out.orderBy("shuffle_key") if shuffle else out
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
