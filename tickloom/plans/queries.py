@@ -164,21 +164,21 @@ def vol_multiplier(spark, sf):
     return f.vol_multiplier(navs(spark, sf), 20, 0.5).select("run_id", "step", "multiplier")
 
 
-SEVENTH = "t7 AS (SELECT symbol, ts_ms, seq FROM ticks WHERE seq % 7 = 0)"
+PLACED = "placed AS (SELECT symbol, ts_ms, seq FROM ticks)"
 
 
-@query(f"""WITH {BARS}, {SEVENTH}, c AS (SELECT symbol, bar_start AS time FROM bars WHERE bar_start % {4 * HOUR} = 0)
-SELECT t7.symbol, t7.seq, t7.ts_ms AS time, coalesce(c.time, (SELECT min(time) FROM c c2 WHERE c2.symbol = t7.symbol), t7.ts_ms) AS candle
-FROM t7 ASOF LEFT JOIN c ON t7.symbol = c.symbol AND t7.ts_ms >= c.time""")
+@query(f"""WITH {BARS}, {PLACED}, c AS (SELECT DISTINCT symbol, bar_start - bar_start % {4 * HOUR} AS time FROM bars)
+SELECT placed.symbol, placed.seq, placed.ts_ms AS time, coalesce(c.time, (SELECT min(time) FROM c c2 WHERE c2.symbol = placed.symbol), placed.ts_ms) AS candle
+FROM placed ASOF LEFT JOIN c ON placed.symbol = c.symbol AND placed.ts_ms >= c.time""")
 def asof_trade_candle(spark, sf):
-    t = v.ticks(spark, sf).filter("seq % 7 = 0").select("symbol", "seq", F.col("ts_ms").alias("time"))
-    return asof.asof_backward(t, hours(spark, sf).filter(F.col("bar_start") % (4 * HOUR) == 0).select("symbol", F.col("bar_start").alias("time")))
+    t = v.ticks(spark, sf).select("symbol", "seq", F.col("ts_ms").alias("time"))
+    return asof.asof_backward(t, b.resample(hours(spark, sf), 4 * HOUR).select("symbol", F.col("bar_start").alias("time")))
 
 
-@query(f"""WITH {BARS}, {SEVENTH} SELECT t7.symbol, t7.seq AS order_id, t7.ts_ms, b.bar_start AS fill_start
-FROM t7 ASOF LEFT JOIN bars b ON t7.symbol = b.symbol AND t7.ts_ms < b.bar_start""")
+@query(f"""WITH {BARS}, {PLACED} SELECT placed.symbol, placed.seq AS order_id, placed.ts_ms, b.bar_start AS fill_start
+FROM placed ASOF LEFT JOIN bars b ON placed.symbol = b.symbol AND placed.ts_ms < b.bar_start""")
 def asof_order_next_bar(spark, sf):
-    return asof.next_bar(v.ticks(spark, sf).filter("seq % 7 = 0").select("symbol", F.col("seq").alias("order_id"), "ts_ms"), hours(spark, sf))
+    return asof.next_bar(v.ticks(spark, sf).select("symbol", F.col("seq").alias("order_id"), "ts_ms"), hours(spark, sf))
 
 
 @query(f"""WITH {BARS}, g AS (SELECT t.bar_start, u.symbol FROM (SELECT DISTINCT bar_start FROM bars) t, (SELECT DISTINCT symbol FROM bars) u),
@@ -189,9 +189,9 @@ def barrier_align(spark, sf):
     return asof.align(own, own.select("symbol"))
 
 
-@query(f"WITH {BARS}, {SEVENTH} SELECT t7.symbol, t7.seq, t7.ts_ms, bar_start, close FROM t7 JOIN bars USING (symbol) WHERE abs(bar_start - t7.ts_ms) <= {2 * HOUR}", "close")
+@query(f"WITH {BARS}, {PLACED} SELECT placed.symbol, placed.seq, placed.ts_ms, bar_start, close FROM placed JOIN bars USING (symbol) WHERE abs(bar_start - placed.ts_ms) <= {2 * HOUR}", "close")
 def bars_around_trade(spark, sf):
-    return asof.bars_around(v.ticks(spark, sf).filter("seq % 7 = 0").select("symbol", "seq", "ts_ms"), hours(spark, sf), 2 * HOUR)
+    return asof.bars_around(v.ticks(spark, sf).select("symbol", "seq", "ts_ms"), hours(spark, sf), 2 * HOUR)
 
 
 @query(f"WITH {ORDER_EVENTS}, {REPLAY} SELECT * FROM rp")
@@ -372,13 +372,13 @@ def performance_metrics(spark, sf):
     return backtest.performance_metrics(navs(spark, sf))
 
 
-FILL_COSTS = f"""{BARS}, {SEVENTH}, o7 AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 10.0::DOUBLE AS qty FROM t7),
-fc AS (SELECT o7.symbol, o7.seq AS order_id, o7.side, b.bar_start AS fill_start, b.close, b.close * (1 + CASE WHEN o7.side = 'BUY' THEN 1 ELSE -1 END * CASE WHEN b.volume > 0 THEN 0.1 * o7.qty / b.volume ELSE 0 END) AS exec_price, o7.qty
- FROM o7 ASOF JOIN bars b ON o7.symbol = b.symbol AND o7.ts_ms < b.bar_start)"""
+FILL_COSTS = f"""{BARS}, {PLACED}, own AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 10.0::DOUBLE AS qty FROM placed),
+fc AS (SELECT own.symbol, own.seq AS order_id, own.side, b.bar_start AS fill_start, b.close, b.close * (1 + CASE WHEN own.side = 'BUY' THEN 1 ELSE -1 END * CASE WHEN b.volume > 0 THEN 0.1 * own.qty / b.volume ELSE 0 END) AS exec_price, own.qty
+ FROM own ASOF JOIN bars b ON own.symbol = b.symbol AND own.ts_ms < b.bar_start)"""
 
 
 def costs(spark, sf):
-    t = v.ticks(spark, sf).filter("seq % 7 = 0").select("symbol", F.col("seq").alias("order_id"), "ts_ms", F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(10.0).alias("qty"))
+    t = v.ticks(spark, sf).select("symbol", F.col("seq").alias("order_id"), "ts_ms", F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(10.0).alias("qty"))
     return backtest.fill_costs(t, hours(spark, sf))
 
 
@@ -425,11 +425,15 @@ def market_session(spark, sf):
     return v.ticks(spark, sf).select("seq", cal.market_session(F.col("ts_ms")).alias("session"))
 
 
-@query(f"""WITH {TICKS}, n AS (SELECT seq, {TNY}::DATE AS date FROM ticks)
-SELECT seq, date, CASE date WHEN DATE '2024-01-01' THEN 'New Year''s Day' WHEN DATE '2024-01-15' THEN 'Martin Luther King Jr. Day' END AS holiday FROM n WHERE date < DATE '2024-02-01'""")
+HOLIDAYS_2024 = {"01-01": "New Year's Day", "01-15": "Martin Luther King Jr. Day", "02-19": "Presidents' Day", "03-29": "Good Friday", "05-27": "Memorial Day", "06-19": "Juneteenth",
+                 "07-04": "Independence Day", "09-02": "Labor Day", "11-28": "Thanksgiving Day", "12-25": "Christmas Day"}  # the events are of one month of this year
+CASES = " ".join("WHEN DATE '2024-{}' THEN '{}'".format(d, n.replace("'", "''")) for d, n in HOLIDAYS_2024.items())
+
+
+@query(f"WITH {TICKS}, n AS (SELECT seq, {TNY}::DATE AS date FROM ticks) SELECT seq, date, CASE date {CASES} END AS holiday FROM n")
 def calendar_join(spark, sf):
     days = cal.trading_calendar(spark, "2023-01-01", "2025-12-31")
-    return cal.with_calendar(v.ticks(spark, sf), days).filter("date < date'2024-02-01'").select("seq", "date", "holiday")
+    return cal.with_calendar(v.ticks(spark, sf), days).select("seq", "date", "holiday")
 
 
 @query()
