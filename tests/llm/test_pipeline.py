@@ -48,7 +48,7 @@ def test_one_of_each_group(steps):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 p, q = sorted((top(a), top(b)))
                 root[q] = p
     groups = Counter(top(r.doc_id) for r in after.collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,9 +12,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, bucketed, hashes_of, mix, partitions, small_batches, stage, text_bytes, words_of
 
 SHINGLE = 5
-PERCENT = 85            # link from this Jaccard similarity
-BANDS, ROWS = 28, 5     # a pair at 0.85 shares no band with a chance below 1e-7
-SLOTS = BANDS * ROWS
+PERCENT = 80            # link from this Jaccard similarity
+ROWS, MISSED = 5, 1e-7  # slots of a band; chance of a pair at that similarity to share no band
 GROUP = 256             # members that one task compares with a leader
 
 SPACE = np.zeros(256, bool)
@@ -42,7 +43,12 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """28 at 0.85, 41 at 0.8."""
+    return math.ceil(math.log(MISSED) / math.log(1 - min(percent / 100, 0.999) ** ROWS))
+
+
+def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     """Signatures of non-empty sets. Level j gives each element one more place of its own random
     permutation, with rank j + u; a set is done when every slot has a rank below the next level."""
     size = np.array([len(s) for s in sets])
@@ -68,34 +74,34 @@ def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return sig
 
 
-def signatures(batches):
+def signatures(batches, bands: int):
     """row_id, doc_id, n_shingles, two digests of the set, and the hash of each band."""
     for batch in small_batches(batches, "text", 1 << 20):
         sets = shingle_sets(batch.column("text"))
         n = np.array([len(s) for s in sets])
         full = np.flatnonzero(n)
-        bits = superminhash([sets[i] for i in full]).view(np.uint64).reshape(-1, BANDS, ROWS)
-        band = np.zeros(bits.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        bits = superminhash([sets[i] for i in full], bands * ROWS).view(np.uint64).reshape(-1, bands, ROWS)
+        band = np.zeros(bits.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
         for k in range(ROWS):
             band = mix(band * U(0x9E3779B97F4A7C15) + bits[:, :, k])
         digest = np.zeros((2, len(n)), np.uint64)
         for i in full:
             digest[:, i] = mix(sets[i]).sum(), mix(sets[i] ^ U(0x5851F42D4C957F2D)).sum()
-        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[0].view(np.int64)),
              pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(offsets, band.reshape(-1).view(np.int64))],
             names=["row_id", "doc_id", "n_shingles", "d1", "d2", "bands"])
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar. Each leader a meets its members in
     groups of about GROUP; within a task one leader's set is held at a time."""
     sizes = stage(pairs.groupBy("a").agg(F.expr(f"cast(count(1) div {GROUP} as int) + 1").alias("groups")))
@@ -114,7 +120,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for a, part, row, role, own in zip(*cols, sets, strict=True):
                 if role == 0:
                     leader, group = own, (a, part)
-                elif group == (a, part) and similar(leader, own):
+                elif group == (a, part) and similar(leader, own, percent):
                     found[0].append(a)
                     found[1].append(row)
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
@@ -166,9 +172,9 @@ def components(links: DataFrame) -> DataFrame:
 ROUNDS = 2              # of comparing with one leader a band, before all that is still apart is compared
 
 
-def fits(x: str, y: str):
+def fits(x: str, y: str, percent: int):
     """Sets of such sizes can be similar."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stage(own.join(mixed, "key", "left_semi"))
 
 
-def links_of_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+def links_of_rest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among members of a band that differ in root, by comparing all such pairs.
 
     A band's members are dealt into blocks of about GROUP, and each two blocks meet in one
@@ -219,10 +225,10 @@ def links_of_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
                 if aroot == broot or (group[1] != group[2] and aown == bown):
                     continue
                 small, large = sorted((len(aset), len(bset)))
-                if 100 * small < PERCENT * large or min(akeys & bkeys) != group[0] or top(aroot) == top(broot):
+                if 100 * small < percent * large or min(akeys & bkeys) != group[0] or top(aroot) == top(broot):
                     continue
                 both = len(aset & bset)
-                if 100 * both >= PERCENT * (small + large - both):
+                if 100 * both >= percent * (small + large - both):
                     parent[top(broot)] = top(aroot)
                     found[0].append(min(a, b))
                     found[1].append(max(a, b))
@@ -237,9 +243,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     return bucketed(rows, "row_id", partitions(docs.sparkSession))
 
 
-def rooted(texts: DataFrame) -> DataFrame:
+def rooted(texts: DataFrame, percent: int) -> DataFrame:
     """row_id, doc_id, n_shingles and root of each row."""
-    sigs = stage(texts.mapInArrow(signatures, "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+    bands = bands_for(percent)
+    sigs = stage(texts.mapInArrow(lambda batches: signatures(batches, bands), "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     full = sigs.filter("n_shingles > 0")
     classes = stage(full.groupBy("d1", "d2").agg(F.min("row_id").alias("rep")))
     firsts = full.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
@@ -257,15 +264,15 @@ def rooted(texts: DataFrame) -> DataFrame:
             members = still_apart(members, roots)
         led = stage(members.groupBy("key").agg(F.max(F.struct("weight", "row_id", "n")).alias("lead"))
                     .select("key", F.col("lead.row_id").alias("a"), F.col("lead.n").alias("an")))
-        pairs = (members.join(led, "key").filter((F.col("a") != F.col("row_id")) & fits("n", "an"))
+        pairs = (members.join(led, "key").filter((F.col("a") != F.col("row_id")) & fits("n", "an", percent))
                  .select("a", F.col("row_id").alias("b")).distinct())
         pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = verified(pairs, texts)
+        found = verified(pairs, texts, percent)
         links = stage(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         roots = stage(components(links))
         members = stage(members.join(led, "key").filter("row_id != a").select("key", "row_id", "n", "weight"))
-    extra = stage(links_of_rest(still_apart(members, roots), texts))
+    extra = stage(links_of_rest(still_apart(members, roots), texts, percent))
     if extra.head(1):
         roots = stage(components(links.union(extra)))
 
@@ -275,12 +282,12 @@ def rooted(texts: DataFrame) -> DataFrame:
     return stage(rows.join(roots, F.col("rep") == F.col("node"), "left").select("row_id", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
     Sets are the distinct runs of five words, A-Z lower-cased; documents with fewer words
     have one, all of them; without words or text none, and these are linked with nothing.
-    Rows whose similarity is 0.85 or more are linked, component_id is the smallest doc_id that
+    Rows whose similarity is percent / 100 or more are linked, component_id is the smallest doc_id that
     a row reaches, and kept are the rows that bear it.
 
     Rows with equal sets are one class from the start. Classes that share a band are compared
@@ -292,15 +299,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = rooted(texts)
+    rows = rooted(texts, percent)
     least = stage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that near_duplicates links with a kept one: of each component
     the row with the smallest doc_id stays (a null one last), of equal ones one row."""
     texts = numbered(docs.withColumn("_given", F.struct("*")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_given"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
-    kept = stage(rooted(texts.drop("_given")).groupBy("root").agg(first).select("first.row_id"))
+    kept = stage(rooted(texts.drop("_given"), percent).groupBy("root").agg(first).select("first.row_id"))
     return texts.join(kept, "row_id", "left_semi").select("_given.*")

@@ -113,7 +113,7 @@ FROM t, unnest(range(n_copies)) AS x(copy)"""
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP5_SQL = f"""
