@@ -1,4 +1,4 @@
-"""Line dedup: winnowed fingerprints of line runs, joined with their first place and extended both ways."""
+"""Line dedup: fingerprints of the shortest line runs that count, joined with their first place."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bucketed, mix, partitions, small_batches, stage
+from .common import bucketed, partitions, small_batches, stage
 
-RUN = 3      # lines of a fingerprint, and of the shortest run that is deleted
-WINDOW = 2   # one fingerprint of every so many is selected: runs of RUN + WINDOW - 1 lines are always found
+WORDS = 3            # words of the shortest run that is deleted
+BYTES_OF_WORD = 16   # a line has a word for each so many bytes at least, as some scripts have no blanks
+RUN = 1      # lines of the shortest run that can be deleted
+WINDOW = 1   # one fingerprint of every so many is selected: all of them
 
 
 def lines_of(text: str) -> tuple[list[str], list[int]]:
@@ -22,69 +24,54 @@ def lines_of(text: str) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip()]
 
 
-def hash_lines(batches):
-    for batch in small_batches(batches, "text"):
-        out = []
-        for text in batch.column("text").to_pylist():
-            lines, full = lines_of(text or "")
-            out.append(np.array([xxhash.xxh3_64_intdigest(lines[i].strip()) for i in full], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))],
-                                         names=["row_id", "doc_id", "lines"])
-
-
-def winnow(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the smallest of each WINDOW fingerprints, the last of equal ones."""
-    h = lines.view(np.uint64)
-    n = len(h) - RUN + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = mix(h[:n])
-    for k in range(1, RUN):
-        grams = mix(grams * U(0x9E3779B97F4A7C15) + h[k:k + n])
-    picked = {n - 1} if n < WINDOW else set()
-    for i in range(n - WINDOW + 1):
-        part = grams[i:i + WINDOW]
-        picked.add(i + WINDOW - 1 - int(part[::-1].argmin()))
-    at = np.array(sorted(picked), np.int64)
-    return at, grams[at].view(np.int64)
-
-
-def fingerprints(batches):
-    for batch in batches:
-        rows, at, h = [], [], []
-        for i, lines in enumerate(batch.column("lines").to_pylist()):
-            a, g = winnow(np.array(lines, np.int64))
-            rows += [i] * len(a)
-            at.append(a)
-            h.append(g)
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([
-            batch.column("row_id").take(take), batch.column("doc_id").take(take),
-            pa.array(np.concatenate([*at, np.zeros(0, np.int64)])), pa.array(np.concatenate([*h, np.zeros(0, np.int64)]))],
-            names=["row_id", "doc_id", "at", "h"])
-
-
-def extend(batches):
-    """Runs (row_id, first, last) that equal the other text's, line by line, around each common fingerprint."""
-    for batch in batches:
-        found = [], [], []
-        cols = [batch.column(c).to_pylist() for c in ("row_id", "shift", "places", "lines", "others")]
-        for row, shift, places, mine, other in zip(*cols, strict=True):
-            end = -1
-            for p in sorted(places):
-                if p < end:
-                    continue
-                a, b = p, p
-                while a > 0 and a + shift > 0 and mine[a - 1] == other[a + shift - 1]:
-                    a -= 1
-                while b < len(mine) and b + shift < len(other) and mine[b] == other[b + shift]:
-                    b += 1
-                end = b
-                if b - a >= RUN:
-                    found[0].append(row)
-                    found[1].append(a)
-                    found[2].append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["row_id", "first", "last"])
+def shortest_runs(weights: list[int], words: int) -> list[tuple[int, int]]:
+    """The shortest run of at least so many words from each line on, and up to each line.
+
+    Each line of any longer run is in one of these that lies in that run: in the one from it
+    on, or else in the one up to it, or else in the one from the run's first line on.
+    """
+    n, found = len(weights), set()
+    last = total = 0
+    for first in range(n):
+        while last < n and total < words:
+            total += weights[last]
+            last += 1
+        if total < words:
+            break
+        found.add((first, last))
+        total -= weights[first]
+    first, total = n, 0
+    for last in range(n, 0, -1):
+        while first > 0 and total < words:
+            first -= 1
+            total += weights[first]
+        if total < words:
+            break
+        found.add((first, last))
+        total -= weights[last - 1]
+    return sorted(found)
+
+
+def fingerprints(words: int):
+    def run(batches):
+        for batch in small_batches(batches, "text"):
+            rows, first, last, digests = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                lines, full = lines_of(text or "")
+                lines = [lines[k].strip() for k in full]
+                weights = [max(len(x.split()), len(x.encode()) // BYTES_OF_WORD) for x in lines]
+                for a, b in shortest_runs(weights, words):
+                    rows.append(i)
+                    first.append(a)
+                    last.append(b)
+                    digests.append(xxhash.xxh3_128_digest(lines[a] if b == a + 1 else "\n".join(lines[a:b])))
+            take = pa.array(rows, pa.int64())
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("row_id").take(take), batch.column("doc_id").take(take), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
+                pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["row_id", "doc_id", "first", "last", "h", "g"])
+
+    return run
 
 
 def delete_runs(batches):
@@ -107,31 +94,32 @@ def delete_runs(batches):
                                           pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_spans, kept_sha256 and the text that is left of each row.
 
     Lines are compared without surrounding white space, blank ones are passed over (and go
-    with a run that they stand in). Fingerprints are of RUN lines; the smallest of each
-    WINDOW is selected, so that two equal runs of RUN + WINDOW - 1 lines select a common one. Each place
-    of a fingerprint is compared with its first place (smallest doc_id, then further ahead)
-    and extended both ways while lines are equal; the later run is deleted. A run's first
-    and last WINDOW - 1 lines stay if the first places of its fingerprints go on otherwise.
+    with a run that they stand in). A run of at least so many words, of any number of lines,
+    is deleted from its first to its last line if it stands further ahead: in a row of smaller
+    doc_id or before in its own. A line counts its words, or one for each BYTES_OF_WORD bytes
+    if that is more. A line's first place always stays.
+
+    Fingerprints (128 bits) are of the shortest runs that are long enough, from each line on
+    and up to each line. They cover a longer run, wherever the first place of each is, so
+    nothing is extended; of a selection among them a run's ends, or runs whose parts have
+    their first places in several texts, would stay.
 
     Only one first place of each fingerprint is joined, never all pairs. Null text is one
     empty line. Of rows with the same doc_id, the order in which they are read decides; a null
     doc_id comes first. Further columns are ignored; an empty table gives no rows.
     """
+    if words < 1:
+        raise ValueError("a run has one word at least")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = bucketed(rows, "row_id", partitions(docs.sparkSession))
-    lines = stage(texts.mapInArrow(hash_lines, "row_id bigint, doc_id bigint, lines array<bigint>"))
-    prints = stage(lines.filter(F.size("lines") >= RUN).mapInArrow(fingerprints, "row_id bigint, doc_id bigint, at bigint, h bigint"))
-    firsts = stage(prints.groupBy("h").agg(F.min(F.struct("doc_id", "row_id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-                   .select("h", F.col("f.row_id").alias("other_id"), F.col("f.at").alias("other_at")))
-    seeds = (prints.join(firsts, "h").filter((F.col("row_id") != F.col("other_id")) | (F.col("at") != F.col("other_at")))
-             .groupBy("row_id", "other_id", (F.col("other_at") - F.col("at")).alias("shift")).agg(F.collect_list("at").alias("places")))
-    mine = stage(seeds.join(lines.select("row_id", "lines"), "row_id"))
-    both = mine.join(lines.select(F.col("row_id").alias("other_id"), F.col("lines").alias("others")), "other_id")
-    runs = both.select("row_id", "shift", "places", "lines", "others").mapInArrow(extend, "row_id bigint, first bigint, last bigint")
-    spans = stage(runs.groupBy("row_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    prints = stage(texts.mapInArrow(fingerprints(words), "row_id bigint, doc_id bigint, first bigint, last bigint, h bigint, g bigint"))
+    firsts = stage(prints.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_id", "first")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+                   .select("h", "g", F.col("f.row_id").alias("other_id"), F.col("f.first").alias("other_first")))
+    spans = (prints.join(firsts, ["h", "g"]).filter((F.col("row_id") != F.col("other_id")) | (F.col("first") != F.col("other_first")))
+             .groupBy("row_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     return texts.join(spans, "row_id", "left").select("doc_id", "text", "spans").mapInArrow(
         delete_runs, "doc_id bigint, n_lines bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
