@@ -47,13 +47,18 @@ class Encoder:
         self.seen: dict[str, bytes] = {}   # as they stand in the texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        long = {i: b"".join(self.of_piece(p) for p in pieces(t)) for i, t in enumerate(texts) if len(t) > PIECE}  # first, as it may clear seen
         split = [blank_split(t) if len(t) <= PIECE else None for t in texts]
         words = set().union(*(s for s in split if s))
         if len(self.seen) + len(words) > CACHE_WORDS:
             self.seen.clear()
         self.seen.update(self.of(words - self.seen.keys()))
         get = self.seen.__getitem__
-        return [b"".join(map(get, s)) if s is not None else b"".join(self.encode(list(pieces(t)))) for s, t in zip(split, texts, strict=True)]
+        return [b"".join(map(get, s)) if s is not None else long[i] for i, s in enumerate(split)]
+
+    def of_piece(self, piece: str) -> bytes:
+        """A piece that is still too long has no blank; it is one word."""
+        return (self.encode if len(piece) <= PIECE else self.one)([piece])[0]
 
     def of(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word; one of letters only with a mark behind it is two words."""
@@ -102,11 +107,13 @@ BLANK = str.maketrans("\t\n\r\f\v", "     ")
 
 
 def pieces(text: str):
-    """The text with blanks only, cut at some of them if it is very long."""
+    """The text with blanks only, cut at some of them if it is very long; a piece over PIECE has none."""
     text = text.translate(BLANK)
     at = 0
     while len(text) - at > PIECE:
-        cut = text.find(" ", at + PIECE - 4096)
+        cut = text.rfind(" ", at, at + PIECE + 1)
+        if cut < 0:
+            cut = text.find(" ", at + PIECE)
         if cut < 0:
             break
         yield text[at:cut]
