@@ -47,3 +47,15 @@ def test_long_text_clears_words(monkeypatch):
     monkeypatch.setattr(tf, "CACHE_WORDS", 20)
     texts = ["alpha beta", " ".join(f"w{i}" for i in range(100)), "gamma delta"]
     assert coded(texts) == plain(texts)
+
+
+MARKED = ["one <|endoftext|> two", "<|startoftext|>One<|endoftext|>two, <|ENDOFTEXT|>", "<|endoftext|>" * 3, "plain"]
+
+
+def test_special_tokens_in_texts(spark):
+    ends = [[*ids, tf.END_ID] for ids in plain(MARKED)]
+    assert ends[0] == [637, 49407, 1237, 1] and 49406 in ends[1]
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    assert [r.ids for r in tf.token_files(docs, PATH, digest=False).orderBy("doc_id").collect()] == ends
+    literal = [r.ids for r in tf.token_files(docs, PATH, digest=False, literal_markers=True).orderBy("doc_id").collect()]
+    assert literal[0] == [637, 27, 347, 40786, 4160, 91, 285, 1237, 1] and literal[3] == ends[3]

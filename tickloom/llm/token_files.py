@@ -32,13 +32,14 @@ BLOCKS = T.StructType([
 class Encoder:
     """Ids of texts as little-endian bytes. The tokenizer cuts at ASCII white space and drops
     it, so what stands between is encoded by itself, and words of letters are remembered in
-    lower case, as the tokenizer lowers them anyway."""
+    lower case, as the tokenizer lowers them anyway. With literal_markers the names of special
+    tokens in a text are plain text; else they are those tokens, as the tokenizer has it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal_markers: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal_markers
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
@@ -121,23 +122,24 @@ def pieces(text: str):
     yield text[at:]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal_markers: bool = False) -> Encoder:
     """One for each worker process, as workers serve many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, literal_markers
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, literal_markers: bool = False) -> bytes:
     """From the documents with the smallest hashes of their ids."""
     sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
     def ids(batches):
         for batch in batches:
-            coder = encoder(tokenizer)
+            coder = encoder(tokenizer, literal_markers)
             out = [x[:SAMPLE_IDS * coder.width] for x in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
@@ -152,7 +154,8 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: Column | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: Column | None = None,
+                 literal_markers: bool = False) -> None:
     """Write docs, in ascending doc_id or the given order, as token files below path.
 
     path/dictionary has one row: the dictionary and its sha256. path/blocks has rows of at
@@ -163,16 +166,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     Null text is empty and has the end id alone. A null doc_id comes first; rows with the
     same doc_id stay in one shard, ordered by text. Further columns are not written; an
-    empty table gives an empty set of blocks. The end id must fit the ids' width.
+    empty table gives an empty set of blocks. The end id must fit the ids' width. A special
+    token's name in a text is that token, unless literal_markers is set.
     """
     spark = docs.sparkSession
-    trained = train_dictionary(docs, tokenizer)
+    trained = train_dictionary(docs, tokenizer, literal_markers)
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(name, bytearray(trained))], "dictionary string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(trained)
 
     def encode(batches):
-        coder, press = encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=dictionary(shared.value))
+        coder, press = encoder(tokenizer, literal_markers), zstandard.ZstdCompressor(level=3, dict_data=dictionary(shared.value))
         end = np.array([end_id], coder.dtype).tobytes()
         shard, block = TaskContext.get().partitionId(), 0
         ids, offsets, sizes, frames, size = [], [], [], [], 0
@@ -257,8 +261,9 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     return out.withColumnRenamed("last", last)
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, digest: bool = True, order: Column | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, digest: bool = True, order: Column | None = None,
+                literal_markers: bool = False) -> DataFrame:
     """Write docs' token files (below the shared folder if no path is given) and read them back."""
     path = path or shared_dir(docs.sparkSession)
-    write_tokens(docs, path, tokenizer, order=order)
+    write_tokens(docs, path, tokenizer, order=order, literal_markers=literal_markers)
     return read_tokens(docs.sparkSession, path, digest)
