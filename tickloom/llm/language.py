@@ -14,7 +14,6 @@ from .common import small_batches, text_bytes
 WINDOW = 256        # bytes that the network sees at once; a text is cut into such windows
 WIDTHS = (2, 3, 4)  # bytes that a filter spans
 FILTERS, DIM = 16, 8
-LANGUAGES = 256     # learned at most: the most frequent
 SAMPLE_DOCS = 800   # documents of each language to learn from, about; PER_DOC windows of each at most
 PER_DOC, EPOCHS, BATCH, STEP = 3, 5, 64, 0.004
 
@@ -118,10 +117,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Network:
-    """From text and lang of rows: of each language about per_language documents, chosen by the
+    """From text and lang of rows, all languages: of each about per_language documents, chosen by the
     hash of their text, and PER_DOC windows of each. Only these windows reach the driver."""
     rows = labelled.select("text", "lang").dropna().filter(F.length("text") > 0)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts}
     if not languages:
