@@ -89,16 +89,16 @@ def shingles(t):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near(docs, percent):
+@pytest.mark.parametrize(("percent", "sizes"), [(80, {}), (85, {}), (80, {"group": 1, "block": 1})])
+def test_near(docs, percent, sizes):
     sets, root = [shingles(t) for t in TEXTS], list(range(len(TEXTS)))
     for _ in TEXTS:
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
                 if a and b and 100 * len(a & b) >= percent * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
-    assert rows(near_duplicates(docs, percent), "doc_id", "n_shingles", "component_id", "kept") == sorted([(i, len(s), r, i == r) for i, (s, r) in enumerate(zip(sets, root, strict=True))], key=str)
-    assert rows(drop_near_duplicates(docs, percent), "doc_id") == sorted([(r,) for r in set(root)], key=str)
+    assert rows(near_duplicates(docs, percent, **sizes), "doc_id", "n_shingles", "component_id", "kept") == sorted([(i, len(s), r, i == r) for i, (s, r) in enumerate(zip(sets, root, strict=True))], key=str)
+    assert rows(drop_near_duplicates(docs, percent, **sizes), "doc_id") == sorted([(r,) for r in set(root)], key=str)
 
 
 def test_superminhash_estimates():

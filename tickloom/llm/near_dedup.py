@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -14,7 +15,9 @@ from .common import LOWER, U, bucketed, hashes_of, mix, partitions, small_batche
 SHINGLE = 5
 PERCENT = 80            # link from this Jaccard similarity
 ROWS, MISSED = 5, 1e-7  # slots of a band; chance of a pair at that similarity to share no band
-GROUP = 256             # members that one task compares with a leader
+GROUP = 64              # members that one task compares with a leader
+BLOCK = 256             # members of a band that are compared with one another, or with as many others
+SPREAD = 6.5            # standard deviations below the limit from which signatures rule a pair out
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,7 +54,7 @@ def bands_for(percent: int) -> int:
 def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     """Signatures of non-empty sets. Level j gives each element one more place of its own random
     permutation, with rank j + u; a set is done when every slot has a rank below the next level."""
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
     sig = np.full((len(sets), slots), np.inf)
     element, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), size)
     drawn: list[np.ndarray] = []  # place that level i swapped with place i
@@ -75,23 +78,27 @@ def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 
 
 def signatures(batches, bands: int):
-    """row_id, doc_id, n_shingles, two digests of the set, and the hash of each band."""
+    """row_id, doc_id, n_shingles, both halves of a 128-bit digest of the set, the hash of each band, and a byte of each slot."""
     for batch in small_batches(batches, "text", 1 << 20):
         sets = shingle_sets(batch.column("text"))
-        n = np.array([len(s) for s in sets])
+        n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
         bits = superminhash([sets[i] for i in full], bands * ROWS).view(np.uint64).reshape(-1, bands, ROWS)
         band = np.zeros(bits.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
         for k in range(ROWS):
             band = mix(band * U(0x9E3779B97F4A7C15) + bits[:, :, k])
-        digest = np.zeros((2, len(n)), np.uint64)
+        digest = np.zeros((len(n), 2), np.int64)
         for i in full:
-            digest[:, i] = mix(sets[i]).sum(), mix(sets[i] ^ U(0x5851F42D4C957F2D)).sum()
+            digest[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
+        slots = np.zeros(len(n), object)
+        slots[:] = b""
+        for i, row in zip(full, (mix(bits) >> U(56)).astype(np.uint8).reshape(len(full), bands * ROWS), strict=True):
+            slots[i] = row.tobytes()
         offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[0].view(np.int64)),
-             pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(offsets, band.reshape(-1).view(np.int64))],
-            names=["row_id", "doc_id", "n_shingles", "d1", "d2", "bands"])
+            [batch.column("row_id"), batch.column("doc_id"), pa.array(n), pa.array(digest[:, 0].copy()),
+             pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(offsets, band.reshape(-1).view(np.int64)), pa.array(slots, pa.binary())],
+            names=["row_id", "doc_id", "n_shingles", "d1", "d2", "bands", "slots"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -101,10 +108,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, group_size: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar. Each leader a meets its members in
-    groups of about GROUP; within a task one leader's set is held at a time."""
-    sizes = stage(pairs.groupBy("a").agg(F.expr(f"cast(count(1) div {GROUP} as int) + 1").alias("groups")))
+    groups of about group_size; within a task one leader's set is held at a time."""
+    sizes = stage(pairs.groupBy("a").agg(F.expr(f"cast(count(1) div {group_size} as int) + 1").alias("groups")))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
     wanted = dealt.select("a", "part", F.col("b").alias("row_id"), F.lit(1).alias("role")).union(
         dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("row_id"), F.lit(0).alias("role")))
@@ -184,31 +191,33 @@ def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stage(own.join(mixed, "key", "left_semi"))
 
 
-def links_of_rest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def links_of_rest(members: DataFrame, texts: DataFrame, slots: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) among members of a band that differ in root, by comparing all such pairs.
 
-    A band's members are dealt into blocks of about GROUP, and each two blocks meet in one
+    A band's members are dealt into blocks of about ``block``, and each two blocks meet in one
     group; the pairs are formed inside it, each in the first of the bands that it shares, and
-    only links leave it. Pairs that the group's own links connect already are passed over.
+    only links leave it. Pairs that the group's own links connect already are passed over, as
+    are those whose signatures agree in so few slots that a similar pair's hardly ever would
+    (SPREAD); of the others the full sets decide.
     """
-    blocks = stage(members.groupBy("key").agg(F.expr(f"cast(count(1) div {GROUP} as int) + 1").alias("blocks")))
+    blocks = stage(members.groupBy("key").agg(F.expr(f"cast(count(1) div {block} as int) + 1").alias("blocks")))
     keys = stage(members.groupBy("row_id").agg(F.sort_array(F.collect_set("key")).alias("keys")))
     dealt = (members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("row_id", "key", "root", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
-    met = (dealt.join(keys, "row_id").join(texts.select("row_id", "text"), "row_id")
+    met = (dealt.join(keys, "row_id").join(slots, "row_id").join(texts.select("row_id", "text"), "row_id")
            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id"))
 
     def compare(batches):
         group, rows = None, []
         for batch in small_batches(batches, "text"):
             sets = shingle_sets(batch.column("text"))
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "row_id", "root", "own", "keys")]
-            for key, i, j, row, root, own, keys, grams in zip(*cols, sets, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "row_id", "root", "own", "keys", "slots")]
+            for key, i, j, row, root, own, keys, slot, grams in zip(*cols, sets, strict=True):
                 if (key, i, j) != group:
                     yield links(group, rows)
                     group, rows = (key, i, j), []
-                rows.append((row, root, own, frozenset(keys), frozenset(grams.tolist())))
+                rows.append((row, root, own, keys, slot, grams))
         yield links(group, rows)
 
     def links(group, rows):
@@ -220,21 +229,29 @@ def links_of_rest(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
                 parent[x] = x = parent[p]
             return x
 
-        for k, (b, broot, bown, bkeys, bset) in enumerate(rows):
-            for a, aroot, aown, akeys, aset in rows[:k]:
-                if aroot == broot or (group[1] != group[2] and aown == bown):
-                    continue
-                small, large = sorted((len(aset), len(bset)))
-                if 100 * small < percent * large or min(akeys & bkeys) != group[0] or top(aroot) == top(broot):
-                    continue
-                both = len(aset & bset)
-                if 100 * both >= percent * (small + large - both):
-                    parent[top(broot)] = top(aroot)
-                    found[0].append(min(a, b))
-                    found[1].append(max(a, b))
+        if len(rows) > 1:
+            ids, roots, own, keys, slot, sets = zip(*rows, strict=True)
+            root, part, size = np.array(roots), np.array(own), np.array([len(x) for x in sets])
+            sign = np.frombuffer(b"".join(slot), np.uint8).reshape(len(rows), -1)
+            least = slots_in_common(sign.shape[1], percent)
+            for b in range(1, len(rows)):
+                near = (root[:b] != root[b]) & ((group[1] == group[2]) | (part[:b] != part[b]))
+                near &= np.minimum(size[:b], size[b]) * 100 >= np.maximum(size[:b], size[b]) * percent
+                near = np.flatnonzero(near)
+                for a in near[(sign[near] == sign[b]).sum(1) >= least].tolist():
+                    if top(roots[a]) != top(roots[b]) and min(set(keys[a]) & set(keys[b])) == group[0] and similar(sets[a], sets[b], percent):
+                        parent[top(roots[b])] = top(roots[a])
+                        found[0].append(min(ids[a], ids[b]))
+                        found[1].append(max(ids[a], ids[b]))
         return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
-    return met.select("key", "i", "j", "row_id", "root", "own", "keys", "text").mapInArrow(compare, "a bigint, b bigint")
+    return met.select("key", "i", "j", "row_id", "root", "own", "keys", "slots", "text").mapInArrow(compare, "a bigint, b bigint")
+
+
+def slots_in_common(slots: int, percent: int) -> int:
+    """A pair at the limit agrees in fewer with a chance of about 1e-10."""
+    p = percent / 100
+    return max(0, math.floor(slots * p - SPREAD * math.sqrt(slots * p * (1 - p))))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -243,10 +260,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     return bucketed(rows, "row_id", partitions(docs.sparkSession))
 
 
-def rooted(texts: DataFrame, percent: int) -> DataFrame:
+def rooted(texts: DataFrame, percent: int, group: int, block: int) -> DataFrame:
     """row_id, doc_id, n_shingles and root of each row."""
     bands = bands_for(percent)
-    sigs = stage(texts.mapInArrow(lambda batches: signatures(batches, bands), "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+    sigs = stage(texts.mapInArrow(lambda batches: signatures(batches, bands), "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, slots binary"))
     full = sigs.filter("n_shingles > 0")
     classes = stage(full.groupBy("d1", "d2").agg(F.min("row_id").alias("rep")))
     firsts = full.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
@@ -267,12 +284,12 @@ def rooted(texts: DataFrame, percent: int) -> DataFrame:
         pairs = (members.join(led, "key").filter((F.col("a") != F.col("row_id")) & fits("n", "an", percent))
                  .select("a", F.col("row_id").alias("b")).distinct())
         pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = verified(pairs, texts, percent)
+        found = verified(pairs, texts, percent, group)
         links = stage(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         roots = stage(components(links))
         members = stage(members.join(led, "key").filter("row_id != a").select("key", "row_id", "n", "weight"))
-    extra = stage(links_of_rest(still_apart(members, roots), texts, percent))
+    extra = stage(links_of_rest(still_apart(members, roots), texts, sigs.select("row_id", "slots"), percent, block))
     if extra.head(1):
         roots = stage(components(links.union(extra)))
 
@@ -282,7 +299,7 @@ def rooted(texts: DataFrame, percent: int) -> DataFrame:
     return stage(rows.join(roots, F.col("rep") == F.col("node"), "left").select("row_id", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
     Sets are the distinct runs of five words, A-Z lower-cased; documents with fewer words
@@ -290,24 +307,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows whose similarity is percent / 100 or more are linked, component_id is the smallest doc_id that
     a row reaches, and kept are the rows that bear it.
 
-    Rows with equal sets are one class from the start. Classes that share a band are compared
+    Rows with equal sets (by a 128-bit digest of all of it) are one class from the start. Classes that share a band are compared
     with the band's leader, its most connected member; after ROUNDS such leaders, all members
-    of a band that are still not connected are compared
-    with one another, so that no link of a shared band is lost. A row is a node of its own,
+    of a band that are still not connected are compared with one another, so that no link of
+    a shared band is lost; group and block bound what one task compares. A row is a node of its own,
     so a repeated doc_id does not link rows; a null doc_id is passed over in the minimum,
     and where a component has no other, component_id is null and kept true. Further columns
     are ignored; an empty table gives no rows.
     """
     texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = rooted(texts, percent)
+    rows = rooted(texts, percent, group, block)
     least = stage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """The rows of docs without those that near_duplicates links with a kept one: of each component
     the row with the smallest doc_id stays (a null one last), of equal ones one row."""
     texts = numbered(docs.withColumn("_given", F.struct("*")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_given"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
-    kept = stage(rooted(texts.drop("_given"), percent).groupBy("root").agg(first).select("first.row_id"))
+    kept = stage(rooted(texts.drop("_given"), percent, group, block).groupBy("root").agg(first).select("first.row_id"))
     return texts.join(kept, "row_id", "left_semi").select("_given.*")
