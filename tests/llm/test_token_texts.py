@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import token_files as tf
@@ -20,7 +21,7 @@ def plain(texts):
 
 def coded(texts, **options):
     coder = tf.Encoder(PATH, **options)
-    return [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)]
+    return [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(pa.array(texts, pa.string()))]
 
 
 def test_texts_without_blanks():
@@ -59,3 +60,28 @@ def test_special_tokens_in_texts(spark):
     assert [r.ids for r in tf.token_files(docs, PATH, digest=False).orderBy("doc_id").collect()] == ends
     literal = [r.ids for r in tf.token_files(docs, PATH, digest=False, literal_markers=True).orderBy("doc_id").collect()]
     assert literal[0] == [637, 27, 347, 40786, 4160, 91, 285, 1237, 1] and literal[3] == ends[3]
+
+
+ODD = ["don't", "It's", "ÉCOLE", "e\u0301te\u0301", "İstanbul", "ΣΑΣ", "straße!", "ª", "xº", "a\xa0b", "\u3000", "a\x1cb", "漢字かな", "1st", "a.b", "!!", ".", "\x85", "foo,bar", "\u200b", "ﬁ", "\x00"]
+
+
+@pytest.mark.parametrize("most", [30, 1_000_000])
+def test_odd_words(monkeypatch, most):
+    """Words, marks and white space of many kinds, with a cache that holds them and with one that must forget."""
+    monkeypatch.setattr(tf, "CACHE_WORDS", most)
+    r = random.Random(most)
+    blanks = [" ", "\t", "\n", "\r\n", "\x0b", "\x0c", "  ", ""]
+    texts = ["".join(r.choice([*ODD, "Plain", "words.", "wo"]) + r.choice(blanks) for _ in range(r.randrange(40))) for _ in range(400)]
+    coder = tf.Encoder(PATH)
+    got = [np.frombuffer(x, coder.dtype).tolist() for i in range(0, 400, 20) for x in coder.encode(pa.array([*texts[i:i + 20], None], pa.string()))[:-1]]
+    assert got == plain(texts)
+
+
+def test_other_tokenizers():
+    """One that keeps white space and case is not cut at blanks."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    coder, t, texts = tf.Encoder(path), Tokenizer.from_file(path), ["Two  words", " one", "", "\n\n"]
+    assert not coder.by_word and tf.cuts_at_blanks(PATH)
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,7 @@ END_ID = 1
 SAMPLE_DOCS, SAMPLE_IDS = 400, 4096   # the dictionary is trained on at most so many documents, and ids of each
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-CACHE_WORDS = 700_000
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 32 << 20  # words that a process remembers, at most about
 PIECE = 1 << 20
 
 BLOCKS = T.StructType([
@@ -29,82 +31,140 @@ BLOCKS = T.StructType([
     T.StructField("n_tokens", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
 
 
+#: The normalizer and pre-tokenizer of tokenizers whose words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the tokenizer drops white space, lowers letters, and marks ends of words."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (spec.get("normalizer") == NORMALIZER and [x for x in pre.get("pretokenizers", ()) if x["type"] != "ByteLevel"] == [SPLIT]
+            and len(pre["pretokenizers"]) == 2 and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
+            and not model.get("dropout") and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]))
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes. The tokenizer cuts at ASCII white space and drops
-    it, so what stands between is encoded by itself, and words of letters are remembered in
-    lower case, as the tokenizer lowers them anyway. With literal_markers the names of special
-    tokens in a text are plain text; else they are those tokens, as the tokenizer has it."""
+    """Ids of texts. Where the tokenizer cuts at white space and drops it, what stands between
+    is encoded by itself and remembered; words of letters are learned in lower case, as the
+    tokenizer lowers them anyway. Other tokenizers get each text whole. With literal_markers the
+    names of special tokens in a text are plain text; else they are those tokens, as the tokenizer has it."""
 
     def __init__(self, path: str, literal_markers: bool = False):
         from tokenizers import Tokenizer
+        from tokenizers import normalizers as N
+        from tokenizers import pre_tokenizers as P
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal_markers
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.by_word = cuts_at_blanks(path)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {}  # of letters, in lower case
-        self.seen: dict[str, bytes] = {}   # as they stand in the texts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        long = {i: b"".join(self.of_piece(p) for p in pieces(t)) for i, t in enumerate(texts) if len(t) > PIECE}  # first, as it may clear seen
-        split = [blank_split(t) if len(t) <= PIECE else None for t in texts]
-        words = set().union(*(s for s in split if s))
-        if len(self.seen) + len(words) > CACHE_WORDS:
-            self.seen.clear()
-        self.seen.update(self.of(words - self.seen.keys()))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, s)) if s is not None else long[i] for i, s in enumerate(split)]
-
-    def of_piece(self, piece: str) -> bytes:
-        """A piece that is still too long has no blank; it is one word."""
-        return (self.encode if len(piece) <= PIECE else self.one)([piece])[0]
-
-    def of(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each word; one of letters only with a mark behind it is two words."""
-        plain, known, odd = {}, self.words, []
-        for w in words:
-            core = w[:-1] if w[-1:] in MARKS else w
-            if core.isalpha() and (core.isascii() or (max(core) < "\u0100" and core[-1] not in "\xaa\xba")):
-                plain[w] = core.lower()
-            else:
-                odd.append(w)
-        new = set(plain.values()) - known.keys()
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(plain.values())
-        self.learn(list(new))
-        marks = dict(zip(MARKS, self.one(list(MARKS)), strict=True))
-        out = {w: known[c] if len(w) == len(c) else known[c] + marks[w[-1]] for w, c in plain.items()}
-        out.update(zip(odd, self.one(odd), strict=True))
+        self.lower = Tokenizer.from_file(path)  # the same model for words of lower-case letters, which need no rules
+        self.lower.normalizer = N.Sequence([])
+        self.lower.pre_tokenizer = P.Sequence([P.Split(" ", "removed"), P.ByteLevel(add_prefix_space=False, use_regex=False)])
+        found = [np.frombuffer(x, self.dtype) for x in self.one(list(MARKS))]
+        self.marks = np.array([x[0] if len(x) == 1 else 0 for x in found], self.dtype)
+        self.by_word &= all(len(x) == 1 for x in found)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.bytes = 0
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0   # ids of all known words
+        self.place, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return self.one(texts.to_pylist())
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        out, i = [], 0
+        for k in [*np.flatnonzero(sizes > PIECE).tolist(), len(texts)]:
+            out += self.of_words(texts.slice(i, k - i))
+            if k < len(texts):
+                out.append(b"".join(b"".join(self.of_words(pa.array([p]))) for p in pieces(texts[k].as_py())))
+            i = k + 1
         return out
 
-    def one(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
-
-    def learn(self, words: list[str]) -> None:
-        """Many words in one call; each ends with the one id that ends a word."""
+    def of_words(self, texts: pa.Array) -> list[bytes]:
+        """All words of the texts as numbers and marks, then the ids of all in one gathering."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        number, mark = self.numbers(coded.dictionary)
+        word = coded.indices.to_numpy()
+        number, mark = number[word], mark[word]
+        n = self.length[number]
+        stop = np.cumsum(n + (mark >= 0))
+        at = np.arange(stop[-1]) + np.repeat(self.place[number] - (stop - n - (mark >= 0)), n + (mark >= 0))
+        ids = self.pool[at]
+        marked = np.flatnonzero(mark >= 0)
+        ids[stop[marked] - 1] = self.marks[mark[marked]]
+        ids = ids.tobytes()
+        off = np.concatenate([[0], stop])[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width
+        return [ids[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What each word is known as, and the mark behind it, or -1: a word of letters with a mark is two."""
+        plain = pc.match_substring_regex(words, LETTERS)
+        core = pc.utf8_rtrim(words, "".join(MARKS))
+        marked = pc.and_(plain, pc.not_equal(core, words)).to_numpy(zero_copy_only=False)
+        mark = np.full(len(words), -1)
+        mark[marked] = pc.index_in(pc.utf8_slice_codeunits(words.filter(pa.array(marked)), -1), value_set=pa.array(MARKS)).to_numpy()
+        core = pc.if_else(plain, pc.utf8_lower(core), words)
+        kinds = core.dictionary_encode()
+        names = kinds.dictionary.to_numpy(zero_copy_only=False)
+        found = np.fromiter((-1 if k is None else k for k in map(self.known.get, names)), np.int64, len(names))
+        if found.min() < 0:
+            if self.known and (len(self.known) + (found < 0).sum() > CACHE_WORDS or self.bytes > CACHE_BYTES):
+                self.forget()
+                found[:] = -1
+            letters = np.zeros(len(names), bool)
+            letters[kinds.indices.to_numpy()] = plain.to_numpy(zero_copy_only=False)
+            for some in (letters, ~letters):
+                self.learn(names[(found < 0) & some].tolist(), some is letters)
+            new = np.flatnonzero(found < 0)
+            found[new] = [self.known[x] for x in names[new]]
+        return found[kinds.indices.to_numpy()], mark
+
+    def learn(self, words: list[str], plain: bool) -> None:
+        """Plain words are in lower case and learned many in one call; each ends with the one id that ends a word."""
+        ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 2048):
             part = words[i:i + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(part) and stop[-1] == len(ids):
-                raw, at = ids.tobytes(), (stop * self.width).tolist()
-                self.words.update(zip(part, (raw[x:y] for x, y in zip([0, *at], at, strict=False)), strict=True))
-            else:
-                self.words.update(zip(part, self.one(part), strict=True))
+            own = np.array(self.lower.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids if plain else [], self.dtype)
+            stop = np.flatnonzero(self.ends[own]) + 1
+            if not plain or len(stop) != len(part) or stop[-1] != len(own):
+                each = self.one(part)
+                own, stop = np.frombuffer(b"".join(each), self.dtype), np.cumsum([len(x) // self.width for x in each])
+            ids.append(own)
+            sizes.append(np.diff(stop, prepend=0))
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        k, more = len(self.known), len(words)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while k + more > len(self.place):
+            self.place, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.length))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.length[k:k + more] = sizes
+        self.place[k:k + more] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + more), strict=True))
+        self.bytes += sum(map(len, words))
 
-
-MARKS = (".", ",", ";", ":", "!", "?")
-CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split, but not to tokenizers
-
-
-def blank_split(text: str) -> list[str]:
-    return text.translate(BLANK).split(" ") if any(c in text for c in CONTROLS) else text.split()
+    def one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
 
-BLANK = str.maketrans("\t\n\r\f\v", "     ")
+MARKS = (".", ",", ";", ":", "!", "?")
+LETTERS = "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]?$"  # lowering these is the same everywhere
 
 
 def pieces(text: str):
@@ -122,6 +182,8 @@ def pieces(text: str):
     yield text[at:]
 
 
+BLANK = str.maketrans("\t\n\r\f\v", "     ")
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -140,7 +202,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, literal_markers: bool = Fa
     def ids(batches):
         for batch in batches:
             coder = encoder(tokenizer, literal_markers)
-            out = [x[:SAMPLE_IDS * coder.width] for x in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
+            out = [x[:SAMPLE_IDS * coder.width] for x in coder.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     rows = [bytes(r[0]) for r in sample.mapInArrow(ids, "ids binary").collect() if r[0]]
@@ -176,7 +238,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     shared = spark.sparkContext.broadcast(trained)
 
     def encode(batches):
-        coder, press = encoder(tokenizer, literal_markers), zstandard.ZstdCompressor(level=3, dict_data=dictionary(shared.value))
+        coder, common = encoder(tokenizer, literal_markers), dictionary(shared.value)
+        common.precompute_compress(level=3)
+        press = zstandard.ZstdCompressor(level=3, dict_data=common)
         end = np.array([end_id], coder.dtype).tobytes()
         shard, block = TaskContext.get().partitionId(), 0
         ids, offsets, sizes, frames, size = [], [], [], [], 0
@@ -186,22 +250,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                    "offset": [offsets], "n_tokens": [sizes], "data": [b"".join(frames)]}
             return pa.RecordBatch.from_pydict(row, schema=ARROW)
 
-        for batch in small_batches(batches, "text"):
-            texts = batch.column("text")
-            for i in range(0, len(texts), 1024):
-                coded = coder.encode([t or "" for t in texts.slice(i, 1024).to_pylist()])
-                for doc, raw in zip(batch.column("doc_id").slice(i, 1024).to_pylist(), coded, strict=True):
-                    raw += end
-                    frame = press.compress(raw)
-                    ids.append(doc)
-                    offsets.append(size)
-                    sizes.append(len(raw) // coder.width)
-                    frames.append(frame)
-                    size += len(frame)
-                    if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
-                        yield flush()
-                        block += 1
-                        ids, offsets, sizes, frames, size = [], [], [], [], 0
+        for batch in small_batches(batches, "text", 8 << 20):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")), strict=True):
+                frame = press.compress(raw + end)
+                ids.append(doc)
+                offsets.append(size)
+                sizes.append(len(raw) // coder.width + 1)
+                frames.append(frame)
+                size += len(frame)
+                if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+                    yield flush()
+                    block += 1
+                    ids, offsets, sizes, frames, size = [], [], [], [], 0
         if ids:
             yield flush()
 
