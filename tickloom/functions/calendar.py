@@ -15,11 +15,16 @@ def minute_of_day(ts: Column) -> Column:
 
 
 def market_session(ts_ms: Column) -> Column:
+    """Of the New York day and minute; early closes end the regular session, and a holiday is one all day."""
     ny = new_york(ts_ms)
     m, day = minute_of_day(ny), F.to_date(ny)
     close = F.when(early_close(day), 780).otherwise(960)
-    return (F.when(F.dayofweek(day).isin(1, 7), "WEEKEND").when((m >= 570) & (m < close), "REGULAR").when((m >= 240) & (m < 570), "PRE_MARKET")
-            .when((m >= close) & (m < 1200), "EXTENDED").otherwise("NIGHT"))
+    return (F.when(F.dayofweek(day).isin(1, 7), "WEEKEND").when(market_holiday(day).isNotNull(), "HOLIDAY").when((m >= 570) & (m < close), "REGULAR")
+            .when((m >= 240) & (m < 570), "PRE_MARKET").when((m >= close) & (m < 1200), "EXTENDED").otherwise("NIGHT"))
+
+
+def market_closed(ts_ms: Column) -> Column:
+    return market_session(ts_ms) != "REGULAR"
 
 
 def easter(year: Column) -> Column:
@@ -32,7 +37,7 @@ def easter(year: Column) -> Column:
 
 
 def nth_weekday(day: Column, month: int, weekday: int, n: int) -> Column:
-    return (F.month(day) == month) & (F.dayofweek(day) == weekday) & (F.expr("1") * F.floor((F.dayofmonth(day) - 1) / 7) == n - 1)
+    return (F.month(day) == month) & (F.dayofweek(day) == weekday) & (F.floor((F.dayofmonth(day) - 1) / 7) == n - 1)
 
 
 def observed(day: Column, month: int, dom: int) -> Column:

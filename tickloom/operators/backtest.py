@@ -1,11 +1,7 @@
-"""Fills, ledgers, NAV, performance, and sweeps of strategies."""
+"""Fills, ledgers, NAV and performance, and sweeps of strategies whose orders do not depend on NAV."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +11,13 @@ YEAR = 252 * 390
 
 
 def fill_costs(orders: DataFrame, bars: DataFrame, gamma: float = 0.1, rate: float = 0.0001, flat: float = 1.0) -> DataFrame:
-    """Orders (symbol, order_id, ts_ms, side, qty) at their symbol's next bar: slippage grows with the share of its volume."""
-    timed = next_bar(orders.select("symbol", "order_id", "ts_ms"), bars).filter("fill_start IS NOT NULL")
-    b = bars.select("symbol", F.col("bar_start").alias("fill_start"), "close", "volume")
+    """Orders (symbol, ts_ms, side, qty, ...) at their symbol's next bar: slippage grows with the share of its volume.
+
+    Each order is a row of its own, whatever its id; one without a later bar is not filled.
+    """
     slip = F.when(F.col("volume") > 0, gamma * F.col("qty") / F.col("volume")).otherwise(0.0)
     price = F.col("close") * F.when(F.col("side") == "BUY", 1 + slip).otherwise(1 - slip)
-    return (orders.join(timed.select("order_id", "fill_start"), "order_id").join(b, ["symbol", "fill_start"]).withColumn("exec_price", price)
+    return (next_bar(orders, bars, ("close", "volume")).filter("fill_start IS NOT NULL").withColumn("exec_price", price)
             .withColumn("commission", F.col("qty") * F.col("exec_price") * rate + flat))
 
 
@@ -35,12 +32,12 @@ def cash_ledger(fills: DataFrame, initial: float, order: list[str]) -> DataFrame
 
 
 def nav_series(bars: DataFrame, fills: DataFrame, initial: float) -> DataFrame:
-    """Cash and positions at every bar time; a fill's price is the mark after its bar's close, until the next bar."""
+    """Cash and positions at every time of a bar or fill of the run's symbols; a fill's price is the mark after its bar's
+    close, until the next bar. Bars meet the (run, symbol) pairs that have fills, as other symbols do not change a NAV."""
     cost = F.col("qty") * F.col("exec_price")
     flow = F.when(F.col("side") == "BUY", -(cost + F.col("commission"))).otherwise(cost - F.col("commission"))
     signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")).cast("double")
-    runs = fills.select("run_id").distinct()
-    marks = bars.join(runs).select("run_id", "symbol", F.col("bar_start").alias("ts_ms"), F.lit(0).cast("long").alias("rank"), F.col("close").alias("mark"),
+    marks = bars.join(fills.select("run_id", "symbol").distinct(), "symbol").select("run_id", "symbol", F.col("bar_start").alias("ts_ms"), F.lit(0).cast("long").alias("rank"), F.col("close").alias("mark"),
                                    F.lit(0.0).alias("q"), F.lit(0.0).alias("flow"))
     events = marks.unionByName(fills.select("run_id", "symbol", F.col("fill_start").alias("ts_ms"), (F.col("order_id") + 1).cast("long").alias("rank"),
                                             F.col("exec_price").alias("mark"), signed.alias("q"), flow.alias("flow")))
@@ -86,43 +83,29 @@ def step_reward(nav: DataFrame, lam: float) -> DataFrame:
         "reward", gain - lam * F.col("turnover") / F.col("nav") - F.col("commission") / F.col("nav")).drop("before")
 
 
-def backtest_sweep(bars: DataFrame, params: DataFrame, decide: Callable, initial: float = 100_000.0, gamma: float = 0.1, rate: float = 0.0001, flat: float = 1.0) -> DataFrame:
-    """NAV of each run of params (run_id, symbol, ...): one symbol a run, runs in parallel, each sequential as NAV feeds back.
+def signal_orders(signals: DataFrame, qty: float) -> DataFrame:
+    """Orders (run_id, symbol, order_id, ts_ms, side, qty) of a strategy that holds qty or -qty as its signal (1, -1 or
+    null) says: one where the signal changes, of qty from nothing and of twice as much to the other side."""
+    w = Window.partitionBy("run_id", "symbol").orderBy("bar_start")
+    before = F.coalesce(F.lag("signal").over(w), F.lit(0))
+    step = (F.col("signal") - F.col("before")) * F.lit(qty)
+    return (signals.filter("signal IS NOT NULL").withColumn("before", before).filter("signal != before")
+            .select("run_id", "symbol", F.col("bar_start").alias("order_id"), F.col("bar_start").alias("ts_ms"),
+                    F.when(step > 0, "BUY").otherwise("SELL").alias("side"), F.abs(step).alias("qty")))
+
+
+def sma_sweep(bars: DataFrame, params: list[tuple[int, int]], qty: float, initial: float) -> DataFrame:
+    """Performance of a moving-average crossover of fixed size for each (fast, slow) and symbol, a run each; all runs side by side in one plan.
 
-    decide(closes so far, parameters) gives a weight or None; an order for the difference fills at the next bar.
-    Parameters are dealt into chunks for each symbol, so bars travel once a chunk and not once a run.
+    Orders fill at the next bar with its costs, and NAV begins with the initial capital. A run that never trades has no row.
     """
-    names = params.columns
-    chunks = params.withColumn("chunk", F.pmod(F.xxhash64("run_id"), F.lit(8))).groupBy("symbol", "chunk").agg(F.collect_list(F.struct(*names)).alias("runs"))
-    left = (bars.join(chunks.select("symbol", "chunk"), "symbol")
-            .select(F.col("symbol").alias("s"), F.col("chunk").alias("c"), "bar_start", "close", "volume"))
-
-    def play(key, own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("bar_start")
-        out = []
-        for run in todo["runs"].iloc[0] if len(todo) else ():
-            run = run.asDict() if hasattr(run, "asDict") else dict(run)
-            cash, held, pending, closes = initial, 0, 0, []
-            out.append((run["run_id"], 0, None, initial))
-            for step, (at, close, volume) in enumerate(zip(own["bar_start"], own["close"], own["volume"], strict=True), 1):
-                mark = close
-                if pending:
-                    slip = gamma * abs(pending) / volume if volume > 0 else 0.0
-                    mark = close * (1 + slip if pending > 0 else 1 - slip)
-                    cash -= pending * mark + abs(pending) * mark * rate + flat
-                    held, pending = held + pending, 0
-                closes.append(close)
-                nav = cash + held * mark
-                weight = decide(np.array(closes), run)
-                if weight is not None and close > 0 and np.isfinite(nav / close):
-                    pending = int(round(weight * nav / close)) - held
-                out.append((run["run_id"], step, at, nav))
-        return pd.DataFrame(out, columns=["run_id", "step", "ts_ms", "nav"]).astype({"ts_ms": "Int64"})
-
-    return left.groupBy("s", "c").cogroup(chunks.groupBy("symbol", "chunk")).applyInPandas(play, "run_id long, step long, ts_ms long, nav double")
-
-
-def sma_weight(closes: np.ndarray, run: dict) -> float | None:
-    if len(closes) < run["slow"]:
-        return None
-    return 0.5 if closes[-run["fast"]:].mean() > closes[-run["slow"]:].mean() else -0.5
+    w = Window.partitionBy("symbol").orderBy("bar_start")
+    mean = lambda n: F.avg("close").over(w.rowsBetween(-(n - 1), 0))
+    signals = [F.struct(F.concat_ws(":", "symbol", F.lit(f"{a}-{b}")).alias("run_id"),
+                        F.when(F.row_number().over(w) >= b, F.when(mean(a) > mean(b), 1).otherwise(-1)).alias("signal")) for a, b in params]
+    runs = bars.select("symbol", "bar_start", F.array(*signals).alias("all")).select("symbol", "bar_start", F.inline("all"))
+    fills = fill_costs(signal_orders(runs, qty), bars)
+    nav = nav_series(bars, fills, initial)
+    steps = nav.withColumn("step", F.row_number().over(Window.partitionBy("run_id").orderBy("ts_ms"))).select("run_id", "step", "nav")
+    start = steps.select("run_id").distinct().select("run_id", F.lit(0).alias("step"), F.lit(initial).alias("nav"))
+    return performance_metrics(start.unionByName(steps))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 LATE_MS = 100
 
 
@@ -80,10 +82,24 @@ def first_source(*sources: DataFrame) -> DataFrame:
 
 def anchored_line(ticks: DataFrame, interval_ms: int) -> DataFrame:
     """Points that a tick joins while it is nearer than the interval to the point's first tick; value is the last tick's."""
-    step = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("seq", "ts_ms", "price"))), F.expr("cast(array() as array<struct<time:bigint,value:double>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["ts_ms"] - F.try_element_at(acc, F.lit(-1))["time"] < interval_ms),
-                              F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                                       F.array(F.struct(F.try_element_at(acc, F.lit(-1))["time"].alias("time"), x["price"].alias("value")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x["ts_ms"].alias("time"), x["price"].alias("value"))))))
-    return ticks.groupBy("symbol").agg(step.alias("points")).select("symbol", F.inline("points"))
+    def step(point, r):
+        if point[1] is None or r["ts_ms"] - point[1] < interval_ms:
+            return (r["symbol"], r["ts_ms"] if point[1] is None else point[1], r["price"]), []
+        return (r["symbol"], r["ts_ms"], r["price"]), [point]
+
+    return fold_sorted(ticks.select("symbol", "seq", "ts_ms", "price"), "symbol", ["seq"], lambda r: (r["symbol"], None, None), step,
+                       "symbol string, time long, value double", lambda point: [point])
+
+
+def newest_asc(bars: DataFrame, n: int = 1000, time: str = "bar_start") -> DataFrame:
+    """The newest n bars of each symbol, oldest first."""
+    return last_n(bars, n, time).orderBy("symbol", time)
+
+
+def one_table(**kinds: DataFrame) -> DataFrame:
+    """Bars, fillers and corrections in one table with a column kind; columns that one lacks are null."""
+    out = None
+    for kind, df in kinds.items():
+        own = df.withColumn("kind", F.lit(kind))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

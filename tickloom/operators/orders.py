@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 # The status codes and the legal changes of state.
-STATUS = ["PENDING", "SUBMITTED", "PARTIALLY_FILLED", "FILLED", "PENDING_CANCEL", "CANCELED", "REJECTED"]
+STATUS = ["UNSPECIFIED", "PENDING", "SUBMITTED", "PARTIALLY_FILLED", "FILLED", "CANCELED", "REJECTED", "PENDING_CANCEL"]
 LEGAL = [("PENDING", "SUBMITTED"), ("PENDING", "REJECTED"), ("SUBMITTED", "PARTIALLY_FILLED"), ("SUBMITTED", "FILLED"),
          ("SUBMITTED", "PENDING_CANCEL"), ("SUBMITTED", "REJECTED"), ("PARTIALLY_FILLED", "PARTIALLY_FILLED"), ("PARTIALLY_FILLED", "FILLED"),
          ("PARTIALLY_FILLED", "PENDING_CANCEL"), ("PENDING_CANCEL", "CANCELED"), ("PENDING_CANCEL", "FILLED")]
@@ -19,17 +21,24 @@ def validate_orders(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", bad)
 
 
-def dedup_submits(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("order_id").orderBy("seq")
-    return df.withColumn("answer", F.when(F.row_number().over(w) == 1, "ACCEPTED").otherwise("IDEMPOTENT_RETRY"))
+def dedup_submits(df: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """The first submit of an order is SUBMITTED; a later one is a retry, answered with the order's state if states
+    (order_id, state) are given."""
+    first = F.row_number().over(Window.partitionBy("order_id").orderBy("seq")) == 1
+    out = df.withColumn("answer", F.when(first, "SUBMITTED").otherwise("IDEMPOTENT_RETRY"))
+    if states is None:
+        return out
+    known = states.select("order_id", F.col("state").alias("current"))
+    return out.join(known, "order_id", "left").withColumn("status", F.when(F.col("answer") == "SUBMITTED", "SUBMITTED").otherwise(F.coalesce("current", F.lit("SUBMITTED")))).drop("current")
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """State and filled quantity of each order; the first event adds no quantity."""
+    """Orders from their events: the first one sets symbol, price and total, and adds no quantity; the last one sets state and correlation."""
     w = Window.partitionBy("order_id").orderBy("event_seq")
     add = F.when((F.col("n") > 1) & F.col("state").isin("PARTIALLY_FILLED", "FILLED"), F.col("delta_qty")).otherwise(0)
     return events.withColumn("n", F.row_number().over(w)).groupBy("order_id").agg(
-        F.min_by("total_qty", "event_seq").alias("total_qty"), F.max_by("state", "event_seq").alias("state"), F.sum(add).alias("cum_qty"))
+        *(F.min_by(c, "event_seq").alias(c) for c in ("symbol", "price", "total_qty") if c in events.columns), F.max_by("state", "event_seq").alias("state"),
+        *(F.max_by(c, "event_seq").alias(c) for c in ("correlation_id",) if c in events.columns), F.sum(add).alias("cum_qty"))
 
 
 def cumulative_fills(events: DataFrame) -> DataFrame:
@@ -54,21 +63,29 @@ def resolve_cancels(requests: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def decode_status(c):
-    return F.try_element_at(F.array(*map(F.lit, STATUS)), c.cast("int"))
+    """Name of a status code; null for others."""
+    return F.get(F.array(*map(F.lit, STATUS)), c.cast("int"))
+
+
+def encode_status(c):
+    """Code of a status name; null for others."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, STATUS)), c), F.lit(0)) - 1
 
 
 def risk_decisions(orders: DataFrame, cap: float, blocked: list[str] | None = None) -> DataFrame:
     """Decision on each order (order_id, account_id, seq, symbol, value, margin): in order of arrival, only approved
-    ones use the account's margin. What margin does not decide is decided first; the rest is one fold an account."""
+    ones use the account's margin, which is that of its first order. What margin does not decide is decided first and
+    moves nowhere; the rest is a fold of one number an account."""
     early = (F.when(F.col("symbol").isin(blocked or []), "BLACKLISTED").when(F.col("value").isNull(), "INVALID_ARGUMENTS")
              .when(F.col("value") > cap, "EXCEEDS_MAX_CAP"))
     rows = orders.withColumn("early", early)
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("seq", "order_id", "value"))),
-        F.struct(F.max("margin").alias("left"), F.expr("cast(array() as array<struct<order_id:bigint,decision:string>>)").alias("out")),
-        lambda a, x: F.struct((a["left"] - F.when(x["value"] <= a["left"], x["value"]).otherwise(0.0)).alias("left"), F.concat(a["out"], F.array(F.struct(
-            x["order_id"].alias("order_id"), F.when(x["value"] <= a["left"], "APPROVED").otherwise("INSUFFICIENT_MARGIN").alias("decision")))).alias("out")), lambda a: a["out"])
-    checked = rows.filter("early IS NULL").groupBy("account_id").agg(fold.alias("d")).select("account_id", F.inline("d"))
+
+    def step(left, r):
+        fits = r["value"] <= left
+        return left - r["value"] if fits else left, [(r["account_id"], r["order_id"], "APPROVED" if fits else "INSUFFICIENT_MARGIN")]
+
+    checked = fold_sorted(rows.filter("early IS NULL").select("account_id", "seq", "order_id", "value", "margin"), "account_id", ["seq", "order_id"],
+                          lambda r: r["margin"] or 0.0, step, "account_id long, order_id long, decision string")
     return rows.filter("early IS NOT NULL").select("account_id", "order_id", F.col("early").alias("decision")).unionByName(checked)
 
 
@@ -80,15 +97,20 @@ def blacklist(feed: DataFrame) -> DataFrame:
 
 
 def breaker(log: DataFrame, failures: int = 3, cooldown_ms: int = 5000) -> DataFrame:
-    """State after each attempt (node, seq, ts_ms, ok): a fold over a node's attempts."""
-    def step(a, x):
-        refused = (a["state"] == "OPEN") & (x["ts_ms"] - a["at"] <= cooldown_ms)
-        probe = a["state"] == "OPEN"
-        fails = F.when(x["ok"], F.lit(0)).otherwise(a["fails"] + 1)
-        state = F.when(refused, F.lit("OPEN")).when(x["ok"], F.lit("CLOSED")).when(probe | (fails >= failures), F.lit("OPEN")).otherwise(F.lit("CLOSED"))
-        return F.struct(F.when(refused, a["fails"]).otherwise(fails).alias("fails"), F.when(refused | (state == "CLOSED"), a["at"]).otherwise(x["ts_ms"]).alias("at"), state.alias("state"),
-                        F.concat(a["out"], F.array(F.struct(x["seq"].alias("seq"), F.when(refused, "REFUSED").when(probe, "HALF_OPEN").otherwise("CLOSED").alias("attempt"), state.alias("state")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("fails"), F.lit(0).cast("long").alias("at"), F.lit("CLOSED").alias("state"),
-                    F.expr("cast(array() as array<struct<seq:bigint,attempt:string,state:string>>)").alias("out"))
-    rows = F.array_sort(F.collect_list(F.struct("seq", "ts_ms", "ok")))
-    return log.groupBy("node").agg(F.aggregate(rows, zero, step, lambda a: a["out"]).alias("o")).select("node", F.inline("o"))
+    """State after each attempt (node, seq, ts_ms, ok), and in which state it was made: so many failures since the last
+    success open it; when open for longer than the cooldown, the next attempt decides; sooner ones are refused."""
+    def step(now, r):
+        state, fails, at = now
+        opened = state == "OPEN"
+        if opened and r["ts_ms"] - at <= cooldown_ms:
+            return now, [(r["node"], r["seq"], "REFUSED", "OPEN")]
+        fails = 0 if r["ok"] else fails + 1
+        if r["ok"]:
+            now = "CLOSED", fails, at
+        elif opened or fails >= failures:
+            now = "OPEN", fails, r["ts_ms"]
+        else:
+            now = "CLOSED", fails, at
+        return now, [(r["node"], r["seq"], "HALF_OPEN" if opened else "CLOSED", now[0])]
+
+    return fold_sorted(log.select("node", "seq", "ts_ms", "ok"), "node", ["seq"], lambda r: ("CLOSED", 0, 0), step, "node string, seq long, attempt string, state string")

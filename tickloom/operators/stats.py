@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import minute_of_day, new_york
@@ -12,6 +12,7 @@ DAYS = {"1w": 7, "1M": 30, "3M": 90, "1y": 365, "5y": 1825}
 SECONDS = {"10s": 10, "15s": 15, "30s": 30, "1m": 60, "2m": 120, "3m": 180, "5m": 300, "10m": 600, "15m": 900, "30m": 1800, "45m": 2700,
            "1h": 3600, "2h": 7200, "3h": 10800, "4h": 14400, "1d": 86400, "1w": 604800}
 MONTHS = {"1M": 1, "6M": 6, "12M": 12}
+BACK = {"1d": "5 days", "1w": "7 days", "1M": "1 month", "3M": "3 months", "1y": "1 year", "5y": "5 years", "all": "25 years"}
 
 
 def interval_seconds(name: str, lenient: bool = False) -> int:
@@ -22,8 +23,31 @@ def interval_seconds(name: str, lenient: bool = False) -> int:
     raise ValueError(f"no interval of fixed length is named {name}")
 
 
-def is_daily(granularity: str, interval: str) -> bool:
-    return granularity in {"1M", "3M", "ytd", "1y", "5y", "all"} or interval in {"1d", "1w", "1m"}
+def intervals(spark: SparkSession) -> DataFrame:
+    """name, seconds (null for calendar months) and months (null for fixed lengths) of every interval."""
+    rows = [(k, v, None) for k, v in SECONDS.items()] + [(k, None, v) for k, v in MONTHS.items()]
+    return spark.createDataFrame(rows, "name string, seconds long, months int")
+
+
+def interval_start(ts_ms: Column, name: str, lenient: bool = False) -> Column:
+    """Milliseconds of the interval's beginning: multiples of fixed lengths since the epoch; of calendar months since its year began."""
+    if name in MONTHS:
+        at, n = F.timestamp_millis(ts_ms), MONTHS[name]
+        return F.unix_millis(F.make_timestamp(F.year(at), (F.month(at) - 1) - (F.month(at) - 1) % n + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)))
+    ms = interval_seconds(name, lenient) * 1000
+    return F.floor(ts_ms / ms) * ms
+
+
+def history_range(bars: DataFrame, granularity: str, now_ms: int) -> DataFrame:
+    """Bars that a history request at the given time is for; names without a range of their own get three months."""
+    now = F.timestamp_millis(F.lit(now_ms))
+    since = F.date_trunc("year", now) if granularity == "ytd" else now - F.expr(f"interval {BACK.get(granularity, '3 months')}")
+    return bars.filter((F.col("bar_start") >= F.unix_millis(since)) & (F.col("bar_start") <= now_ms))
+
+
+def is_daily(granularity: Column, interval: Column) -> Column:
+    """Whether a chart shows days or longer; one of minutes by the name 1m counts as that too."""
+    return granularity.isin("1M", "3M", "ytd", "1y", "5y", "all") | interval.isin("1d", "1w", "1m")
 
 
 def some(a, b):
@@ -39,7 +63,7 @@ def to_line(bars: DataFrame) -> DataFrame:
 
 
 def timeframe_filter(bars: DataFrame, granularity: str) -> DataFrame:
-    """Bars of the last day, so many days, or this year, counted from each symbol's latest bar."""
+    """Bars of the last day, so many days, this year, or all, counted from each symbol's latest bar."""
     last = bars.groupBy("symbol").agg(F.max("bar_start").alias("last"))
     both = bars.join(last, "symbol")
     if granularity == "1d":
@@ -48,8 +72,10 @@ def timeframe_filter(bars: DataFrame, granularity: str) -> DataFrame:
         keep = F.year(F.timestamp_millis("bar_start")) == F.year(F.timestamp_millis("last"))
     elif granularity in DAYS:
         keep = F.col("bar_start") >= F.col("last") - DAYS[granularity] * 86_400_000
+    elif granularity == "all":
+        return bars
     else:
-        keep = F.lit(True)
+        raise ValueError(f"no time frame is named {granularity}")
     return both.filter(keep).drop("last")
 
 
@@ -84,9 +110,13 @@ def period_change(bars: DataFrame, granularity: str) -> DataFrame:
                     percent(close, F.col("regular_open")).alias("close_pct"), off.alias("off_change"), percent(off, F.col("regular_close")).alias("off_pct"))
 
 
-def range_52w(bars: DataFrame, bounds: DataFrame) -> DataFrame:
-    year = timeframe_filter(bars, "1y").groupBy("symbol").agg(F.max(some("high", "close")).alias("h"), F.min(F.when(some("low", "close") > 0, some("low", "close"))).alias("l"))
-    return year.join(bounds, "symbol", "left").select("symbol", F.round(F.greatest("h", "bound_high"), 2).alias("high_52w"), F.round(F.least("l", "bound_low"), 2).alias("low_52w"))
+def range_52w(bars: DataFrame, bounds: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Highest and lowest price of a symbol's last year, widened by bounds (symbol, bound_high, bound_low) and by the bars on display, if given."""
+    low = some("low", "close")
+    ends = lambda df, h, l: df.groupBy("symbol").agg(F.max(some("high", "close")).alias(h), F.min(F.when(low > 0, low)).alias(l))  # noqa: E731, E741
+    out = ends(timeframe_filter(bars, "1y"), "h", "l").join(bounds, "symbol", "left")
+    shown = out.join(ends(valid_bars(current), "ch", "cl"), "symbol", "left") if current is not None else out.withColumns({"ch": F.lit(None).cast("double"), "cl": F.lit(None).cast("double")})
+    return shown.select("symbol", F.round(F.greatest("h", "bound_high", "ch"), 2).alias("high_52w"), F.round(F.least("l", "bound_low", "cl"), 2).alias("low_52w"))
 
 
 def watchlist(bars: DataFrame) -> DataFrame:
@@ -139,6 +169,15 @@ def control_state(events: DataFrame, fields: list[str]) -> DataFrame:
     return events.agg(*[F.max_by("value", own(f)).alias(f) for f in fields])
 
 
+def normalise_symbol(df: DataFrame) -> DataFrame:
+    """Symbols trimmed and in capitals; empty ones go."""
+    return df.withColumn("symbol", F.upper(F.trim("symbol"))).filter("symbol != ''")
+
+
+def with_order_value(df: DataFrame) -> DataFrame:
+    return df.withColumn("order_value", F.col("price") * F.col("quantity"))
+
+
 def tickers_add(tickers: DataFrame, more: DataFrame) -> DataFrame:
     return tickers.unionByName(more).dropDuplicates()
 

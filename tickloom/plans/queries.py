@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar as cal
 from ..operators import asof, backtest, bars as b, features as f, orders as o, stats as s
 from ..sources import ingest, views as v
 from ..sources.views import table
@@ -27,9 +26,14 @@ NAV = f"{BARS}, nav AS (SELECT symbol AS run_id, row_number() OVER (PARTITION BY
 TRADES = """trades AS (SELECT (user_id % 10)::VARCHAR AS symbol, CASE WHEN event_type = 'purchase' THEN 'BUY' ELSE 'SELL' END AS action, value AS price,
  (props->>'k')::DOUBLE AS qty, (epoch_us(ts) // 1000) AS ts_ms, event_id AS seq FROM events WHERE event_type IN ('purchase', 'signup'))"""
 ORDER_EVENTS = """l AS (SELECT l_orderkey AS order_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey) + 2 AS event_seq,
- 'PARTIALLY_FILLED' AS state, l_quantity::INT AS delta_qty, sum(l_quantity) OVER (PARTITION BY l_orderkey)::INT - (l_orderkey % 2)::INT AS total_qty FROM lineitem),
-ev AS (SELECT order_id, event_seq, state, delta_qty, total_qty FROM l UNION ALL SELECT DISTINCT order_id, 1, 'PENDING', 0, total_qty FROM l UNION ALL SELECT DISTINCT order_id, 2, 'SUBMITTED', 0, total_qty FROM l)"""
-REPLAY = """rp AS (SELECT order_id, arg_min(total_qty, event_seq) AS total_qty, arg_max(state, event_seq) AS state,
+ l_quantity::INT AS delta_qty, sum(l_quantity) OVER (PARTITION BY l_orderkey)::INT - (l_orderkey % 2)::INT + CASE WHEN l_orderkey % 11 = 0 THEN 5 ELSE 0 END AS total_qty FROM lineitem),
+per AS (SELECT order_id, max(event_seq) AS n, max(total_qty) AS total_qty FROM l GROUP BY order_id),
+tail(k, i, state) AS (VALUES (1, 1, 'PENDING_CANCEL'), (2, 1, 'PENDING_CANCEL'), (2, 2, 'CANCELED'), (3, 1, 'FILLED'), (4, 1, 'CANCELED'), (5, 1, 'REJECTED'), (6, 1, 'PENDING')),
+ev0 AS (SELECT order_id, event_seq, 'PARTIALLY_FILLED' AS state, delta_qty, total_qty FROM l UNION ALL SELECT order_id, 1, 'PENDING', 0, total_qty FROM per UNION ALL
+ SELECT order_id, 2, 'SUBMITTED', 0, total_qty FROM per UNION ALL SELECT order_id, n + i, state, 0, total_qty FROM per JOIN tail ON order_id % 7 = k),
+ev AS (SELECT *, 'S' || ((order_id + event_seq) % 5) AS symbol, event_seq * 1.5::DOUBLE AS price, order_id || '-' || event_seq AS correlation_id FROM ev0)"""
+REPLAY = """rp AS (SELECT order_id, arg_min(symbol, event_seq) AS symbol, arg_min(price, event_seq) AS price, arg_min(total_qty, event_seq) AS total_qty,
+ arg_max(state, event_seq) AS state, arg_max(correlation_id, event_seq) AS correlation_id,
  sum(CASE WHEN event_seq > 1 AND state IN ('PARTIALLY_FILLED', 'FILLED') THEN delta_qty ELSE 0 END)::BIGINT AS cum_qty FROM ev GROUP BY order_id)"""
 ORDERS = """ord AS (SELECT o_orderkey AS order_id, o_custkey AS account_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq,
  o_orderpriority AS symbol, o_totalprice AS value, 100 * greatest(c_acctbal, 0.0) AS margin, (epoch_us(o_orderdate) // 1000) AS ts_ms FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -144,7 +148,7 @@ def sma_crossover(spark, sf):
 
 
 @query(f"""{FEATURES}, z AS (SELECT symbol, bar_start, n, CASE WHEN n >= 24 THEN (close - avg(close) OVER w) / (stddev_pop(close) OVER w + 1e-8) ELSE 0.0 END AS zscore FROM q {FRAME})
-SELECT symbol, bar_start, CASE WHEN n > 24 THEN CASE WHEN zscore > 1 THEN 0.5 WHEN zscore < -1 THEN -0.5 ELSE 0.0 END END AS weight FROM z""", "weight")
+SELECT symbol, bar_start, CASE WHEN n > 24 THEN CASE WHEN zscore > 1 THEN 0.5 WHEN zscore < -1 THEN -0.5 ELSE 0.0 END END::DOUBLE AS weight FROM z""", "weight")
 def zscore_policy(spark, sf):
     return f.zscore_signal(f.features(hours(spark, sf), 24), 24).select("symbol", "bar_start", "weight")
 
@@ -200,27 +204,31 @@ def order_state_replay(spark, sf):
 
 
 @query(f"""WITH {ORDER_EVENTS}, c AS (SELECT *, sum(CASE WHEN state IN ('PARTIALLY_FILLED', 'FILLED') THEN delta_qty ELSE 0 END) OVER (PARTITION BY order_id ORDER BY event_seq)::BIGINT AS cum_qty FROM ev)
-SELECT *, CASE WHEN cum_qty > total_qty THEN 'OVERFILL' WHEN cum_qty = total_qty AND state = 'PARTIALLY_FILLED' THEN 'FILLED' ELSE state END AS result FROM c""")
+SELECT order_id, event_seq, cum_qty, CASE WHEN cum_qty > total_qty THEN 'OVERFILL' WHEN state = 'FILLED' AND cum_qty < total_qty THEN 'UNDERFILLED'
+ WHEN cum_qty = total_qty AND state = 'PARTIALLY_FILLED' THEN 'FILLED' ELSE state END AS result FROM c""")
 def cumulative_fills(spark, sf):
-    return o.cumulative_fills(v.order_events(spark, sf))
+    return o.cumulative_fills(v.order_events(spark, sf)).select("order_id", "event_seq", "cum_qty", "result")
 
 
-@query(f"""WITH {ORDER_EVENTS}, p AS (SELECT order_id, event_seq, state, lag(state) OVER (PARTITION BY order_id ORDER BY event_seq) AS prev FROM ev WHERE event_seq <> 2 OR order_id % 3 <> 0)
-SELECT * FROM p WHERE prev IS NOT NULL AND (prev, state) NOT IN (VALUES {', '.join(map(str, o.LEGAL))})""")
+@query(f"""WITH {ORDER_EVENTS}, p AS (SELECT order_id, event_seq, state, lag(state) OVER (PARTITION BY order_id ORDER BY event_seq) AS prev FROM ev)
+SELECT * FROM p WHERE NOT CASE prev WHEN 'PENDING' THEN state IN ('SUBMITTED', 'REJECTED') WHEN 'SUBMITTED' THEN state IN ('PARTIALLY_FILLED', 'FILLED', 'PENDING_CANCEL', 'REJECTED')
+ WHEN 'PARTIALLY_FILLED' THEN state IN ('PARTIALLY_FILLED', 'FILLED', 'PENDING_CANCEL') WHEN 'PENDING_CANCEL' THEN state IN ('CANCELED', 'FILLED') ELSE prev IS NULL END""")
 def illegal_transitions(spark, sf):
-    return o.illegal_transitions(v.order_events(spark, sf).filter("event_seq != 2 OR order_id % 3 != 0")).select("order_id", "event_seq", "state", "prev")
+    return o.illegal_transitions(v.order_events(spark, sf)).select("order_id", "event_seq", "state", "prev")
 
 
 @query(f"""WITH {ORDER_EVENTS}, {REPLAY}, r AS (SELECT o_orderkey + 1 AS order_id FROM orders)
-SELECT order_id, CASE WHEN state IS NULL THEN 'REJECTED' ELSE 'CANCELED' END AS status, CASE WHEN state IS NULL THEN 'ORDER_NOT_FOUND' ELSE 'OK' END AS reason FROM r LEFT JOIN rp USING (order_id)""")
+SELECT order_id, CASE WHEN state IS NULL THEN 'REJECTED' WHEN order_id % 7 IN (2, 4) THEN 'CANCELED' WHEN order_id % 7 = 3 THEN 'FILLED' WHEN order_id % 7 = 5 THEN 'REJECTED' WHEN order_id % 7 = 0 THEN 'CANCELED' ELSE 'REJECTED' END AS status,
+ CASE WHEN state IS NULL THEN 'ORDER_NOT_FOUND' WHEN order_id % 7 BETWEEN 2 AND 5 THEN 'REJECTED_ALREADY_TERMINAL' WHEN order_id % 7 = 0 THEN 'OK' ELSE 'ILLEGAL_STATE' END AS reason FROM r LEFT JOIN rp USING (order_id)""")
 def resolve_cancels(spark, sf):
     return o.resolve_cancels(table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("order_id")), o.replay(v.order_events(spark, sf)))
 
 
-@query("""SELECT order_id, seq, CASE WHEN row_number() OVER (PARTITION BY order_id ORDER BY seq) = 1 THEN 'ACCEPTED' ELSE 'IDEMPOTENT_RETRY' END AS answer
-FROM (SELECT user_id AS order_id, event_id AS seq FROM events)""")
+@query(f"""WITH {ORDER_EVENTS}, {REPLAY}, n AS (SELECT user_id AS order_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT order_id, seq, CASE WHEN n = 1 THEN 'SUBMITTED' ELSE 'IDEMPOTENT_RETRY' END AS answer, CASE WHEN n = 1 THEN 'SUBMITTED' ELSE coalesce(state, 'SUBMITTED') END AS status FROM n LEFT JOIN rp USING (order_id)""")
 def dedup_submits(spark, sf):
-    return o.dedup_submits(table(spark, sf, "events").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("seq")))
+    own = table(spark, sf, "events").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("seq"))
+    return o.dedup_submits(own, o.replay(v.order_events(spark, sf)))
 
 
 RISK = f"""{ORDERS}, k AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS n FROM ord WHERE value <= 400000 AND symbol <> '5-LOW'),
@@ -254,9 +262,10 @@ def blacklist_from_feed(spark, sf):
     return o.blacklist(v.ticks(spark, sf).select(payload.alias("payload"), "seq"))
 
 
-@query("SELECT o_orderkey, o_totalprice * 2 AS order_value FROM orders", "order_value")
+@query("SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS order_value FROM lineitem", "order_value")
 def order_value(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 2).alias("order_value"))
+    own = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return s.with_order_value(own).select("l_orderkey", "l_linenumber", "order_value")
 
 
 @query("""SELECT order_id, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(symbol, '[A-Z]{1,5}') THEN 'symbol' END, CASE WHEN price <= 0 THEN 'price' END, CASE WHEN quantity <= 0 THEN 'quantity' END], lambda x: x IS NOT NULL), ',') AS violations
@@ -310,9 +319,18 @@ def watchlist(spark, sf):
     return s.watchlist(hours(spark, sf))
 
 
-@query(f"""WITH {BARS} SELECT symbol, bar_start, close FROM bars JOIN (SELECT symbol, max(bar_start) AS last FROM bars GROUP BY symbol) USING (symbol) WHERE bar_start >= last - 7 * 86400000""", "close")
+LAST = "(SELECT symbol, max(bar_start) AS last FROM bars GROUP BY symbol)"
+
+
+@query(f"""WITH {NY_BARS}, l AS (SELECT * FROM ny JOIN {LAST} USING (symbol)), ld AS (SELECT symbol, max(date) AS day FROM ny GROUP BY symbol)
+SELECT g, symbol, bar_start, close FROM l JOIN ld USING (symbol), (VALUES ('1d', 0), ('1w', 7), ('1M', 30), ('ytd', -1), ('all', 99999)) t(g, days)
+WHERE CASE g WHEN '1d' THEN date = day WHEN 'ytd' THEN year(epoch_ms(bar_start)) = year(epoch_ms(last)) ELSE bar_start >= last - days * 86400000::BIGINT END""", "close")
 def timeframe_filter(spark, sf):
-    return s.timeframe_filter(hours(spark, sf), "1w").select("symbol", "bar_start", "close")
+    own, out = hours(spark, sf).select("symbol", "bar_start", "close"), None
+    for g in ("1d", "1w", "1M", "ytd", "all"):
+        part = s.timeframe_filter(own, g).withColumn("g", F.lit(g))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(f"""WITH {NY_BARS}, v AS (SELECT *, m BETWEEN 570 AND 960 AS reg FROM ny JOIN (SELECT symbol, max(date) AS date FROM ny GROUP BY symbol) USING (symbol, date)),
@@ -373,12 +391,12 @@ def performance_metrics(spark, sf):
 
 
 FILL_COSTS = f"""{BARS}, {PLACED}, own AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 10.0::DOUBLE AS qty FROM placed),
-fc AS (SELECT own.symbol, own.seq AS order_id, own.side, b.bar_start AS fill_start, b.close, b.close * (1 + CASE WHEN own.side = 'BUY' THEN 1 ELSE -1 END * CASE WHEN b.volume > 0 THEN 0.1 * own.qty / b.volume ELSE 0 END) AS exec_price, own.qty
+fc AS (SELECT own.seq % 3 AS run_id, own.symbol, own.seq AS order_id, own.side, b.bar_start AS fill_start, b.close, b.close * (1 + CASE WHEN own.side = 'BUY' THEN 1 ELSE -1 END * CASE WHEN b.volume > 0 THEN 0.1 * own.qty / b.volume ELSE 0 END) AS exec_price, own.qty
  FROM own ASOF JOIN bars b ON own.symbol = b.symbol AND own.ts_ms < b.bar_start)"""
 
 
 def costs(spark, sf):
-    t = v.ticks(spark, sf).select("symbol", F.col("seq").alias("order_id"), "ts_ms", F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(10.0).alias("qty"))
+    t = v.ticks(spark, sf).select("symbol", F.col("seq").alias("order_id"), "ts_ms", (F.col("seq") % 3).alias("run_id"), F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(10.0).alias("qty"))
     return backtest.fill_costs(t, hours(spark, sf))
 
 
@@ -387,21 +405,22 @@ def fill_costs(spark, sf):
     return costs(spark, sf).select("symbol", "order_id", "fill_start", "exec_price", "commission")
 
 
-@query(f"WITH {FILL_COSTS} SELECT 1 AS run_id, symbol, sum(qty * exec_price * 0.0001 + 1) AS commission, sum(abs(exec_price - close) * qty) AS slippage, sum(qty * exec_price) AS turnover FROM fc GROUP BY symbol", "commission slippage turnover")
+@query(f"WITH {FILL_COSTS} SELECT run_id, symbol, sum(qty * exec_price * 0.0001 + 1) AS commission, sum(abs(exec_price - close) * qty) AS slippage, sum(qty * exec_price) AS turnover FROM fc GROUP BY ALL", "commission slippage turnover")
 def transaction_costs(spark, sf):
-    return backtest.transaction_costs(costs(spark, sf).withColumn("run_id", F.lit(1)))
+    return backtest.transaction_costs(costs(spark, sf))
 
 
 @query(f"WITH {TICKS} SELECT symbol, price, size, ts_ms FROM ticks", "price")
 def ingest_ticks_json(spark, sf):
-    t = v.ticks(spark, sf).select("symbol", F.to_json(F.struct(F.col("symbol").alias("sym"), F.col("price").alias("p"), F.col("size").alias("s"), F.col("ts_ms").alias("t"))).alias("one"), "ts_ms")
-    packed = t.groupBy("symbol", F.expr(f"ts_ms div {24 * HOUR}").alias("d")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("payload"))
+    t = v.ticks(spark, sf).select("symbol", F.to_json(F.struct(F.col("symbol").alias("sym"), F.col("price").alias("p"), F.col("size").alias("s"), F.col("ts_ms").alias("t"))).alias("one"), "ts_ms", "seq")
+    packed = t.withColumn("part", F.col("seq") % 64).groupBy("symbol", F.expr(f"ts_ms div {HOUR}").alias("hour"), "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("payload"))
     return ingest.parse_ticks(packed, "payload")
 
 
-@query("SELECT DISTINCT upper(trim(' ' || lower(p_brand) || ' ')) AS symbol FROM part")
+@query("""SELECT p_partkey, upper(p_brand) AS symbol FROM part WHERE p_partkey % 10 <> 0""")
 def normalise_symbol(spark, sf):
-    return table(spark, sf, "part").select(F.upper(F.trim(F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" ")))).alias("symbol")).filter("symbol != ''").distinct()
+    typed = F.when(F.col("p_partkey") % 10 == 0, "   ").otherwise(F.concat(F.expr("repeat(' ', cast(p_partkey % 3 as int))"), F.lower("p_brand"), F.lit(" ")))
+    return s.normalise_symbol(table(spark, sf, "part").select("p_partkey", typed.alias("symbol")))
 
 
 @query("SELECT DISTINCT p_brand AS symbol FROM part UNION SELECT DISTINCT p_type FROM part")
@@ -416,34 +435,6 @@ def tickers_remove(spark, sf):
     return s.tickers_remove(p.select("symbol").distinct(), p.filter("p_size = 50 AND p_partkey % 9 = 0").select("symbol").distinct())
 
 
-TNY = "(epoch_ms(ts_ms) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
-
-
-@query(f"""WITH {TICKS}, n AS (SELECT seq, hour({TNY}) * 60 + minute({TNY}) AS m, dayofweek({TNY}) AS w FROM ticks)
-SELECT seq, CASE WHEN w IN (0, 6) THEN 'WEEKEND' WHEN m >= 570 AND m < 960 THEN 'REGULAR' WHEN m >= 240 AND m < 570 THEN 'PRE_MARKET' WHEN m >= 960 AND m < 1200 THEN 'EXTENDED' ELSE 'NIGHT' END AS session FROM n""")
-def market_session(spark, sf):
-    return v.ticks(spark, sf).select("seq", cal.market_session(F.col("ts_ms")).alias("session"))
-
-
-HOLIDAYS_2024 = {"01-01": "New Year's Day", "01-15": "Martin Luther King Jr. Day", "02-19": "Presidents' Day", "03-29": "Good Friday", "05-27": "Memorial Day", "06-19": "Juneteenth",
-                 "07-04": "Independence Day", "09-02": "Labor Day", "11-28": "Thanksgiving Day", "12-25": "Christmas Day"}  # the events are of one month of this year
-CASES = " ".join("WHEN DATE '2024-{}' THEN '{}'".format(d, n.replace("'", "''")) for d, n in HOLIDAYS_2024.items())
-
-
-@query(f"WITH {TICKS}, n AS (SELECT seq, {TNY}::DATE AS date FROM ticks) SELECT seq, date, CASE date {CASES} END AS holiday FROM n")
-def calendar_join(spark, sf):
-    days = cal.trading_calendar(spark, "2023-01-01", "2025-12-31")
-    return cal.with_calendar(v.ticks(spark, sf), days).select("seq", "date", "holiday")
-
-
-@query()
-def backtest_sweep(spark, sf):
-    own = hours(spark, sf)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("n"), F.lit(x).alias("fast"), F.lit(y).alias("slow")) for i, (x, y) in enumerate([(5, 20), (3, 10), (10, 40), (8, 24)])]))
-    params = own.select("symbol").distinct().withColumn("p", pairs).select((F.col("p.n") * 1_000_000 + F.pmod(F.xxhash64("symbol"), F.lit(1_000_000))).alias("run_id"), "symbol", "p.fast", "p.slow")
-    return backtest.backtest_sweep(own, params, backtest.sma_weight)
-
-
 def queries() -> dict:
     return {k: run for k, (run, _) in ENTRIES.items()}
 

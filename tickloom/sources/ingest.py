@@ -35,14 +35,18 @@ def parse_ticks_typed(df: DataFrame, col: str) -> DataFrame:
     return valid_ticks(rows.select(F.col("x")["S"].alias("symbol"), number("p").alias("price"), number("s").alias("size"), at.alias("ts_ms")))
 
 
-def parse_bars_map(df: DataFrame, col: str) -> DataFrame:
-    rows = df.select(F.explode(F.from_json(F.col(col), BARS)["bars"]).alias("symbol", "list")).select("symbol", F.explode("list").alias("x"))
+def parse_bars_map(df: DataFrame, col: str, symbol: str | None = None) -> DataFrame:
+    """Bars of a payload that maps symbols to lists, newest first; of one symbol if it is given. Within a payload they come oldest first."""
+    lists = F.from_json(F.col(col), BARS)["bars"]
+    rows = df.select(F.explode(lists).alias("symbol", "list")) if symbol is None else df.select(
+        F.lit(symbol).alias("symbol"), F.try_element_at(lists, F.lit(symbol)).alias("list"))
+    rows = rows.select("symbol", F.explode(F.reverse("list")).alias("x"))
     return rows.select("symbol", F.unix_seconds(F.try_to_timestamp("x.t")).alias("time"), F.col("x.o").alias("open"), F.col("x.h").alias("high"),
                        F.col("x.l").alias("low"), F.col("x.c").alias("close"))
 
 
-def parse_bars_array(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.explode(F.from_json(F.col(col), RESULTS)["results"]).alias("x")).select(
+def parse_bars_array(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.explode(F.from_json(F.col(col), RESULTS)["results"]).alias("x")).select(*keep,
         F.expr("x.t div 1000").alias("time"), F.col("x.o").alias("open"), F.col("x.h").alias("high"), F.col("x.l").alias("low"), F.col("x.c").alias("close"))
 
 

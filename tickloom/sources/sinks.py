@@ -24,10 +24,31 @@ def archive_day(bars: DataFrame, date: str, path: str) -> None:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "symbol").parquet(path))
 
 
-def start_recorder(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
-    """A stream to Parquet; a batch that is tried again overwrites its own folder, so none is lost or doubled."""
+def start_recorder(ticks: DataFrame, bars: DataFrame | None, path: str, checkpoint: str, once: bool = False, every: str = "10 seconds"):
+    """A stream of ticks, or of ticks and bars together, to path/ticks and path/bars: a batch each ten seconds.
+
+    A batch overwrites its own folders, so one that is tried again neither loses nor doubles rows, as long as path and
+    checkpoint stay together (a new checkpoint counts batches from 0 again and overwrites). How many rows a batch has at
+    most is set where the streams are read (maxFilesPerTrigger and the like); with once, all that is there is drained.
+    """
+    both = ticks.select(F.lit("ticks").alias("kind"), F.struct(*ticks.columns).alias("ticks"))
+    if bars is not None:
+        both = both.unionByName(bars.select(F.lit("bars").alias("kind"), F.struct(*bars.columns).alias("bars")), allowMissingColumns=True)
+
+    def write(batch: DataFrame, number: int) -> None:
+        for kind in batch.columns[1:]:
+            batch.filter(F.col("kind") == kind).select(f"{kind}.*").write.mode("overwrite").parquet(f"{path}/{kind}/batch_id={number}")
+
+    w = both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that a stream sends until its source is drained, from Parquet, with batch_id."""
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
-    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; one of this machine only if all run on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-tickloom-", dir="/tmp")
+    return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+
+
 def millis(c):
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
 def ticks(spark, sf):
-    return table(spark, sf, "events").select(
+    return ticks_of(table(spark, sf, "events"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("symbol"), F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("size"), millis("ts").alias("ts_ms"), F.col("event_id").alias("seq"))
 
@@ -45,17 +62,34 @@ def fills(spark, sf):
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), millis("l_shipdate").alias("ts_ms"))
 
 
+#: What comes behind an order's fills, by its id modulo 7; the others end with a partial fill.
+TAILS = {1: ["PENDING_CANCEL"], 2: ["PENDING_CANCEL", "CANCELED"], 3: ["FILLED"], 4: ["CANCELED"], 5: ["REJECTED"], 6: ["PENDING"]}
+
+
 def order_events(spark, sf):
-    """PENDING, SUBMITTED, then a partial fill for each line; odd orders are one short, so they over-fill."""
+    """PENDING, SUBMITTED, a partial fill for each line, then a tail. Odd orders are one short, so they over-fill; of every eleventh five are missing."""
     l = table(spark, sf, "lineitem")  # noqa: E741
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    total = F.sum("l_quantity").over(Window.partitionBy("l_orderkey")).cast("int") - F.when(F.col("l_orderkey") % 2 == 1, 1).otherwise(0)
+    total = (F.sum("l_quantity").over(Window.partitionBy("l_orderkey")).cast("int") - F.when(F.col("l_orderkey") % 2 == 1, 1).otherwise(0)
+             + F.when(F.col("l_orderkey") % 11 == 0, 5).otherwise(0))
     lines = l.select(F.col("l_orderkey").alias("order_id"), (F.row_number().over(w) + 2).cast("long").alias("event_seq"),
                      F.lit("PARTIALLY_FILLED").alias("state"), F.col("l_quantity").cast("int").alias("delta_qty"), total.alias("total_qty"))
-    firsts = lines.select("order_id", "total_qty").distinct().select(
-        "order_id", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("event_seq"), F.lit("PENDING").alias("state")),
-                                      F.struct(F.lit(2).cast("long").alias("event_seq"), F.lit("SUBMITTED").alias("state")))).alias("e"), "total_qty")
-    return firsts.select("order_id", "e.event_seq", "e.state", F.lit(0).alias("delta_qty"), "total_qty").unionByName(lines)
+    tail = F.array().cast("array<string>")
+    for k, states in TAILS.items():
+        tail = F.when(F.col("order_id") % 7 == k, F.array(*map(F.lit, states))).otherwise(tail)
+    event = lambda seq, state: F.struct(seq.cast("long").alias("event_seq"), state.alias("state"))
+    rest = lines.groupBy("order_id").agg(F.max("event_seq").alias("n"), F.max("total_qty").alias("total_qty")).select(
+        "order_id", "total_qty", F.explode(F.concat(F.array(event(F.lit(1), F.lit("PENDING")), event(F.lit(2), F.lit("SUBMITTED"))),
+                                                    F.transform(tail, lambda s, i: event(F.col("n") + i + 1, s)))).alias("e"))
+    events = rest.select("order_id", "e.event_seq", "e.state", F.lit(0).alias("delta_qty"), "total_qty").unionByName(lines)
+    return events.withColumns({"symbol": F.concat(F.lit("S"), (F.col("order_id") + F.col("event_seq")) % 5), "price": F.col("event_seq") * 1.5,
+                               "correlation_id": F.concat_ws("-", "order_id", "event_seq")})
+
+
+def spread(spark, sf):
+    """Ticks spread over eight years and all minutes of the day."""
+    t = ticks(spark, sf)
+    return t.withColumn("ts_ms", F.col("ts_ms") + F.col("seq") % 2900 * 86_400_000 + F.col("seq") * 7919 % 1440 * 60_000)
 
 
 def trades(spark, sf):
