@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, bucketed, hashes_of, mix, partitions, small_batches, stage, text_bytes, words_of
+from .common import LOWER, Carried, U, bucketed, hashes_of, mix, partitions, small_batches, stage, text_bytes, words_of
 
 SHINGLE = 5
 PERCENT = 80            # link from this Jaccard similarity
 ROWS, MISSED = 5, 1e-7  # slots of a band; chance of a pair at that similarity to share no band
 GROUP = 64              # members that one task compares with a leader
 BLOCK = 256             # members of a band that are compared with one another, or with as many others
-SPREAD = 6.5            # standard deviations below the limit from which signatures rule a pair out
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -78,7 +77,7 @@ def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 
 
 def signatures(batches, bands: int):
-    """row_id, doc_id, n_shingles, both halves of a 128-bit digest of the set, the hash of each band, and a byte of each slot."""
+    """row_id, doc_id, n_shingles, both halves of a 128-bit digest of the set, and the hash of each band."""
     for batch in small_batches(batches, "text", 1 << 20):
         sets = shingle_sets(batch.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
@@ -90,15 +89,11 @@ def signatures(batches, bands: int):
         digest = np.zeros((len(n), 2), np.int64)
         for i in full:
             digest[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
-        slots = np.zeros(len(n), object)
-        slots[:] = b""
-        for i, row in zip(full, (mix(bits) >> U(56)).astype(np.uint8).reshape(len(full), bands * ROWS), strict=True):
-            slots[i] = row.tobytes()
         offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column("row_id"), batch.column("doc_id"), pa.array(n), pa.array(digest[:, 0].copy()),
-             pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(offsets, band.reshape(-1).view(np.int64)), pa.array(slots, pa.binary())],
-            names=["row_id", "doc_id", "n_shingles", "d1", "d2", "bands", "slots"])
+             pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(offsets, band.reshape(-1).view(np.int64))],
+            names=["row_id", "doc_id", "n_shingles", "d1", "d2", "bands"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -191,79 +186,96 @@ def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stage(own.join(mixed, "key", "left_semi"))
 
 
-def links_of_rest(members: DataFrame, texts: DataFrame, slots: DataFrame, percent: int, block: int) -> DataFrame:
+def links_of_rest(members: DataFrame, texts: DataFrame, bands: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) among members of a band that differ in root, by comparing all such pairs.
 
     A band's members are dealt into blocks of about ``block``, and each two blocks meet in one
-    group; the pairs are formed inside it, each in the first of the bands that it shares, and
-    only links leave it. Pairs that the group's own links connect already are passed over, as
-    are those whose signatures agree in so few slots that a similar pair's hardly ever would
-    (SPREAD); of the others the full sets decide.
+    group. There all full sets are intersected at once; a pair counts in the first of the bands
+    that it shares (in a band that is not here any more it is connected, or one of the two was the
+    leader), and of the links only those leave that connect what others do not.
     """
     blocks = stage(members.groupBy("key").agg(F.expr(f"cast(count(1) div {block} as int) + 1").alias("blocks")))
-    keys = stage(members.groupBy("row_id").agg(F.sort_array(F.collect_set("key")).alias("keys")))
     dealt = (members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("row_id", "key", "root", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
-    met = (dealt.join(keys, "row_id").join(slots, "row_id").join(texts.select("row_id", "text"), "row_id")
+    met = (dealt.join(bands, "row_id").join(texts.select("row_id", "text"), "row_id")
            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id"))
 
     def compare(batches):
         group, rows = None, []
         for batch in small_batches(batches, "text"):
             sets = shingle_sets(batch.column("text"))
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "row_id", "root", "own", "keys", "slots")]
-            for key, i, j, row, root, own, keys, slot, grams in zip(*cols, sets, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "row_id", "root", "own", "bands")]
+            for key, i, j, row, root, own, band, grams in zip(*cols, sets, strict=True):
                 if (key, i, j) != group:
                     yield links(group, rows)
                     group, rows = (key, i, j), []
-                rows.append((row, root, own, keys, slot, grams))
+                rows.append((row, root, own, band, grams))
         yield links(group, rows)
 
     def links(group, rows):
         found = [], []
-        parent: dict[int, int] = {}
-
-        def top(x):
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[p]
-            return x
-
         if len(rows) > 1:
-            ids, roots, own, keys, slot, sets = zip(*rows, strict=True)
-            root, part, size = np.array(roots), np.array(own), np.array([len(x) for x in sets])
-            sign = np.frombuffer(b"".join(slot), np.uint8).reshape(len(rows), -1)
-            least = slots_in_common(sign.shape[1], percent)
-            for b in range(1, len(rows)):
-                near = (root[:b] != root[b]) & ((group[1] == group[2]) | (part[:b] != part[b]))
-                near &= np.minimum(size[:b], size[b]) * 100 >= np.maximum(size[:b], size[b]) * percent
-                near = np.flatnonzero(near)
-                for a in near[(sign[near] == sign[b]).sum(1) >= least].tolist():
-                    if top(roots[a]) != top(roots[b]) and min(set(keys[a]) & set(keys[b])) == group[0] and similar(sets[a], sets[b], percent):
-                        parent[top(roots[b])] = top(roots[a])
-                        found[0].append(min(ids[a], ids[b]))
-                        found[1].append(max(ids[a], ids[b]))
+            ids, root, own, band, sets = zip(*rows, strict=True)
+            root, own, band, size = np.array(root), np.array(own), np.array(band), np.array([len(x) for x in sets])
+            wanted = root[:, None] < root
+            if group[1] != group[2]:
+                wanted &= own[:, None] != own
+            wanted &= np.minimum(size[:, None], size) * 100 >= np.maximum(size[:, None], size) * percent
+            for c in range(int((band == group[0]).any(0).argmax())):
+                wanted &= band[:, c][:, None] != band[:, c]
+            some = np.flatnonzero(wanted.any(0) | wanted.any(1))
+            if len(some):
+                both = intersections([sets[i] for i in some])
+                least = size[some][:, None] + size[some]
+                parent: dict[int, int] = {}
+
+                def top(x):
+                    while (p := parent.setdefault(x, x)) != x:
+                        parent[x] = x = parent[p]
+                    return x
+
+                for a, b in np.argwhere(wanted[np.ix_(some, some)] & (both * 100 >= (least - both) * percent)).tolist():
+                    x, y = top(root[some[a]]), top(root[some[b]])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        one, two = ids[some[a]], ids[some[b]]
+                        found[0].append(min(one, two))
+                        found[1].append(max(one, two))
         return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
-    return met.select("key", "i", "j", "row_id", "root", "own", "keys", "slots", "text").mapInArrow(compare, "a bigint, b bigint")
-
-
-def slots_in_common(slots: int, percent: int) -> int:
-    """A pair at the limit agrees in fewer with a chance of about 1e-10."""
-    p = percent / 100
-    return max(0, math.floor(slots * p - SPREAD * math.sqrt(slots * p * (1 - p))))
+    return met.select("key", "i", "j", "row_id", "root", "own", "bands", "text").mapInArrow(compare, "a bigint, b bigint")
+
+
+def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each two sets: products of their indicators, of so many elements at a time."""
+    element = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, count = np.unique(element, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    number, owner = place[number[shared[number]]], owner[shared[number]]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for a in range(0, int(shared.sum()), columns):
+        i, j = np.searchsorted(number, [a, a + columns])
+        has = np.zeros((len(sets), columns), np.float32)
+        has[owner[i:j], number[i:j] - a] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, stored so that later joins on it leave the texts in place."""
     rows = docs.withColumn("row_id", F.monotonically_increasing_id())
-    return bucketed(rows, "row_id", partitions(docs.sparkSession))
+    return bucketed(rows, "row_id", partitions(docs))
 
 
 def rooted(texts: DataFrame, percent: int, group: int, block: int) -> DataFrame:
     """row_id, doc_id, n_shingles and root of each row."""
     bands = bands_for(percent)
-    sigs = stage(texts.mapInArrow(lambda batches: signatures(batches, bands), "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, slots binary"))
+    sigs = stage(texts.mapInArrow(lambda batches: signatures(batches, bands), "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     full = sigs.filter("n_shingles > 0")
     classes = stage(full.groupBy("d1", "d2").agg(F.min("row_id").alias("rep")))
     firsts = full.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
@@ -289,7 +301,7 @@ def rooted(texts: DataFrame, percent: int, group: int, block: int) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         roots = stage(components(links))
         members = stage(members.join(led, "key").filter("row_id != a").select("key", "row_id", "n", "weight"))
-    extra = stage(links_of_rest(still_apart(members, roots), texts, sigs.select("row_id", "slots"), percent, block))
+    extra = stage(links_of_rest(still_apart(members, roots), texts, sigs.select("row_id", "bands"), percent, block))
     if extra.head(1):
         roots = stage(components(links.union(extra)))
 
@@ -324,7 +336,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP,
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """The rows of docs without those that near_duplicates links with a kept one: of each component
     the row with the smallest doc_id stays (a null one last), of equal ones one row."""
-    texts = numbered(docs.withColumn("_given", F.struct("*")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_given"))
+    given = Carried(docs, [])
+    texts = numbered(given.rows.select("*", given.col("doc_id").cast("long").alias("doc_id")))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
-    kept = stage(rooted(texts.drop("_given"), percent, group, block).groupBy("root").agg(first).select("first.row_id"))
-    return texts.join(kept, "row_id", "left_semi").select("_given.*")
+    kept = stage(rooted(texts.select("row_id", "doc_id", "text"), percent, group, block).groupBy("root").agg(first).select("first.row_id"))
+    return given.restored(texts.join(kept, "row_id", "left_semi"))
