@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ LENGTH = 100   # bytes of a repeated string
 GRAM = 32      # bytes of an anchor; each string of LENGTH bytes holds the anchor that its content selects
 GROUP = 2000   # contexts of one anchor that are sorted in one group
 OTHER = 0xD1B54A32D192ED03  # base of the second fingerprint
+PLACE = 23     # bits of a place within a part of a batch; the others rank anchors
+PART = 4 << 20 # starts of strings that are looked at together, of a very long text too
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -29,14 +32,14 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, off: np.ndarray):
     """Strings of LENGTH bytes, as runs of starts (first, last) with the same anchor: the text of
-    each, first, last, hash of the anchor, and hash of all bytes of the run."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    each, first, last, hash of the anchor, and both halves of a 128-bit digest of the run's bytes and the anchor's place in them."""
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64))
     if len(data) < LENGTH:
         return empty
     p = Prefix(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = mix(p.of(at, GRAM))
-    low = U((1 << max(23, int(len(at)).bit_length())) - 1)
+    low = U((1 << PLACE) - 1)
     own = (sliding_min((gram & ~low) | at.astype(np.uint64), LENGTH - GRAM + 1) & low).astype(np.int64)
     room = np.repeat(off[1:], np.diff(off))[:len(own)] - np.arange(len(own)) >= LENGTH
     start = np.flatnonzero(room)
@@ -45,9 +48,22 @@ def anchors(data: np.ndarray, off: np.ndarray):
     own = own[start]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
     first, last = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])]
-    size = last - first + LENGTH
-    whole = mix(p.of(first, size) + mix((own[new] - first).astype(np.uint64) * U(1000) + size.astype(np.uint64)))
-    return np.searchsorted(off, first, "right") - 1, first, last, gram[own[new]], whole
+    raw = data.tobytes()
+    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b], s) for a, b, s in zip(first.tolist(), (last + LENGTH).tolist(), (own[new] - first).tolist(), strict=True)])
+    whole = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return np.searchsorted(off, first, "right") - 1, first, last, gram[own[new]], whole[:, 0], whole[:, 1]
+
+
+def parts(batch):
+    """Bytes, offsets, texts and what is before them: of a batch, or of each PART of a very long text, with
+    as many bytes more as its last string has. So anchors are the same wherever a string stands."""
+    data, off = text_bytes(batch.column("text"))
+    if len(data) <= PART + LENGTH:
+        yield data, off, 0
+    else:  # one row, as batches are small
+        for a in range(0, len(data) - LENGTH + 1, PART):
+            own = data[a:a + PART + LENGTH - 1]
+            yield own, np.array([0, len(own)]), a
 
 
 def merge(doc: np.ndarray, begin: np.ndarray, end: np.ndarray):
@@ -59,37 +75,37 @@ def merge(doc: np.ndarray, begin: np.ndarray, end: np.ndarray):
 
 
 def find_anchors(batches):
-    """Rows (done, gram, whole, doc_id, row_id, first, last). Within a batch, only the first of equal
+    """Rows (done, gram, whole, check, doc_id, row_id, first, last). Within a batch, only the first of equal
     runs goes on; the others repeat it, and are done: they travel as merged spans, by row."""
     for batch in small_batches(batches, "text"):
-        data, off = text_bytes(batch.column("text"))
-        doc, first, last, gram, whole = anchors(data, off)
         rows = batch.column("row_id").to_numpy()
         ids = batch.column("doc_id")
         key = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
         rank = np.empty(len(rows), np.int64)
         rank[np.lexsort((rows, key))] = np.arange(len(rows))
-        order = np.lexsort((first, rank[doc], whole, gram))
-        same = np.zeros(len(order), bool)
-        same[1:] = (gram[order][1:] == gram[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-        repeated = np.zeros(len(order), bool)
-        repeated[order] = same
-        new = ~repeated
-        d2, b2, e2 = merge(doc[repeated], first[repeated], last[repeated] + LENGTH)
-        d = np.concatenate([doc[new], d2])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.zeros(new.sum(), bool), np.ones(len(d2), bool)])),
-            pa.array(np.concatenate([gram[new], mix(rows[d2].astype(np.uint64) + U(1))]).view(np.int64)),
-            pa.array(np.concatenate([whole[new], np.zeros(len(d2), np.uint64)]).view(np.int64)),
-            ids.take(pa.array(d)), pa.array(rows[d]),
-            pa.array(np.concatenate([first[new], b2]) - off[d]), pa.array(np.concatenate([last[new], e2]) - off[d])],
-            names=["done", "gram", "whole", "doc_id", "row_id", "first", "last"])
+        for data, off, before in parts(batch):
+            doc, first, last, gram, whole, check = anchors(data, off)
+            order = np.lexsort((first, rank[doc], check, whole, gram))
+            same = np.zeros(len(order), bool)
+            same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (gram, whole, check)])
+            repeated = np.zeros(len(order), bool)
+            repeated[order] = same
+            new = ~repeated
+            d2, b2, e2 = merge(doc[repeated], first[repeated], last[repeated] + LENGTH)
+            d, none = np.concatenate([doc[new], d2]), np.zeros(len(d2), np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([np.zeros(new.sum(), bool), np.ones(len(d2), bool)])),
+                pa.array(np.concatenate([gram[new], mix(rows[d2].astype(np.uint64) + U(1))]).view(np.int64)),
+                pa.array(np.concatenate([whole[new], none])), pa.array(np.concatenate([check[new], none])),
+                ids.take(pa.array(d)), pa.array(rows[d]),
+                pa.array(np.concatenate([first[new], b2]) - off[d] + before), pa.array(np.concatenate([last[new], e2]) - off[d] + before)],
+                names=["done", "gram", "whole", "check", "doc_id", "row_id", "first", "last"])
 
 
 def judge_anchors(batches, group: int = GROUP):
     """Sorted rows of find_anchors to spans that repeat, and to runs that need a closer look: the first
     of each content, if its anchor has several. Only the last anchor's state goes from batch to batch."""
-    before = None   # (gram, whole) of the last row
+    before = None   # (gram, whole, check) of the last row
     held = None     # the first run of the last anchor, not known yet to need a look
     count = 0       # contents of the last anchor so far
     for batch in batches:
@@ -98,12 +114,12 @@ def judge_anchors(batches, group: int = GROUP):
         batch = batch.filter(pa.array(~done))
         if not batch.num_rows:
             continue
-        g, w = batch.column("gram").to_numpy(), batch.column("whole").to_numpy()
+        own = g, w, c = [batch.column(x).to_numpy() for x in ("gram", "whole", "check")]
         same = np.zeros(len(g), bool)
-        same[1:] = (g[1:] == g[:-1]) & (w[1:] == w[:-1])
-        same[0] = before == (g[0], w[0])
+        same[1:] = (g[1:] == g[:-1]) & (w[1:] == w[:-1]) & (c[1:] == c[:-1])
+        same[0] = before == tuple(x[0] for x in own)
         carried = before[0] if before else None
-        before = (g[-1], w[-1])
+        before = tuple(x[-1] for x in own)
         yield spans(batch.filter(pa.array(same)), "last", LENGTH)
         fresh = batch.filter(pa.array(~same))
         if not fresh.num_rows:
@@ -325,8 +341,8 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     text is what is left, without bytes of characters that were cut.
 
     Each string holds an anchor that its content selects. Texts are cut into runs of strings
-    with the same anchor; equal runs repeat as a whole, and of different runs with the same
-    anchor the suffixes are sorted. Rows go by anchor, equal ones of a batch first being
+    with the same anchor; runs with the same anchor and 128-bit digest repeat as a whole, and of
+    different runs with the same anchor the suffixes are sorted, and equal ones compared by bytes. Rows go by anchor, equal ones of a batch first being
     made one; an anchor with over ``group`` different runs is split over several groups, whose
     first strings are then compared by fingerprints of 128 bits.
 
@@ -335,9 +351,9 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = bucketed(rows, "row_id", partitions(docs.sparkSession))
-    seen = texts.mapInArrow(find_anchors, "done boolean, gram bigint, whole bigint, doc_id bigint, row_id bigint, first bigint, last bigint")
-    found = stage(seen.repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "row_id", "first").mapInArrow(partial(judge_anchors, group=group), FOUND))
+    texts = bucketed(rows, "row_id", partitions(docs))
+    seen = texts.mapInArrow(find_anchors, "done boolean, gram bigint, whole bigint, check bigint, doc_id bigint, row_id bigint, first bigint, last bigint")
+    found = stage(seen.repartition("gram").sortWithinPartitions("gram", "whole", "check", "doc_id", "row_id", "first").mapInArrow(partial(judge_anchors, group=group), FOUND))
     look = found.filter("part >= 0")
     hot = stage(look.filter("part > 0").select("gram").distinct())
     look = look.join(hot.withColumn("hot", F.lit(True)), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))

@@ -10,11 +10,12 @@ from .common import ascii_lower, stage
 #: (host, path prefix, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
          ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-DEPTH = 4          # levels of the tree; what follows the last one is its part
 MAX_CHILDREN = 32  # a node with more children is a variable
 SIMILAR_Z = 1.96   # children whose share of bad pages is this near to their node's are one branch
 SMOOTHING = 4.0    # labelled pages at the corpus rate that each template starts with
 REJECT = 0.5       # smoothed share of bad pages from which a template is rejected
+#: A page is evidence of a bad place if its host has one of these words between dots and hyphens, or if its text is this much bars.
+BAD_WORDS, BARS = ("adult", "ads", "bets", "casino", "pills", "spam"), 0.25
 
 
 def host_of(url: Column) -> Column:
@@ -34,9 +35,18 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 
 
 def shape_of(path: Column) -> Column:
-    """Digits as #, then DEPTH segments; the last holds the rest."""
-    plain = F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#")
-    return F.split(plain, "/", DEPTH)
+    """The path's segments, with # for digits."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/")
+
+
+def evidence(pages: DataFrame, bad_words=BAD_WORDS, bars: float = BARS) -> DataFrame:
+    """page_id and bad (0 or 1) of pages with a url and html, from the page itself: its host's words, and the bars in
+    its visible text for each blank. A page without url or html says nothing."""
+    host = F.split(host_of(F.col("url")), "[.-]")
+    text = F.regexp_replace("html", "<[^>]*>", " ")
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
+    bad = F.arrays_overlap(host, F.array(*map(F.lit, bad_words))) | (count("|") >= F.lit(bars) * F.greatest(count(" "), F.lit(1)))
+    return pages.select("page_id", bad.cast("int").alias("bad"))
 
 
 def similar(bad: Column, lab: Column, node_bad: Column, node_lab: Column) -> Column:
@@ -47,28 +57,36 @@ def similar(bad: Column, lab: Column, node_bad: Column, node_lab: Column) -> Col
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
-    """host, shape, template from host, shape, n, lab, bad (one row for each shape of a host).
+    """host, shape, template from host, shape, lab, bad (one row for each shape of a host).
 
     Level by level, a node with over MAX_CHILDREN children becomes a variable for those
     that do not differ from it in their share of bad pages; so do siblings that are alike
     in it, if there are at least two. Each level is a grouping and a join of the shapes,
-    not of the pages.
+    not of the pages. A shape that is alone below its node cannot be merged any more and
+    ends there with all its segments, so there are as many levels as different shapes share.
     """
-    at = shapes.withColumn("prefix", F.lit(""))
-    for i in range(DEPTH):
-        seg = F.coalesce(F.try_element_at("shape", F.lit(i + 1)), F.lit(""))
-        at = at.withColumn("seg", seg)
-        child = at.groupBy("host", "prefix", "seg").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+    at, ended, level = shapes.withColumn("prefix", F.lit("")), None, 0
+    while True:
+        level += 1
+        at = at.withColumn("seg", F.coalesce(F.get("shape", F.lit(level - 1)), F.lit("")))
+        child = at.groupBy("host", "prefix", "seg").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
         node = child.groupBy("host", "prefix").agg(F.sum("lab").alias("nlab"), F.sum("bad").alias("nbad"),
-                                                   F.count(F.lit(1)).alias("children"))
+                                                   F.count(F.lit(1)).alias("children"), F.sum("n").alias("shapes"))
         alike = similar(F.col("bad"), F.col("lab"), F.col("nbad"), F.col("nlab"))
         enough = (F.col("children") > MAX_CHILDREN) | ((F.col("children") > 1) & (F.col("lab") > 0))
         merged = (child.join(node, ["host", "prefix"])
                   .select("host", "prefix", "seg", F.when(alike & enough & (F.col("seg") != ""), F.lit("*"))
-                          .otherwise(F.col("seg")).alias("to")))
-        at = (at.join(stage(merged), ["host", "prefix", "seg"])
-              .withColumn("prefix", F.concat("prefix", F.lit("/"), "to")).drop("seg", "to"))
-    return at.withColumnRenamed("prefix", "template")
+                          .otherwise(F.col("seg")).alias("to"), (F.col("shapes") == 1).alias("alone")))
+        rest = F.array_join(F.slice("shape", F.lit(level), F.greatest(F.size("shape") - (level - 1), F.lit(0))), "/")
+        rest = F.when(F.size("shape") >= level, F.concat(F.lit("/"), rest, F.lit("/"))).otherwise(F.lit("/"))
+        moved = stage(at.join(stage(merged), ["host", "prefix", "seg"]).select(
+            "host", "shape", "lab", "bad", (F.col("alone") | (F.size("shape") < level)).alias("ends"),
+            F.concat("prefix", F.when(F.col("alone"), rest).otherwise(F.concat(F.lit("/"), F.col("to")))).alias("prefix")))
+        done = moved.filter("ends").select("host", "shape", "lab", "bad", F.col("prefix").alias("template"))
+        ended = done if ended is None else ended.unionByName(done)
+        at = moved.filter("NOT ends").drop("ends")
+        if not at.head(1):
+            return ended
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -76,7 +94,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
     labels holds page_id and bad (0 or 1) of some pages. The longest rule that fits
     decides; else the template of the page: its labelled pages and SMOOTHING more at the
-    rate of all labels must be bad to less than REJECT.
+    rate of all labels must be bad to less than REJECT. So a template is rejected by its
+    labelled pages, whether a page has a label itself or not.
 
     A url that is null or without :// has empty host and path. Labels with a null in
     either column and labels of unknown pages do not count; a page that repeats counts
