@@ -7,6 +7,7 @@ import pytest
 from test_llm import shingles
 
 import corpus_pipeline as cp
+from tickloom.llm.common import stage
 from tickloom.llm.line_dedup import RUN, WINDOW, remove_repeated_lines
 from tickloom.llm.queries import op10_quality
 
@@ -18,7 +19,7 @@ def steps(spark):
     """What each stage is given and returns."""
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
     for _, function in cp.STAGES:
-        after = cp.stage(function(spark, docs, SF))
+        after = stage(function(spark, docs, SF))
         out.append((docs, after))
         docs = after
     return out

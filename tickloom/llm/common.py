@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,15 +21,42 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session has none (tests on one machine) a local folder is set.
-    """
+    """A new folder below spark.checkpoint.dir, which driver and executors share; without that
+    setting one of this machine, if all runs on it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tickloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    _OPEN[-1].append(path)
+    return path
+
+
+_OPEN: list[list[str]] = [[]]  # folders and tables of each open scope
+
+
+@contextlib.contextmanager
+def staged_until_end(spark: SparkSession):
+    """What is staged inside is removed at the end; what must stay is written elsewhere before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        drop_staged(spark, _OPEN.pop())
+
+
+def drop_staged(spark: SparkSession, names: list[str] | None = None) -> None:
+    """Removes staged tables and folders (of the session so far, if none are named); results that read them are of no use any more."""
+    names = names if names is not None else _OPEN[0]
+    for name in names:
+        if name.startswith("table "):
+            spark.sql(f"DROP TABLE IF EXISTS {name[6:]}")
+        else:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    names.clear()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -44,11 +72,40 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     spark, name = df.sparkSession, f"tickloom_{uuid.uuid4().hex}"
     (df.write.option("path", shared_dir(spark)).option("compression", "zstd")
        .bucketBy(n, key).saveAsTable(name))
+    _OPEN[-1].append(f"table {name}")
     return spark.table(name)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+PART_BYTES, MOST_PARTS = 128 << 20, 20_000
+
+
+def partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, or one for each PART_BYTES of the files that df reads, if that is more."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        size = int(leaves.apply(i).stats().sizeInBytes())
+        total += size if size < 1 << 60 else 0  # rows that are in no file have no known size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-total // PART_BYTES)))
+
+
+class Carried:
+    """Rows of docs under names of their own (text stays text), for an operator to add columns to without meeting theirs.
+
+    restored gives them back with the columns added; columns of docs that bear the name of one, in
+    any case, are replaced.
+    """
+
+    def __init__(self, docs: DataFrame, added: list[str]):
+        taken = {a.lower() for a in added}
+        self.names, self.added = [c for c in docs.columns if c.lower() not in taken], added
+        self.place = {c: "text" if c.lower() == "text" else f"given {i}" for i, c in enumerate(self.names)}
+        self.rows = docs.select(*(docs[f"`{c.replace('`', '``')}`"].alias(p) for c, p in self.place.items()))
+
+    def col(self, name: str) -> Column:
+        return F.col(next(p for c, p in self.place.items() if c.lower() == name.lower()))
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(p).alias(c) for c, p in self.place.items()), *self.added)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

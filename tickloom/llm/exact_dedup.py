@@ -17,13 +17,13 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def exact_dedup(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
+def exact_dedup(docs: DataFrame, normalise=ascii_lower, identifier=F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row of docs.
 
     Equal texts are those with the same recipe, the ordered list of their chunks'
-    identifiers. A chunk's identifier is its 64-bit hash; hashes that two different
-    chunks share are looked up by comparing the chunks themselves, and these chunks
-    get their rank as well. A recipe is all that moves of a long document.
+    identifiers. A chunk's identifier is its 64-bit hash (or what else is given); hashes that
+    two different chunks share are looked up by comparing the chunks themselves, and these
+    chunks stand in the recipe as well. A recipe is all that moves of a long document.
 
     Null text counts as empty, and all empty texts are equal. Rows that repeat a
     doc_id each count in group_size; where the largest doc_id repeats, all rows with it
@@ -35,18 +35,18 @@ def exact_dedup(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
     cut = base.select("doc_id", "t", chunks(F.col("t")).alias("c"))
 
     distinct = (base.select(F.explode(chunks(F.col("t"))).alias("chunk"))
-                .select(F.xxhash64("chunk").alias("h"), "chunk").groupBy("h", "chunk").count())
+                .select(identifier(F.col("chunk")).alias("h"), "chunk").groupBy("h", "chunk").count())
     shared = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stage(shared.select("h"))
 
-    recipe = F.transform("c", lambda x: F.xxhash64(x))
+    recipe = F.transform("c", lambda x: identifier(x))
     rows = cut.select("doc_id", recipe.alias("recipe"), F.array().cast("array<string>").alias("exact"),
                       F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
     if shared.head(1):
         # Chunks of such a hash stand in the recipe themselves.
         keyed = stage(base.withColumn("row", F.monotonically_increasing_id()))
         own = (keyed.select("row", F.posexplode(chunks(F.col("t"))).alias("pos", "chunk"))
-               .withColumn("h", F.xxhash64("chunk")).join(shared, "h", "left_semi")
+               .withColumn("h", identifier(F.col("chunk"))).join(shared, "h", "left_semi")
                .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("x")))
         rows = (keyed.join(own, "row", "left").withColumn("c", chunks(F.col("t")))
                 .select("doc_id", recipe.alias("recipe"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import Carried, small_batches, text_bytes
 
 WINDOW = 256        # bytes that the network sees at once; a text is cut into such windows
 WIDTHS = (2, 3, 4)  # bytes that a filter spans
@@ -151,12 +151,12 @@ def identify(docs: DataFrame, model: Network) -> DataFrame:
 
     Text that is null or has no letter is "und" with score 0. Of equal probabilities the first
     language in alphabetical order is taken. Each row is judged alone; columns of docs named
-    lang_pred or score are replaced; an empty table gives no rows, a model without
+    lang_pred or score, in any case, are replaced; an empty table gives no rows, a model without
     languages "und".
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = Carried(docs, ["lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
+    rows = own.rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def judge(batches):
         net = shared.value
@@ -165,8 +165,8 @@ def identify(docs: DataFrame, model: Network) -> DataFrame:
             total, n = np.zeros((batch.num_rows, len(net.languages))), np.zeros(batch.num_rows)
             step = 1 << 22  # bytes of one very long text
             for a in range(0, len(data), step) if batch.num_rows == 1 else [0]:
-                own = (data[a:a + step], np.array([0, len(data[a:a + step])])) if batch.num_rows == 1 else (data, off)
-                x, doc = windows(*own)
+                part = (data[a:a + step], np.array([0, len(data[a:a + step])])) if batch.num_rows == 1 else (data, off)
+                x, doc = windows(*part)
                 np.add.at(total, doc, net.predict(x))
                 n += np.bincount(doc, minlength=batch.num_rows)
             total /= np.maximum(n, 1)[:, None]
@@ -176,6 +176,6 @@ def identify(docs: DataFrame, model: Network) -> DataFrame:
                  pa.array(np.minimum(total[np.arange(len(best)), best], 1.0))], names=batch.schema.names)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return (rows.mapInArrow(judge, rows.schema)
-            .withColumn("score", F.when(letters, F.col("score")).otherwise(0.0))
-            .withColumn("lang_pred", F.when(letters, F.col("lang_pred")).otherwise("und")))
+    return own.restored(rows.mapInArrow(judge, rows.schema)
+                        .withColumn("score", F.when(letters, F.col("score")).otherwise(0.0))
+                        .withColumn("lang_pred", F.when(letters, F.col("lang_pred")).otherwise("und")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Carried, stage
 
 #: exp(-rate) must stay a normal number: larger rates are sums of draws of at most this mean.
 LARGEST_RATE = 64.0
@@ -66,22 +66,23 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     (from 0) and shuffle_key, an md5 that deals the rows to partitions and sorts each of them.
 
     A null source is a source of its own; with weights it has weight 0. Rows with the
-    same or a null key draw alike. Empty tables give no rows. Texts are not looked at.
-    Columns of docs named n_copies, copy or shuffle_key are replaced.
+    same key draw alike; rows without a key draw by their place in the table, each for itself.
+    Empty tables give no rows. Texts are not looked at. Columns of docs named n_copies, copy
+    or shuffle_key, in any case, are replaced; other names may be any.
     """
-    names = [c for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
-    rates = source_rates(docs.select(source), weights, total, source)
-    taken = rates.select("s", F.col("draws").alias("_draws"), F.col("table").alias("_table"))
-    rated = docs.select(*names).join(taken, F.col(source).eqNullSafe(F.col("s"))).drop("s")
-    first = poisson(uniform(seed, F.col(key), F.lit(0)), F.col("_table"))
-    more = F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0).cast("long"),
-                       lambda a, i: a + poisson(uniform(seed, F.col(key), i), F.col("_table")))
-    counted = rated.withColumn("n_copies", first + F.when(F.col("_draws") > 1, more).otherwise(F.lit(0)))
+    own = Carried(docs, ["n_copies", "copy", "shuffle_key"])
+    rows = own.rows.select("*", F.coalesce(own.col(key).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id())).alias("k"),
+                           own.col(source).alias("source"))
+    rates = source_rates(rows.select("source"), weights, total, "source")
+    rated = rows.join(rates, F.col("source").eqNullSafe(F.col("s")))
+    first = poisson(uniform(seed, F.col("k"), F.lit(0)), F.col("table"))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), F.lit(0).cast("long"),
+                       lambda a, i: a + poisson(uniform(seed, F.col("k"), i), F.col("table")))
+    counted = rated.select(*own.rows.columns, "k", (first + F.when(F.col("draws") > 1, more).otherwise(F.lit(0))).alias("n_copies"))
     blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(n_copies - 1) div {BLOCK}"))
-    copies = (counted.filter("n_copies > 0").withColumn("_block", F.explode(blocks))
-              .withColumn("copy", F.explode(F.sequence(F.col("_block") * BLOCK,
-                          F.least(F.col("_block") * BLOCK + BLOCK, F.col("n_copies")) - 1)))
-              .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"),
-                          F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string")))))
-    out = copies.select(*names, "n_copies", "copy", "shuffle_key")
+    copies = (counted.filter("n_copies > 0").withColumn("block", F.explode(blocks))
+              .withColumn("copy", F.explode(F.sequence(F.col("block") * BLOCK,
+                          F.least(F.col("block") * BLOCK + BLOCK, F.col("n_copies")) - 1)))
+              .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "k", F.col("copy").cast("string")))))
+    out = own.restored(copies)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, hashes_of, mix, small_batches, text_bytes, words_of
+from .common import Carried, U, hashes_of, mix, small_batches, text_bytes, words_of
 
 SAMPLE = 20_000     # labelled rows to learn from, at most: those whose doc_id hashes lowest
 TREES, LEVELS, BINS, RATE, RIDGE = 60, 4, 64, 0.2, 1.0
@@ -121,9 +121,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """From at most ``sample`` labelled rows, whose ids are broadcast; only statistics reach the driver."""
-    chosen = (labels.select(F.col("doc_id"), F.col("quality").cast("double").alias("y")).dropna()
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).dropDuplicates(["doc_id"]))
+    """From at most ``sample`` labelled documents, whose ids are broadcast; only statistics reach the driver. Of labels that
+    contradict one another the more frequent one counts, of a tie 1; of texts with the same doc_id the one of the least statistics."""
+    chosen = (labels.select(F.col("doc_id"), F.col("quality").cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.round(F.avg("y")).alias("y"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def count(batches):
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
                 names=["doc_id", "y", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(count, f"doc_id {kind}, y double, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    got = rows.mapInArrow(count, f"doc_id {kind}, y double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).orderBy("doc_id").select("r.*").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy())
 
@@ -144,15 +145,15 @@ def quality_scores(docs: DataFrame, model: Trees) -> DataFrame:
 
     Null text counts as empty; empty texts have the score that their statistics give. Each
     row is scored alone, so repeated rows and ties score alike. Columns of docs named score
-    or predicted are replaced; an empty table gives no rows.
+    or predicted, in any case, are replaced; an empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    own = Carried(docs, ["score", "predicted"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.lit(0.0).alias("score"))
+    rows = own.rows.withColumn("score", F.lit(0.0))
 
     def score(batches):
         for batch in small_batches(batches, "text"):
             s = pa.array(shared.value.score(statistics(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], names=batch.schema.names)
 
-    return rows.mapInArrow(score, rows.schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return own.restored(rows.mapInArrow(score, rows.schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))

@@ -217,14 +217,15 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: Column | None = None,
-                 literal_markers: bool = False) -> None:
-    """Write docs, in ascending doc_id or the given order, as token files below path.
+                 literal_markers: bool = False, as_read: bool = False) -> None:
+    """Write docs, in ascending doc_id or the given order, as token files below path; as_read in the order in which
+    they come, without a shuffle.
 
     path/dictionary has one row: the dictionary and its sha256. path/blocks has rows of at
     most BLOCK_DOCS documents or about BLOCK_BYTES: dictionary hash, bytes per id, ids of the
     documents, offset and number of tokens of each, and the frames one after another. So a
     reader finds a document from the small columns and decompresses nothing else. Shards are
-    Spark partitions by range of the order; a lost task writes the same again.
+    Spark partitions by range of the order, or those of docs as_read; a lost task writes the same again.
 
     Null text is empty and has the end id alone. A null doc_id comes first; rows with the
     same doc_id stay in one shard, ordered by text. Further columns are not written; an
@@ -266,9 +267,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             yield flush()
 
     key = F.col("doc_id") if order is None else order
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("_key"))
-     .repartitionByRange(partitions(spark), "_key").sortWithinPartitions("_key", "text").drop("_key")
-     .mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if as_read else [key.alias("key")]))
+    if not as_read:
+        rows = rows.repartitionByRange(partitions(docs), "key").sortWithinPartitions("key", "text").drop("key")
+    (rows.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
 ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dictionary", pa.string()), ("width", pa.int32()),
@@ -322,8 +324,8 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
 
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, digest: bool = True, order: Column | None = None,
-                literal_markers: bool = False) -> DataFrame:
+                literal_markers: bool = False, as_read: bool = False) -> DataFrame:
     """Write docs' token files (below the shared folder if no path is given) and read them back."""
     path = path or shared_dir(docs.sparkSession)
-    write_tokens(docs, path, tokenizer, order=order, literal_markers=literal_markers)
+    write_tokens(docs, path, tokenizer, order=order, literal_markers=literal_markers, as_read=as_read)
     return read_tokens(docs.sparkSession, path, digest)
