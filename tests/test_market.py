@@ -61,13 +61,20 @@ def plain_bars(ticks):
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
-def test_late_ticks(spark):
+@pytest.mark.parametrize("slice_rows", [1, 7, 90, 1 << 20])
+def test_late_ticks(spark, slice_rows):
     rows = late_ticks()
     kinds, sent = plain_bars(rows)
     ticks = spark.createDataFrame(rows, TICK).repartition(3)
-    assert {r.seq: r.kind for r in bars.audit(ticks, W, LATE).collect()} == kinds and len(set(kinds.values())) == 4
+    assert {r.seq: r.kind for r in bars.audit(ticks, W, LATE, slice_rows).collect()} == kinds and len(set(kinds.values())) == 4
     last = {(s, b["start"]): tuple(b[c] for c in OHLCV) for s, b in sent}
-    assert {(r.symbol, r.bar_start): tuple(r[c] for c in OHLCV) for r in bars.live_bars(ticks, W, LATE).collect()} == last
+    assert {(r.symbol, r.bar_start): tuple(r[c] for c in OHLCV) for r in bars.live_bars(ticks, W, LATE, slice_rows).collect()} == last
+
+
+def test_candles_in_slices(spark):
+    ticks = spark.createDataFrame(late_ticks(3), TICK)
+    rows = lambda n: sorted(tuple(r) for r in bars.live_candles(ticks, W, n).collect())
+    assert rows(5) == rows(1 << 20)
 
 
 @pytest.fixture

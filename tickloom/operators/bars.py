@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .folds import fold_sorted
 
 LATE_MS = 100
+SLICE_ROWS = 1 << 20  # of a symbol's ticks that are sorted together
 
 
 def ohlcv(ticks: DataFrame, window_ms: int = 60_000, close_by_arrival: bool = False) -> DataFrame:
@@ -24,27 +25,44 @@ def resample(bars: DataFrame, window_ms: int) -> DataFrame:
         F.max_by("close", "bar_start").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("start", "bar_start")
 
 
-def audit(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = LATE_MS) -> DataFrame:
+def with_windows(ticks: DataFrame, window_ms: int, slice_rows: int) -> DataFrame:
+    """ticks with win, the start of their window; cur, the latest win that came before; and slice, top and before.
+
+    A symbol's ticks are sorted in slices of slice_rows by their number of arrival. Each slice hands on the latest of its
+    windows and the one before that, and these few rows are put in order, so that one busy symbol is many tasks: top is
+    the latest window of earlier slices, before the one that was the latest until top came.
+    """
+    own = (ticks.withColumn("win", F.expr(f"ts_ms - ts_ms % {window_ms}")).withColumn("slice", F.floor(F.col("seq") / slice_rows))
+           .withColumn("own", F.max("win").over(in_slice(-1))))
+    few = own.groupBy("symbol", "slice").agg(F.max("win").alias("last"), F.max(F.when(F.col("own").isNull() | (F.col("win") > F.col("own")), F.col("own"))).alias("second"))
+    earlier = Window.partitionBy("symbol").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = (few.withColumn("top", F.max("last").over(earlier))
+              .withColumn("left", F.when(F.col("top").isNull(), F.col("second")).when(F.col("last") > F.col("top"), F.greatest("second", "top")))
+              .select("symbol", "slice", "top", F.max("left").over(earlier).alias("before")))
+    return own.join(handed, ["symbol", "slice"]).withColumn("cur", F.greatest("own", "top")).drop("own")
+
+
+def in_slice(last: int):
+    """A slice's rows up to the one before (-1) or the own one (0)."""
+    return Window.partitionBy("symbol", "slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, last)
+
+
+def audit(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = LATE_MS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """kind of each tick in order of arrival: ROLL opens a bar, ON_TIME joins it, LATE_ACCEPTED corrects the one before it."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    return (ticks.withColumn("win", F.expr(f"ts_ms - ts_ms % {window_ms}"))
-            .withColumn("cur", F.max("win").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("roll", F.col("cur").isNull() | (F.col("win") > F.col("cur")))
-            .withColumn("prev", F.max(F.when(F.col("roll"), F.col("cur"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("kind", F.when(F.col("roll"), "ROLL").when(F.col("win") == F.col("cur"), "ON_TIME")
-                        .when((F.col("ts_ms") >= F.col("cur") - late_ms) & F.col("win").eqNullSafe(F.col("prev")), "LATE_ACCEPTED").otherwise("LATE_DROPPED"))
-            .drop("win", "cur", "roll", "prev"))
+    prev = F.greatest(F.max(F.when(F.col("roll"), F.col("cur"))).over(in_slice(0)), F.col("before"))
+    kind = (F.when(F.col("roll"), "ROLL").when(F.col("win") == F.col("cur"), "ON_TIME")
+            .when((F.col("ts_ms") >= F.col("cur") - late_ms) & F.col("win").eqNullSafe(F.col("prev")), "LATE_ACCEPTED").otherwise("LATE_DROPPED"))
+    return (with_windows(ticks, window_ms, slice_rows).withColumn("roll", F.col("cur").isNull() | (F.col("win") > F.col("cur"))).withColumn("prev", prev)
+            .select(*ticks.columns, kind.alias("kind")))
 
 
-def live_bars(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = LATE_MS) -> DataFrame:
-    return ohlcv(audit(ticks, window_ms, late_ms).filter("kind != 'LATE_DROPPED'"), window_ms)
+def live_bars(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = LATE_MS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    return ohlcv(audit(ticks, window_ms, late_ms, slice_rows).filter("kind != 'LATE_DROPPED'"), window_ms)
 
 
-def live_candles(ticks: DataFrame, window_ms: int) -> DataFrame:
+def live_candles(ticks: DataFrame, window_ms: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Ticks older than the last candle are dropped; close is the last to arrive."""
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    win = F.expr(f"ts_ms - ts_ms % {window_ms}")
-    kept = ticks.withColumn("m", F.max(win).over(w)).filter(F.col("m").isNull() | (win >= F.col("m"))).drop("m")
+    kept = with_windows(ticks, window_ms, slice_rows).filter("cur IS NULL OR win >= cur").select(*ticks.columns)
     return ohlcv(kept, window_ms, close_by_arrival=True)
 
 

@@ -72,21 +72,22 @@ def encode_status(c):
     return F.nullif(F.array_position(F.array(*map(F.lit, STATUS)), c), F.lit(0)) - 1
 
 
-def risk_decisions(orders: DataFrame, cap: float, blocked: list[str] | None = None) -> DataFrame:
-    """Decision on each order (order_id, account_id, seq, symbol, value, margin): in order of arrival, only approved
-    ones use the account's margin, which is that of its first order. What margin does not decide is decided first and
-    moves nowhere; the rest is a fold of one number an account."""
+def risk_decisions(orders: DataFrame, cap: float, blocked: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """account_id, order_id, the columns keep and the decision on each order (order_id, account_id, seq, symbol, value,
+    margin): in order of arrival, only approved ones use the account's margin, which is that of its first order. What
+    margin does not decide is decided first and moves nowhere; the rest is a fold of one number an account."""
     early = (F.when(F.col("symbol").isin(blocked or []), "BLACKLISTED").when(F.col("value").isNull(), "INVALID_ARGUMENTS")
              .when(F.col("value") > cap, "EXCEEDS_MAX_CAP"))
-    rows = orders.withColumn("early", early)
+    rows, out = orders.withColumn("early", early), ("account_id", "order_id", *keep)
 
     def step(left, r):
         fits = r["value"] <= left
-        return left - r["value"] if fits else left, [(r["account_id"], r["order_id"], "APPROVED" if fits else "INSUFFICIENT_MARGIN")]
+        return left - r["value"] if fits else left, [(*(r[c] for c in out), "APPROVED" if fits else "INSUFFICIENT_MARGIN")]
 
-    checked = fold_sorted(rows.filter("early IS NULL").select("account_id", "seq", "order_id", "value", "margin"), "account_id", ["seq", "order_id"],
-                          lambda r: r["margin"] or 0.0, step, "account_id long, order_id long, decision string")
-    return rows.filter("early IS NOT NULL").select("account_id", "order_id", F.col("early").alias("decision")).unionByName(checked)
+    needed = dict.fromkeys((*out, "seq", "value", "margin"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in orders.select(*out).dtypes) + ", decision string"
+    checked = fold_sorted(rows.filter("early IS NULL").select(*needed), "account_id", ["seq", "order_id"], lambda r: r["margin"] or 0.0, step, schema)
+    return rows.filter("early IS NOT NULL").select(*out, F.col("early").alias("decision")).unionByName(checked)
 
 
 def blacklist(feed: DataFrame) -> DataFrame:

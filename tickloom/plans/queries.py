@@ -245,8 +245,7 @@ def risk_decisions(spark, sf):
 
 @query(f"WITH RECURSIVE {RISK} SELECT symbol, decision, count(*) AS n FROM dec JOIN ord USING (order_id) GROUP BY ALL")
 def risk_check_counts(spark, sf):
-    own = v.orders(spark, sf)
-    return o.risk_decisions(own, 400_000.0, ["5-LOW"]).join(own.select("order_id", "symbol"), "order_id").groupBy("symbol", "decision").agg(F.count(F.lit(1)).alias("n"))
+    return o.risk_decisions(v.orders(spark, sf), 400_000.0, ["5-LOW"], keep=("symbol",)).groupBy("symbol", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS blocked FROM orders")
