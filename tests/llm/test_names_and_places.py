@@ -203,3 +203,18 @@ def test_staged_data_goes(spark):
         assert spark.read.parquet(path).count() == df.count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_buckets_beyond_the_limit(spark, monkeypatch):
+    """One file a bucket, and joins on the key still leave the rows in place."""
+    from tickloom.llm import common
+
+    monkeypatch.setattr(common, "MOST_BUCKETS", 2)
+    df = common.bucketed(spark.range(0, 1000, 1, 6).withColumnRenamed("id", "k"), "k", 4)
+    assert len(df.inputFiles()) == 4 and df.count() == 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = df.join(spark.range(500).withColumnRenamed("id", "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1

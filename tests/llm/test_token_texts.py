@@ -85,3 +85,12 @@ def test_other_tokenizers():
     coder, t, texts = tf.Encoder(path), Tokenizer.from_file(path), ["Two  words", " one", "", "\n\n"]
     assert not coder.by_word and tf.cuts_at_blanks(PATH)
     assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_many_rows_of_one_key(spark, tmp_path):
+    """Rows without doc_id are dealt to several shards, and all come back."""
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(1, "last")], "doc_id long, text string").repartition(3)
+    rows = tf.token_files(docs, PATH, path=f"file://{tmp_path}/t", digest=False).orderBy("start").collect()
+    shards = spark.read.parquet(f"{tmp_path}/t/blocks").select("shard").distinct().count()
+    assert shards > 1 and len(rows) == 401 and rows[-1].doc_id == 1
+    assert sorted(r.ids for r in rows) == sorted([*ids, tf.END_ID] for ids in plain([*(f"text {i}" for i in range(400)), "last"]))

@@ -67,11 +67,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MOST_BUCKETS = 200  # that each task writes files of
+
+
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``stage``, bucketed by key, so that later joins on key do not move df's rows."""
+    """``stage``, bucketed by key, so that later joins on key do not move df's rows.
+
+    A task writes a file for each bucket, so tasks times buckets files; beyond MOST_BUCKETS the rows
+    are dealt to the buckets by a shuffle first, and there is one file a bucket.
+    """
     spark, name = df.sparkSession, f"tickloom_{uuid.uuid4().hex}"
-    (df.write.option("path", shared_dir(spark)).option("compression", "zstd")
-       .bucketBy(n, key).saveAsTable(name))
+    rows = df.repartition(n, key) if n > MOST_BUCKETS else df
+    (rows.write.option("path", shared_dir(spark)).option("compression", "zstd")
+     .bucketBy(n, key).saveAsTable(name))
     _OPEN[-1].append(f"table {name}")
     return spark.table(name)
 

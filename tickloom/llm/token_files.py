@@ -228,7 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     Spark partitions by range of the order, or those of docs as_read; a lost task writes the same again.
 
     Null text is empty and has the end id alone. A null doc_id comes first; rows with the
-    same doc_id stay in one shard, ordered by text. Further columns are not written; an
+    same doc_id follow one another in the order of a hash of their texts. Further columns are not written; an
     empty table gives an empty set of blocks. The end id must fit the ids' width. A special
     token's name in a text is that token, unless literal_markers is set.
     """
@@ -269,7 +269,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     key = F.col("doc_id") if order is None else order
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if as_read else [key.alias("key")]))
     if not as_read:
-        rows = rows.repartitionByRange(partitions(docs), "key").sortWithinPartitions("key", "text").drop("key")
+        tie = F.xxhash64("text")  # parts a key that many rows have
+        rows = rows.repartitionByRange(partitions(docs), "key", tie).sortWithinPartitions("key", tie, "text").drop("key")
     (rows.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 

@@ -42,11 +42,10 @@ def shape_of(path: Column) -> Column:
 def evidence(pages: DataFrame, bad_words=BAD_WORDS, bars: float = BARS) -> DataFrame:
     """page_id and bad (0 or 1) of pages with a url and html, from the page itself: its host's words, and the bars in
     its visible text for each blank. A page without url or html says nothing."""
-    host = F.split(host_of(F.col("url")), "[.-]")
-    text = F.regexp_replace("html", "<[^>]*>", " ")
-    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
-    bad = F.arrays_overlap(host, F.array(*map(F.lit, bad_words))) | (count("|") >= F.lit(bars) * F.greatest(count(" "), F.lit(1)))
-    return pages.select("page_id", bad.cast("int").alias("bad"))
+    seen = pages.select("page_id", F.split(host_of(F.col("url")), "[.-]").alias("host"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
+    bad = F.arrays_overlap("host", F.array(*map(F.lit, bad_words))) | (count("|") >= F.lit(bars) * F.greatest(count(" "), F.lit(1)))
+    return seen.select("page_id", bad.cast("int").alias("bad"))
 
 
 def similar(bad: Column, lab: Column, node_bad: Column, node_lab: Column) -> Column:
