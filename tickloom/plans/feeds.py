@@ -314,7 +314,7 @@ navs AS (SELECT run_id, t AS ts_ms, 100000 + sum(worth) AS nav FROM cell GROUP B
 
 
 @query(f"""WITH {FILL_COSTS}, fl AS (SELECT run_id, symbol, fill_start, order_id, exec_price, CASE WHEN side = 'BUY' THEN qty ELSE -qty END AS q,
- CASE WHEN side = 'BUY' THEN -qty * exec_price ELSE qty * exec_price END - (qty * exec_price * 0.0001 + 1) AS flow FROM fc), {GRID} SELECT * FROM navs""", "nav")
+ CASE WHEN side = 'BUY' THEN -qty * exec_price ELSE qty * exec_price END - (qty * exec_price * 0.0001 + 1) AS flow FROM fc), {GRID} SELECT * FROM navs""", "nav", 2)
 def nav_series(spark, sf):
     return backtest.nav_series(hours(spark, sf), costs(spark, sf), 100_000.0)
 
@@ -331,7 +331,7 @@ fl AS (SELECT *, -q * exec_price - (abs(q) * exec_price * 0.0001 + 1) AS flow FR
 nv AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts_ms) AS step, nav FROM navs UNION ALL SELECT DISTINCT run_id, 0, 100000 FROM fl),
 x AS (SELECT *, max(nav) OVER w AS peak, CASE WHEN lag(nav) OVER w > 0 THEN (nav - lag(nav) OVER w) / lag(nav) OVER w WHEN lag(nav) OVER w IS NOT NULL THEN 0 END AS ret FROM nv WINDOW w AS (PARTITION BY run_id ORDER BY step))
 SELECT run_id, arg_max(nav, step) - arg_min(nav, step) AS final_pnl, avg(ret) / stddev_samp(ret) * sqrt(98280) AS sharpe,
- avg(ret) / sqrt(sum(pow(least(ret, 0), 2)) / (count(ret) - 1)) * sqrt(98280) AS sortino, max((peak - nav) / peak) AS max_drawdown FROM x GROUP BY run_id""", "final_pnl sharpe sortino max_drawdown")
+ avg(ret) / sqrt(sum(pow(least(ret, 0), 2)) / (count(ret) - 1)) * sqrt(98280) AS sortino, max((peak - nav) / peak) AS max_drawdown FROM x GROUP BY run_id""", "final_pnl sharpe sortino max_drawdown", 3)
 def sma_sweep(spark, sf):
     return backtest.sma_sweep(hours(spark, sf), PARAMS, 50.0, 100_000.0)
 

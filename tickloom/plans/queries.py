@@ -44,16 +44,16 @@ NY = "(epoch_ms(bar_start) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
 NY_BARS = f"{BARS}, ny AS (SELECT *, {NY}::DATE AS date, hour({NY}) * 60 + minute({NY}) AS m FROM bars)"
 
 
-def query(sql: str | None = None, doubles: str = ""):
-    """Register; doubles are rounded to 6 places on both sides, as sums depend on their order in the last bits."""
+def query(sql: str | None = None, doubles: str = "", places: int = 6):
+    """Register; doubles are rounded to some places on both sides, as sums depend on their order in the last bits."""
     names = doubles.split()
 
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = function(spark, sf_dir)
-            return df.withColumns({c: F.round(c, 6) + 0.0 for c in names}) if names else df
+            return df.withColumns({c: F.round(c, places) + 0.0 for c in names}) if names else df
 
-        text = sql and (f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in names)}) FROM ({sql}) AS q" if names else sql)
+        text = sql and (f"SELECT * REPLACE ({', '.join(f'round({c}, {places}) + 0.0 AS {c}' for c in names)}) FROM ({sql}) AS q" if names else sql)
         ENTRIES[function.__name__] = (run, text)
         return function
     return add
