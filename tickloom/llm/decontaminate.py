@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, Carried, U, bucketed, hashes_of, mix, partitions, small_batches, stage, text_bytes, words_of
 
 WINDOW = 13
-#: Bytes of benchmark text that one pass over the documents searches for; what is broadcast is about six times as much.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one pass over the documents searches for; what is broadcast is about eight times as much.
+BLOCK_BYTES = 12 << 20
 LANE = 512
 
 WORD = np.zeros(256, bool)  # [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z is lower case
