@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from . import language, quality
 from . import url_filter as urls
 from .decontaminate import decontaminate
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .repeats import remove_repeats
 from .token_files import token_files
+from .topk_search import top_k
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -186,10 +189,67 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 bear the next label."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives(rows)
+
+
+def integers_sql(scale: int) -> str:
+    return f"""SELECT row_number() OVER () AS row, *, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+OP11_SQL = f"""
+WITH r AS (SELECT row, vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({integers_sql(256)}) WHERE label IS NOT NULL),
+s AS (SELECT a.row, a.vec_id AS anchor_id, b.row AS other, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM r a JOIN r b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.row = p.row AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.row, p.other ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(s.total), 0) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * v.v))::BIGINT AS p,
+  (1 + 1000000000::HUGEINT * (k.n + 5) // (v.total + 5 * v.v))::BIGINT AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+o AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(o.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN o ON o.lang = a.lang AND o.source = a.source AND o.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER w::INT AS rank FROM r WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))
+QUALIFY part = 'pair' OR row_number() OVER w <= 50"""
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = f"""
+WITH r AS ({integers_sql(1024)})
+SELECT q.vec_id AS query_id, row_number() OVER w::INT AS rank, r.vec_id, list_inner_product(q.x, r.x)::BIGINT AS score
+FROM r q JOIN r ON q.row <> r.row WHERE q.vec_id % 100 = 0
+WINDOW w AS (PARTITION BY q.row ORDER BY list_inner_product(q.x, r.x) DESC, r.vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_decontaminate, op4_poisson_mix, op5_near_dedup, op6_token_files, op7_suffix_dedup, op8_language_id,
-                                         op9_exact_dedup, op10_quality)}
+                                         op9_exact_dedup, op10_quality,
+                                         op11_hard_negatives, op12_source_divergence, op13_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": op1_sql(), "op3_decontaminate": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op5_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_url_filter": op1_sql(), "op3_decontaminate": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op5_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL,
+            "op11_hard_negatives": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_top_k": OP13_SQL}
