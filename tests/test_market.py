@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal
-from tickloom.operators import asof, backtest, bars, features, orders, stats
+from tickloom.operators import asof, backtest, bars, chains, features, orders, stats
 from tickloom.plans import queries as plans
 from tickloom.sources import ingest, sinks
 from tickloom.streaming.bars import stream_bars, stream_bars_watermark
@@ -205,8 +205,8 @@ def test_margin_is_used_by_approved_orders_only(spark):
 
 
 def test_folds_of_no_rows(spark):
-    assert orders.breaker(spark.createDataFrame([], "node string, seq long, ts_ms long, ok boolean")).count() == 0
-    assert bars.anchored_line(spark.createDataFrame([], TICK), 5).count() == 0
+    assert chains.breaker(spark.createDataFrame([], "node string, seq long, ts_ms long, ok boolean")).count() == 0
+    assert chains.anchored_line(spark.createDataFrame([], TICK), 5).count() == 0
 
 
 def test_breaker(spark):
@@ -221,7 +221,7 @@ def test_breaker(spark):
         probe, fails = st == "OPEN", 0 if ok else fails + 1
         st, at = ("CLOSED", at) if ok or (not probe and fails < 3) else ("OPEN", t)
         want[i], state[n] = ("HALF_OPEN" if probe else "CLOSED", st), (st, fails, at)
-    got = orders.breaker(spark.createDataFrame(log, "node string, seq long, ts_ms long, ok boolean").repartition(3), 3, 700)
+    got = chains.breaker(spark.createDataFrame(log, "node string, seq long, ts_ms long, ok boolean").repartition(3), 3, 700)
     assert {x.seq: (x.attempt, x.state) for x in got.collect()} == want and {a for a, _ in want.values()} == {"REFUSED", "HALF_OPEN", "CLOSED"}
 
 
@@ -299,7 +299,7 @@ def test_anchored_line(spark):
             if x == s:
                 anchor = t if anchor is None or t - anchor >= 10 else anchor
                 want[s, anchor] = p
-    got = bars.anchored_line(spark.createDataFrame(rows, "symbol string, ts_ms long, price double, seq long").repartition(4), 10)
+    got = chains.anchored_line(spark.createDataFrame(rows, "symbol string, ts_ms long, price double, seq long").repartition(4), 10)
     assert {(x.symbol, x.time): x.value for x in got.collect()} == want
 
 

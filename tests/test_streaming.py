@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import bars, features, orders
+from tickloom.operators import bars, chains, features, orders
 from tickloom.streaming import stateful as st
 
 H = 3_600_000
@@ -40,7 +40,7 @@ def test_candles(spark, stream):
 
 def test_line(spark, stream):
     last = {(r.symbol, r.time): r.value for r in stream(ROWS, TICK, lambda t: st.stream_line(t, H))}
-    assert last == {(r.symbol, r.time): r.value for r in bars.anchored_line(spark.createDataFrame(ROWS, TICK), H).collect()}
+    assert last == {(r.symbol, r.time): r.value for r in chains.anchored_line(spark.createDataFrame(ROWS, TICK), H).collect()}
 
 
 def test_features(spark, stream):

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold_sorted
-
 LATE_MS = 100
 SLICE_ROWS = 1 << 20  # of a symbol's ticks that are sorted together
 
@@ -98,17 +96,6 @@ def first_source(*sources: DataFrame) -> DataFrame:
     return all_rows.join(best, ["symbol", "priority"])
 
 
-def anchored_line(ticks: DataFrame, interval_ms: int) -> DataFrame:
-    """Points that a tick joins while it is nearer than the interval to the point's first tick; value is the last tick's."""
-    def step(point, r):
-        if point[1] is None or r["ts_ms"] - point[1] < interval_ms:
-            return (r["symbol"], r["ts_ms"] if point[1] is None else point[1], r["price"]), []
-        return (r["symbol"], r["ts_ms"], r["price"]), [point]
-
-    return fold_sorted(ticks.select("symbol", "seq", "ts_ms", "price"), "symbol", ["seq"], lambda r: (r["symbol"], None, None), step,
-                       "symbol string, time long, value double", lambda point: [point])
-
-
 def newest_asc(bars: DataFrame, n: int = 1000, time: str = "bar_start") -> DataFrame:
     """The newest n bars of each symbol, oldest first."""
     return last_n(bars, n, time).orderBy("symbol", time)

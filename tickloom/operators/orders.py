@@ -1,11 +1,12 @@
-"""Orders: validation, event-log replay, cancels, legality, risk and breaker."""
+"""Orders: validation, event-log replay, cancels, legality and risk."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold_sorted
+from ..sources.views import partitions
+from .folds import fitting
 
 # The status codes and the legal changes of state.
 STATUS = ["UNSPECIFIED", "PENDING", "SUBMITTED", "PARTIALLY_FILLED", "FILLED", "CANCELED", "REJECTED", "PENDING_CANCEL"]
@@ -75,18 +76,17 @@ def encode_status(c):
 def risk_decisions(orders: DataFrame, cap: float, blocked: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """account_id, order_id, the columns keep and the decision on each order (order_id, account_id, seq, symbol, value,
     margin): in order of arrival, only approved ones use the account's margin, which is that of its first order. What
-    margin does not decide is decided first and moves nowhere; the rest is a fold of one number an account."""
-    early = (F.when(F.col("symbol").isin(blocked or []), "BLACKLISTED").when(F.col("value").isNull(), "INVALID_ARGUMENTS")
+    margin does not decide is decided first and moves nowhere; the rest is sorted by account, whose rows depend on one another: they are
+    decided in runs (``folds.fits``), one account in one task. A null symbol is on no list, a null margin is 0, a null account an account."""
+    early = (F.when(F.coalesce(F.col("symbol").isin(blocked or []), F.lit(False)), "BLACKLISTED").when(F.col("value").isNull(), "INVALID_ARGUMENTS")
              .when(F.col("value") > cap, "EXCEEDS_MAX_CAP"))
     rows, out = orders.withColumn("early", early), ("account_id", "order_id", *keep)
-
-    def step(left, r):
-        fits = r["value"] <= left
-        return left - r["value"] if fits else left, [(*(r[c] for c in out), "APPROVED" if fits else "INSUFFICIENT_MARGIN")]
-
-    needed = dict.fromkeys((*out, "seq", "value", "margin"))
-    schema = ", ".join(f"{c} {kind}" for c, kind in orders.select(*out).dtypes) + ", decision string"
-    checked = fold_sorted(rows.filter("early IS NULL").select(*needed), "account_id", ["seq", "order_id"], lambda r: r["margin"] or 0.0, step, schema)
+    carried = [c for c in dict.fromkeys((*out, "seq")) if c not in ("value", "margin")]
+    needed = rows.filter("early IS NULL").select(*carried, *(F.col(c).cast("double").alias(c) for c in ("value", "margin")))
+    schema = ", ".join(f"{c} {kind}" for c, kind in needed.dtypes) + ", fits boolean"
+    checked = (needed.repartition(partitions(orders), "account_id").sortWithinPartitions("account_id", "seq", "order_id")
+               .mapInArrow(lambda batches: fitting(batches, "account_id", "value", "margin"), schema)
+               .select(*out, F.when(F.col("fits"), "APPROVED").otherwise("INSUFFICIENT_MARGIN").alias("decision")))
     return rows.filter("early IS NOT NULL").select(*out, F.col("early").alias("decision")).unionByName(checked)
 
 
@@ -95,23 +95,3 @@ def blacklist(feed: DataFrame) -> DataFrame:
     p = F.split("payload", ":", 2)
     return (feed.select(p[0].alias("op"), F.try_element_at(p, F.lit(2)).alias("symbol"), "seq").filter(F.col("op").isin("ADD", "REMOVE") & F.col("symbol").isNotNull())
             .groupBy("symbol").agg(F.max_by("op", "seq").alias("op")).filter("op = 'ADD'").select("symbol"))
-
-
-def breaker(log: DataFrame, failures: int = 3, cooldown_ms: int = 5000) -> DataFrame:
-    """State after each attempt (node, seq, ts_ms, ok), and in which state it was made: so many failures since the last
-    success open it; when open for longer than the cooldown, the next attempt decides; sooner ones are refused."""
-    def step(now, r):
-        state, fails, at = now
-        opened = state == "OPEN"
-        if opened and r["ts_ms"] - at <= cooldown_ms:
-            return now, [(r["node"], r["seq"], "REFUSED", "OPEN")]
-        fails = 0 if r["ok"] else fails + 1
-        if r["ok"]:
-            now = "CLOSED", fails, at
-        elif opened or fails >= failures:
-            now = "OPEN", fails, r["ts_ms"]
-        else:
-            now = "CLOSED", fails, at
-        return now, [(r["node"], r["seq"], "HALF_OPEN" if opened else "CLOSED", now[0])]
-
-    return fold_sorted(log.select("node", "seq", "ts_ms", "ok"), "node", ["seq"], lambda r: ("CLOSED", 0, 0), step, "node string, seq long, attempt string, state string")

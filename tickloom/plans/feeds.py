@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import backtest, bars as b, features as f, orders as o, stats as s
+from ..operators import backtest, bars as b, chains, features as f, orders as o, stats as s
 from ..sources import ingest, sinks, views as v
 from ..sources.views import table
 from ..streaming import bars as sb, stateful as st
@@ -261,7 +261,7 @@ a AS (SELECT symbol, n, ts_ms AS anchor, price FROM t WHERE n = 1 UNION ALL
  SELECT t.symbol, t.n, CASE WHEN t.ts_ms - a.anchor < {3 * HOUR} THEN a.anchor ELSE t.ts_ms END, t.price FROM a JOIN t ON t.symbol = a.symbol AND t.n = a.n + 1)
 SELECT symbol, anchor AS time, arg_max(price, n) AS value FROM a GROUP BY ALL""", "value")
 def anchored_line(spark, sf):
-    return b.anchored_line(v.ticks(spark, sf), 3 * HOUR)
+    return chains.anchored_line(v.ticks(spark, sf), 3 * HOUR)
 
 
 @query(f"""WITH RECURSIVE {TICKS}, t AS (SELECT symbol AS node, seq, ts_ms, price >= 20 AS ok, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n FROM ticks),
@@ -273,7 +273,7 @@ f AS (SELECT node, n, seq, 'CLOSED' AS attempt, 'CLOSED' AS state, CASE WHEN ok
  FROM f JOIN t ON t.node = f.node AND t.n = f.n + 1) SELECT node, seq, attempt, state FROM f""")
 def breaker_timeline(spark, sf):
     log = v.ticks(spark, sf).select(F.col("symbol").alias("node"), "seq", "ts_ms", (F.col("price") >= 20).alias("ok"))
-    return o.breaker(log, 2, 2 * HOUR)
+    return chains.breaker(log, 2, 2 * HOUR)
 
 
 SIZES = "z AS (SELECT seq, (seq % 21 - 10) / 1000.0::DOUBLE AS weight, 1 / (1 + seq % 3)::DOUBLE AS multiplier, 100000.0::DOUBLE AS nav, CASE WHEN seq % 13 = 0 THEN 0 ELSE price END AS price, seq % 50 - 25 AS quantity FROM ticks)"
