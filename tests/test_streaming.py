@@ -1,9 +1,13 @@
 """Streams in two batches against the batch operators over the same rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars, chains, features, orders
+from tickloom.streaming import bars as sb
+from tickloom.streaming import ordered
 from tickloom.streaming import stateful as st
 
 H = 3_600_000
@@ -14,14 +18,16 @@ ROWS = [("A", 10.0, 1.0, 0, 1), ("B", 5.0, 1.0, 100, 2), ("A", 11.0, 2.0, H // 2
 
 @pytest.fixture
 def stream(spark, tmp_path):
-    """Runs a stream over rows in two files, one a batch, and gives all rows that were sent."""
+    """Runs a stream over rows in some files, one a batch, each one's rows in any order, and gives all rows that were sent."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     count = iter(range(100))
 
-    def run(rows, schema, function):
+    def run(rows, schema, function, files=2):
         n = next(count)
-        cut = len(rows) // 2
-        for part in (rows[:cut], rows[cut:]):
+        cuts = [len(rows) * i // files for i in range(files + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = rows[a:b]
+            random.Random(a).shuffle(part)
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{n}")
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in{n}")
         q = (function(source).writeStream.format("memory").queryName(f"sent{n}").outputMode("update").option("checkpointLocation", f"{tmp_path}/c{n}")
@@ -33,13 +39,65 @@ def stream(spark, tmp_path):
 
 def test_candles(spark, stream):
     sent = stream(ROWS, TICK, lambda t: st.stream_candles(t, H))
-    last = {(r.symbol, r.bar_start): (r.open, r.high, r.low, r.close, r.volume, r.filled) for r in sent}
+    last = {(r.symbol, r.bar_start): (r.open, r.high, r.low, r.close, r.volume, r.filled) for r in sorted(sent, key=lambda r: r.step)}
     whole = bars.gap_fill(bars.live_candles(spark.createDataFrame(ROWS, TICK), H), H)
     assert last == {(r.symbol, r.bar_start): (r.open, r.high, r.low, r.close, r.volume, r.filled) for r in whole.collect()}
 
 
+def made_ticks(n, seed=4):
+    """Ticks of three symbols that go on in time, of which some are late by up to two hours; one symbol is busy."""
+    r = random.Random(seed)
+    return [(r.choice("AAAAAAB"), float(r.randrange(1, 99)), float(r.randrange(1, 9)), i * H // 20 - r.choice([0, 0, 0, 0, r.randrange(2 * H)]) + 10 * H, i) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_bars_of_several_batches(spark, stream, monkeypatch, chunk):
+    """Late ticks of an earlier batch's bar correct it; rows that a batch has too many of go through the state store."""
+    monkeypatch.setattr(ordered.Ordered, "chunk", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if chunk == 7 else 10_000)
+    rows = made_ticks(300)
+    sent = stream(rows, TICK, lambda t: sb.stream_bars(t, H, H // 2), files=11)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for r in sent:
+        key = r.symbol, r.bar_start
+        assert key not in last or last[key][-1] != r.version or last[key] == tuple(r)[2:]
+        if key not in last or r.version > last[key][-1]:
+            last[key] = tuple(r)[2:]
+    whole = bars.live_bars(spark.createDataFrame(rows, TICK), H, H // 2).collect()
+    top = {s: max(r.bar_start for r in whole if r.symbol == s) for s in "AB"}
+    want = {(r.symbol, r.bar_start): tuple(r)[2:] for r in whole if r.bar_start < top[r.symbol]}
+    assert {k: v[:-1] for k, v in last.items()} == want
+    late = bars.audit(spark.createDataFrame(rows, TICK), H, H // 2).filter("kind = 'LATE_ACCEPTED'").groupBy("symbol", F.expr(f"ts_ms - ts_ms % {H}").alias("at")).count().collect()
+    assert {k: v[-1] for k, v in last.items() if v[-1]} == {(r.symbol, r["at"]): r["count"] for r in late} and len(late) > 3
+    assert len({(r.symbol, r.bar_start) for r in sent}) < len(sent)  # some went out again
+
+
+@pytest.mark.parametrize("chunk,keep", [(7, 500), (1 << 16, 5), (7, 3)])
+def test_candles_of_several_batches(spark, stream, monkeypatch, chunk, keep):
+    monkeypatch.setattr(ordered.Ordered, "chunk", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if chunk == 7 else 10_000)
+    rows = made_ticks(200)
+    rows = [(s, p, v, t + (9 * H if i > 120 else 0) + (40 * H if i > 160 else 0), i) for s, p, v, t, i in rows]
+    sent = stream(rows, TICK, lambda t: st.stream_candles(t, H, keep=keep), files=4)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for r in sorted(sent, key=lambda r: r.step):
+        last[r.symbol, r.bar_start] = None if r.evicted else tuple(r)[2:8]
+    whole = bars.last_n(bars.gap_fill(bars.live_candles(spark.createDataFrame(rows, TICK), H), H), keep)
+    assert {k: v for k, v in last.items() if v} == {(r.symbol, r.bar_start): tuple(r)[2:8] for r in whole.select("symbol", "bar_start", "open", "high", "low", "close", "volume", "filled").collect()}
+
+
+def test_bars_that_a_timer_closes(spark, stream):
+    """A symbol that falls silent: its open bar goes out once the watermark has passed it, and a later tick begins anew."""
+    rows = [("A", 1.0, 1.0, 0, 1), ("A", 2.0, 1.0, H // 2, 2), ("B", 5.0, 1.0, H // 3, 3), ("A", 3.0, 1.0, 5 * H, 4), ("A", 4.0, 1.0, 6 * H, 5), ("A", 4.5, 1.0, 6 * H + 1, 6), ("B", 7.0, 1.0, 9 * H, 7), ("A", 5.0, 1.0, 9 * H, 8)]
+    sent = [tuple(r) for r in stream(rows, TICK, lambda t: sb.stream_bars(t, H, 100, closing="1 minute"), files=4)]
+    assert ("B", 0, 5.0, 5.0, 5.0, 5.0, 1.0, 0) in sent and len(set(sent)) == len(sent)
+    assert {r[:2] for r in sent if r[0] == "A"} >= {("A", 0), ("A", 5 * H)} and ("A", 0, 1.0, 2.0, 1.0, 2.0, 2.0, 0) in sent
+
+
 def test_line(spark, stream):
-    last = {(r.symbol, r.time): r.value for r in stream(ROWS, TICK, lambda t: st.stream_line(t, H))}
+    last = {(r.symbol, r.time): r.value for r in sorted(stream(ROWS, TICK, lambda t: st.stream_line(t, H)), key=lambda r: r.step)}
     assert last == {(r.symbol, r.time): r.value for r in chains.anchored_line(spark.createDataFrame(ROWS, TICK), H).collect()}
 
 

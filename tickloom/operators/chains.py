@@ -230,6 +230,13 @@ class Line:
             return 0
         return int(first_above(self.ts, np.array([0]), np.array([anchor + self.interval - 1]))[0])
 
+    def points(self, anchor: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Times of the points, and which tick is the last of each; the one from before the slice too, if it goes on."""
+        start = self.begin(anchor)
+        opened = reached(self.pointer, start) if start < len(self.ts) else np.zeros(0, np.int64)
+        last, times = np.append(opened, len(self.ts))[1:] - 1, self.ts[opened]
+        return (np.append(times, anchor), np.append(last, start - 1)) if anchor is not None and start > 0 else (times, last)
+
     def table(self, top: int | None) -> list[dict]:
         """The last anchor, by where the one before the slice was."""
         first = records(self.ts)
@@ -267,14 +274,7 @@ def anchored_line(ticks: DataFrame, interval_ms: int, slice_rows: int = SLICE_RO
 
     def points(table: pa.Table) -> pa.Table:
         own = in_order(table)
-        ts, anchor = own["ts_ms"].to_numpy(), own["anchor"][0].as_py()
-        line = Line(ts, interval_ms)
-        start = line.begin(anchor)
-        opened = reached(line.pointer, start) if start < len(ts) else np.zeros(0, np.int64)
-        last = np.append(opened, len(ts))[1:] - 1 if len(opened) else opened
-        times = ts[opened]
-        if anchor is not None and start > 0:  # the point from before goes on in this slice
-            last, times = np.append(last, start - 1), np.append(times, anchor)
+        times, last = Line(own["ts_ms"].to_numpy(), interval_ms).points(own["anchor"][0].as_py())
         return pa.table({"symbol": own["symbol"].take(pa.array(last)), "time": times, "value": own["price"].take(pa.array(last)), "seq": own["seq"].take(pa.array(last))})
 
     some = entered.groupBy("symbol", "slice").applyInArrow(points, f"symbol {kind}, time long, value double, seq long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import calendar as cal
 from ..operators import backtest, bars as b, chains, features as f, orders as o, stats as s
 from ..sources import ingest, sinks, views as v
 from ..sources.views import table
-from ..streaming import bars as sb, stateful as st
+from ..streaming import barrier, bars as sb, stateful as st
 from .queries import AUDIT, BARS, FILL_COSTS, HOUR, LATE, NAV, OHLC, OHLCV, ORDER_EVENTS, TICKS, TRADES, costs, hours, navs, query
 
 DAY = 24 * HOUR
@@ -339,12 +341,29 @@ def sma_sweep(spark, sf):
 # --- streams -------------------------------------------------------------------------
 
 
+PARTS = 4
+
+
+def cut_in_files(spark: SparkSession, sf: str, name: str, order: str, path: str) -> None:
+    """A table as a feed: files of rows by their order, whose times of change go up, each one's rows in any order."""
+    rows = table(spark, sf, name)
+    bounds = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    step = ((bounds["b"] or 0) - (bounds["a"] or 0)) // PARTS + 1
+    for i in range(PARTS):
+        low = (bounds["a"] or 0) + i * step
+        rows.filter((F.col(order) >= low) & (F.col(order) < low + step)).coalesce(1).write.mode("append").parquet(path)
+
+
+def feed(spark: SparkSession, sf: str, name: str, path: str, order: str = "event_id") -> DataFrame:
+    """A table as a stream of one file a batch."""
+    cut_in_files(spark, sf, name, order, path)
+    return spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drained(spark: SparkSession, sf: str, name: str, view, function, mode: str = "update") -> DataFrame:
-    """All that a stream over a table sends until it is drained, with the number of the batch that sent it."""
-    schema = table(spark, sf, name).schema
+    """All that a stream over a table, in several batches, sends until it is drained, with the number of the batch that sent it."""
     root = v.scratch(spark)
-    source = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
-    return sinks.drain(function(view(source)), f"{root}/out", f"{root}/checkpoint", mode)
+    return sinks.drain(function(view(feed(spark, sf, name, f"{root}/in"))), f"{root}/out", f"{root}/checkpoint", mode)
 
 
 LIVE = f"WITH {TICKS}, {LATE}, {AUDIT}, kept AS (SELECT * FROM audit WHERE kind <> 'LATE_DROPPED')"
@@ -366,17 +385,112 @@ def stream_bars_watermark(spark, sf):
 a AS (SELECT symbol, bar_start, open, high, low, close, volume, false AS filled FROM c UNION ALL SELECT symbol, bar_start + i * {HOUR}, close, close, close, close, 0.0, true FROM g, unnest(range(1, least(50, (gap - 1) // {HOUR}) + 1)) AS t(i) WHERE gap > {HOUR} AND gap <= 43200000)
 SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_start DESC) <= 500""", OHLC)
 def stream_candles(spark, sf):
-    """The last state of each candle; of these the last 500 a symbol."""
+    """The last state of each candle that has not left the last 500 of its symbol."""
     sent = drained(spark, sf, "events", v.ticks_of, lambda t: st.stream_candles(t, HOUR))
-    return b.last_n(b.latest_bars(sent.withColumnRenamed("batch_id", "version")).drop("version"), 500)
+    return b.latest_bars(sent.drop("batch_id").withColumnRenamed("step", "version")).filter("NOT evicted").drop("version", "evicted")
 
 
 @query(f"WITH {TICKS} SELECT symbol, price, size, ts_ms, seq FROM ticks UNION ALL SELECT symbol, price, NULL, ts_ms, seq FROM ticks WHERE seq % 2 = 0", "price")
 def microbatch_sink(spark, sf):
-    """Ticks and a second feed recorded together by one stream, and read back."""
+    """Ticks and a second feed recorded together by one stream in several batches, and what is committed read back."""
     path = v.scratch(spark)
-    schema = table(spark, sf, "events").schema
-    source = lambda: v.ticks_of(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"))
-    sinks.start_recorder(source(), source().filter("seq % 2 = 0").drop("size"), f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
-    back = lambda kind: spark.read.parquet(f"{path}/out/{kind}").drop("batch_id")
-    return back("ticks").unionByName(back("bars"), allowMissingColumns=True)
+    one = v.ticks_of(feed(spark, sf, "events", f"{path}/in"))
+    two = v.ticks_of(spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")).filter("seq % 2 = 0").drop("size")
+    sinks.start_recorder(one, two, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    back = lambda kind, schema: sinks.recorded(spark, f"{path}/out", kind, schema).drop("run", "batch_id")
+    return back("ticks", one.schema).unionByName(back("bars", two.schema), allowMissingColumns=True)
+
+
+def cut(rows: DataFrame, path: str, condition: list[str]) -> DataFrame:
+    """Rows as a stream of one file a batch, a file for each condition."""
+    for c in condition:
+        rows.filter(c).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+LEGAL_SQL = " OR ".join(f"(f.state = '{p}' AND e.state = '{n}')" for p, n in o.LEGAL)
+
+
+@query(f"""WITH RECURSIVE {ORDER_EVENTS}, e AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY event_seq) AS n FROM ev WHERE event_seq > 2),
+f AS (SELECT order_id, 0::BIGINT AS n, 2::BIGINT AS event_seq, '' AS result, 'SUBMITTED' AS state, 0::BIGINT AS cum_qty, total_qty::BIGINT AS total_qty FROM per UNION ALL
+ SELECT f.order_id, e.n, e.event_seq, CASE WHEN NOT ({LEGAL_SQL}) THEN 'ILLEGAL' WHEN e.state IN ('PARTIALLY_FILLED', 'FILLED') AND f.cum_qty + e.delta_qty > f.total_qty THEN 'OVERFILL'
+   WHEN e.state = 'FILLED' AND f.cum_qty + e.delta_qty < f.total_qty THEN 'UNDERFILLED' ELSE 'ACCEPTED' END,
+  CASE WHEN NOT ({LEGAL_SQL}) THEN f.state WHEN e.state IN ('PARTIALLY_FILLED', 'FILLED') THEN CASE WHEN f.cum_qty + e.delta_qty > f.total_qty THEN f.state
+   WHEN f.cum_qty + e.delta_qty = f.total_qty THEN 'FILLED' ELSE e.state END ELSE e.state END,
+  CASE WHEN ({LEGAL_SQL}) AND e.state IN ('PARTIALLY_FILLED', 'FILLED') AND f.cum_qty + e.delta_qty <= f.total_qty THEN f.cum_qty + e.delta_qty ELSE f.cum_qty END, f.total_qty
+ FROM f JOIN e ON e.order_id = f.order_id AND e.n = f.n + 1)
+SELECT order_id, event_seq, result, state, cum_qty, total_qty FROM f WHERE n > 0""")
+def order_state_stream(spark, sf):
+    """The log's first two events of each order are replayed; the stream goes on from there, in several batches."""
+    events, path = v.order_events(spark, sf).select("order_id", "event_seq", "state", "delta_qty", "total_qty", "symbol", "price"), v.scratch(spark)
+    events.write.parquet(f"{path}/log")
+    events = spark.read.schema(events.schema).parquet(f"{path}/log")
+    later = cut(events, f"{path}/in", ["event_seq BETWEEN 3 AND 4", "event_seq BETWEEN 5 AND 6", "event_seq > 6"])
+    return sinks.drain(st.stream_orders(later, o.replay(events.filter("event_seq <= 2"))), f"{path}/out", f"{path}/checkpoint", "update").drop("batch_id")
+
+
+@query(f"""WITH {BARS}, r AS (SELECT symbol, bar_start, close, ln(close) - ln(lag(close) OVER w) AS ret, row_number() OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_start))
+SELECT symbol, bar_start, close, coalesce(ret, 0.0) AS log_return, CASE WHEN n > 1 THEN avg(ret) OVER w ELSE 0.0 END AS ret_mean, CASE WHEN n > 1 THEN stddev_pop(ret) OVER w ELSE 0.0 END + 1e-8 AS ret_std,
+ CASE WHEN n > 1 THEN (close - avg(close) OVER w) / (stddev_pop(close) OVER w + 1e-8) ELSE 0.0 END AS zscore FROM r WINDOW w AS (PARTITION BY symbol ORDER BY bar_start ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
+       "close log_return ret_mean ret_std zscore")
+def stream_features(spark, sf):
+    """Features of hourly bars that come in several batches."""
+    path, own = v.scratch(spark), hours(spark, sf).select("symbol", "bar_start", "close")
+    top = own.agg(F.min("bar_start").alias("a"), F.max("bar_start").alias("b")).first()
+    third = ((top["b"] or 0) - (top["a"] or 0)) // 3 + 1
+    later = cut(own, f"{path}/in", [f"(bar_start - {top['a'] or 0}) div {third} = {i}" for i in range(3)])
+    return sinks.drain(st.stream_features(later, 24), f"{path}/out", f"{path}/checkpoint", "update").drop("batch_id")
+
+
+@query(f"""WITH {BARS}, n AS (SELECT bar_start, count(*) AS n FROM bars GROUP BY 1), g AS (SELECT n.bar_start, u.symbol FROM n, (SELECT DISTINCT symbol FROM bars) u
+ WHERE n.n = (SELECT count(DISTINCT symbol) FROM bars) OR n.bar_start < (SELECT max(bar_start) FROM bars)),
+j AS (SELECT g.symbol, g.bar_start, open, high, low, close, volume, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.bar_start), 1.0) AS known FROM g LEFT JOIN bars USING (symbol, bar_start))
+SELECT symbol, bar_start, coalesce(open, known) AS open, coalesce(high, known) AS high, coalesce(low, known) AS low, coalesce(close, known) AS close, coalesce(volume, 0.0) AS volume FROM j""", OHLC)
+def stream_barrier(spark, sf):
+    """All symbols as one universe, their hourly bars in several batches; a last hour that lacks symbols is not sent."""
+    path, own = v.scratch(spark), hours(spark, sf).withColumn("universe", F.lit("all"))
+    top = own.agg(F.min("bar_start").alias("a"), F.max("bar_start").alias("b")).first()
+    third = ((top["b"] or 0) - (top["a"] or 0)) // 3 + 1
+    later = cut(own, f"{path}/in", [f"(bar_start - {top['a'] or 0}) div {third} = {i}" for i in range(3)])
+    barrier.start_barrier(later, own.select("universe", "symbol"), f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    return sinks.recorded(spark, f"{path}/out", "aligned", own.schema).select("symbol", "bar_start", "open", "high", "low", "close", "volume")
+
+
+@query(f"""WITH {TICKS}, b AS (SELECT min(seq) AS a, (max(seq) - min(seq)) // {PARTS} + 1 AS step FROM ticks), p AS (SELECT ticks.*, (seq - a) // step AS part FROM ticks, b)
+SELECT symbol, seq, price, 0 AS version FROM p WHERE part < 2 AND symbol IN ('click', 'purchase') UNION ALL SELECT symbol, seq, price, 1 FROM p WHERE part >= 2 AND symbol IN ('purchase', 'view')""", "price")
+def stream_static_filter(spark, sf):
+    """Ticks of listed symbols; half of the batches see one list, the others the one that was published meanwhile."""
+    path, schema = v.scratch(spark), table(spark, sf, "events").schema
+    cut_in_files(spark, sf, "events", "event_id", f"{path}/all")
+    rows = spark.read.schema(schema).parquet(f"{path}/all")
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    middle = (low or 0) + 2 * (((high or 0) - (low or 0)) // PARTS + 1)
+    for number, (listed, part) in enumerate(((["click", "purchase"], f"event_id < {middle}"), (["purchase", "view"], f"event_id >= {middle}"))):
+        sinks.publish_list(spark.createDataFrame([(x,) for x in listed], "symbol string"), f"{path}/lists")
+        rows.filter(part).repartition(2).write.mode("append").parquet(f"{path}/in")
+        source = v.ticks_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")).select("symbol", "seq", "price")
+        sinks.start_listed(source, f"{path}/lists", f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    return sinks.recorded(spark, f"{path}/out", "listed", source.schema.add("version", "integer")).drop("run", "batch_id")
+
+
+@query(f"""WITH {BARS}, x AS (SELECT *, 0 AS version FROM bars UNION ALL SELECT symbol, bar_start, open, high, low, close + 1, volume, 1 FROM bars WHERE volume > 50
+ UNION ALL SELECT symbol, bar_start, open, high, low, close + 2, volume, 2 FROM bars WHERE volume > 80 AND symbol > 'd')
+SELECT symbol, bar_start, arg_max(open, version) AS open, arg_max(high, version) AS high, arg_max(low, version) AS low, arg_max(close, version) AS close, arg_max(volume, version) AS volume, max(version) AS version FROM x GROUP BY ALL""", OHLC)
+def bar_upserts(spark, sf):
+    """An archive by date and symbol, and two batches of corrections put into the folders that they touch; the second one comes twice."""
+    path, own = f"{v.scratch(spark)}/archive", hours(spark, sf).withColumn("version", F.lit(0))
+    again = lambda n, where: own.filter(where).withColumn("close", F.col("close") + n).withColumn("version", F.lit(n))
+    for number, rows in ((0, own), (1, again(1, "volume > 50")), (2, again(2, "volume > 80 AND symbol > 'd'")), (2, own)):
+        sinks.upsert_bars(rows, path, number)
+    return sinks.archived(spark, path).drop("date")
+
+
+@query(f"WITH {TICKS} SELECT symbol, price, size, ts_ms, seq, strftime(epoch_ms(ts_ms), '%Y%m%d') AS date FROM ticks WHERE ts_ms // {DAY} = (SELECT max(ts_ms) // {DAY} FROM ticks)", "price")
+def tables_ddl(spark, sf):
+    """Ticks through the table that is created for them; its last day is read back from that day's folder alone."""
+    db = f"tickloom_{uuid.uuid4().hex}"
+    sinks.create_tables(spark, db, v.scratch(spark))
+    own = v.ticks(spark, sf).withColumn("date", F.date_format(F.timestamp_millis("ts_ms"), "yyyyMMdd"))
+    own.select(*spark.table(f"{db}.ticks").columns).repartition("date").write.insertInto(f"{db}.ticks")
+    last = own.agg(F.max("date")).first()[0]
+    return spark.table(f"{db}.ticks").filter(F.col("date") == F.lit(last))

@@ -4,62 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import Row
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-STATE = "start long, open double, high double, low double, close double, volume double, last long, version int, which int"
+from .ordered import LEAST, Ordered, by_window, fold_ordered
+
+STATE = "open double, high double, low double, close double, volume double, last long, version int"
 BARS = "symbol string, bar_start long, open double, high double, low double, close double, volume double, version int"
+VALUES = ["open", "high", "low", "close", "volume", "last", "version"]
 
 
-class Bars(StatefulProcessor):
-    """A symbol's current and previous bar; ticks come in order of seq within a batch."""
+class Bars(Ordered):
+    """The state is a map from the start of a window to its bar, of the current bar and the one that it replaced."""
 
-    def __init__(self, window_ms: int, late_ms: int):
-        self.window, self.late = window_ms, late_ms
+    def __init__(self, window_ms: int, late_ms: int, timers: bool):
+        self.window, self.late, self.timers = window_ms, late_ms, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bars = handle.getListState("bars", STATE)
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
-        state = [list(r) for r in self.bars.get()]
-        cur = next((s for s in state if s[8] == 0), None)
-        prev = next((s for s in state if s[8] == 1), None)
-        for r in sorted(rows, key=lambda r: r.seq):
-            win = r.ts_ms - r.ts_ms % self.window
-            if cur is None or win > cur[0]:
-                if cur is not None:
-                    yield self.row(key, cur)
-                prev, cur = cur, [win, r.price, r.price, r.price, r.price, r.size, r.ts_ms, 0, 0]
-            elif win == cur[0]:
-                self.add(cur, r)
-            elif prev is not None and win == prev[0] and r.ts_ms >= cur[0] - self.late:
-                self.add(prev, r)
-                prev[7] += 1
-                yield self.row(key, prev)
-        for which, s in enumerate((cur, prev)):
-            if s is not None:
-                s[8] = which
-        self.bars.put([tuple(s) for s in (cur, prev) if s is not None])
-
-    @staticmethod
-    def add(bar, r) -> None:
-        bar[2], bar[3], bar[5] = max(bar[2], r.price), min(bar[3], r.price), bar[5] + r.size
-        if r.ts_ms >= bar[6]:
-            bar[4], bar[6] = r.price, r.ts_ms
+        super().init(handle)
+        self.bars = handle.getMapState("bars", "bar_start long", STATE)
+
+    def load(self, key) -> None:
+        self.own = {k[0]: dict(zip(VALUES, v, strict=True)) for k, v in self.bars.iterator()}
+        self.stored = set(self.own)
+
+    def store(self, key) -> None:
+        for start in self.stored - set(self.own):
+            self.bars.removeKey((start,))
+        for start, bar in self.own.items():
+            self.bars.updateValue((start,), tuple(bar[c] for c in VALUES))
+        if self.timers:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if self.own:
+                self.handle.registerTimer(max(self.own) + self.window + self.late)
+
+    def fold(self, key, rows: np.ndarray) -> pd.DataFrame:
+        ts, old = rows["ts_ms"], sorted(self.own)
+        current, replaced = old[-1] if old else LEAST, old[0] if len(old) > 1 else LEAST
+        win = ts - np.fmod(ts, self.window)
+        before = np.maximum.accumulate(np.append(current, win))[:-1]  # the current window when each tick came
+        roll = win > before
+        previous = np.maximum.accumulate(np.append(replaced, np.where(roll, before, LEAST)))[1:]
+        late = ~roll & (win < before) & (win == previous) & (ts - before >= -self.late)
+        kept = roll | (win == before) | late
+        bars = pd.DataFrame(by_window(win[kept], rows[kept], False))
+        bars["version"] = np.add.reduceat(late[kept][np.argsort(win[kept], kind="stable")].astype(np.int64), np.unique(np.sort(win[kept]), return_index=True)[1]) if len(bars) else np.zeros(0, np.int64)
+        bars = bars.set_index("bar_start")
+        for start in old:
+            was = self.own[start]
+            if start in bars.index:
+                now = bars.loc[start].to_dict()
+                closing = now if now["last"] >= was["last"] else was
+                now |= {"open": was["open"], "high": max(was["high"], now["high"]), "low": min(was["low"], now["low"]), "volume": was["volume"] + now["volume"],
+                        "close": closing["close"], "last": closing["last"], "version": was["version"] + now["version"]}
+                bars.loc[start, VALUES] = [now[c] for c in VALUES]
+        top, second = int(max(before[-1], win[-1])), int(previous[-1])
+        if current not in bars.index and old and top > current:
+            bars = pd.concat([pd.DataFrame([self.own[current]], index=[current]), bars])  # its last tick came in an earlier chunk
+        self.own = {s: {c: v for c, v in bars.loc[s].to_dict().items()} if s in bars.index else self.own[s] for s in (top, second) if s != LEAST}
+        for bar in self.own.values():
+            bar |= {"last": int(bar["last"]), "version": int(bar["version"])}
+        return self.rows(key, bars[bars.index < top])
 
     @staticmethod
-    def row(key, s) -> Row:
-        return Row(symbol=key[0], bar_start=s[0], open=s[1], high=s[2], low=s[3], close=s[4], volume=s[5], version=s[7])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_bars(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = 100) -> DataFrame:
-    """Each bar when a later one begins, and again with a higher version for each late tick that corrects it; the open bar is not sent."""
-    return ticks.groupBy("symbol").transformWithState(Bars(window_ms, late_ms), BARS, "Update", "None")
+    def rows(key, bars: pd.DataFrame) -> pd.DataFrame:
+        out = bars[VALUES].rename_axis("bar_start").reset_index().drop(columns="last")
+        out.insert(0, "symbol", key[0])
+        return out.astype({"bar_start": "int64", "version": "int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """No tick of the open bar can come any more: it goes out, and the symbol's state goes."""
+        self.load(key)
+        if self.own:
+            yield self.rows(key, pd.DataFrame([self.own[max(self.own)]], index=[max(self.own)]))
+        for start in self.stored:
+            self.bars.removeKey((start,))
+
+
+def stream_bars(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = 100, closing: str | None = None) -> DataFrame:
+    """Each bar when a later one begins, and again with a higher version when late ticks have corrected it, version being the number of
+    late ticks so far (of several in a chunk the last one's goes out). The open bar is not sent, unless closing is given.
+
+    closing is a delay of the watermark, such as "10 seconds": once it has passed the end of a symbol's open bar by late_ms, the bar goes out and the
+    symbol's state is dropped; ticks behind the watermark are dropped before.
+    """
+    if closing is None:
+        return fold_ordered(ticks, "symbol", Bars(window_ms, late_ms, False), BARS)
+    timed = ticks.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", closing)
+    return fold_ordered(timed, "symbol", Bars(window_ms, late_ms, True), BARS, "EventTime")
 
 
 def stream_bars_watermark(ticks: DataFrame, window: str = "1 minute", delay: str = "100 milliseconds") -> DataFrame:

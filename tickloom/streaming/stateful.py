@@ -6,13 +6,20 @@ import math
 from collections.abc import Iterator
 from statistics import fmean, pstdev
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
+from ..operators import chains
 from ..operators.features import EPS
-from ..operators.orders import LEGAL
+from ..operators.folds import fits_one
+from ..operators.orders import LEGAL, TERMINAL
+from .ordered import LEAST, Ordered, by_window, fold_ordered
+
+PRICES = ["open", "high", "low", "close", "volume"]
 
 
 class Fold(StatefulProcessor):
@@ -40,46 +47,74 @@ class Fold(StatefulProcessor):
         pass
 
 
-class Candles(Fold):
-    state = "start long, open double, high double, low double, close double, volume double"
+class Candles(Ordered):
+    """The state is the last candle, and the starts of the candles that are kept, oldest first."""
 
-    def __init__(self, interval: int, max_gap: int, most: int):
-        self.interval, self.max_gap, self.most = interval, max_gap, most
+    def __init__(self, interval: int, max_gap: int, most: int, keep: int):
+        self.interval, self.max_gap, self.most, self.keep = interval, max_gap, most, keep
 
-    def step(self, key, state, r, out):
-        start = r.ts_ms - r.ts_ms % self.interval
-        if not state:
-            now = start, r.price, r.price, r.price, r.price, r.size
-        else:
-            at, first, high, low, last, volume = state[0]
-            if start < at:
-                return state
-            if start == at:
-                now = at, first, max(high, r.price), min(low, r.price), r.price, volume + r.size
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "starts array<long>, step long, start long, open double, high double, low double, close double, volume double")
+
+    def load(self, key) -> None:
+        state = self.kept.get() if self.kept.exists() else ([], 0, LEAST, 0.0, 0.0, 0.0, 0.0, 0.0)
+        self.starts, self.step, self.last = np.array(state[0], np.int64), state[1], dict(zip(("bar_start", *PRICES), state[2:], strict=True))
+
+    def store(self, key) -> None:
+        self.kept.update((self.starts.tolist(), self.step, int(self.last["bar_start"]), *(float(self.last[c]) for c in PRICES)))
+
+    def fold(self, key, rows: np.ndarray) -> pd.DataFrame:
+        win = rows["ts_ms"] - np.fmod(rows["ts_ms"], self.interval)
+        now, was = self.last["bar_start"], self.last
+        good = win >= np.maximum.accumulate(np.append(now, win))[:-1]  # what is older than the last candle is dropped
+        made = pd.DataFrame(by_window(win[good], rows[good], True))[["bar_start", *PRICES]]
+        if now != LEAST:
+            if len(made) and made["bar_start"].iloc[0] == now:
+                first = made.iloc[0]
+                made.loc[0, PRICES] = [was["open"], max(was["high"], first["high"]), min(was["low"], first["low"]), first["close"], was["volume"] + first["volume"]]
             else:
-                if start - at <= self.max_gap:
-                    for i in range(1, min(self.most, (start - at - 1) // self.interval) + 1):
-                        self.send(out, key, (at + i * self.interval, last, last, last, last, 0.0), True)
-                now = start, r.price, r.price, r.price, r.price, r.size
-        self.send(out, key, now, False)
-        return [now]
+                made = pd.concat([pd.DataFrame([was]), made], ignore_index=True)
+        made["filled"] = False
+        gap = np.diff(made["bar_start"])
+        n = np.where(gap <= self.max_gap, np.minimum(self.most, (gap - 1) // self.interval), 0)
+        at = np.repeat(np.arange(len(n)), n)
+        flat = made["close"].to_numpy()[at]
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + 1
+        fill = pd.DataFrame({"bar_start": made["bar_start"].to_numpy()[at] + place * self.interval, **dict.fromkeys(PRICES[:4], flat), "volume": 0.0, "filled": True})
+        self.last = made.iloc[-1][["bar_start", *PRICES]].to_dict()
+        out = pd.concat([made, fill], ignore_index=True).sort_values("bar_start")
+        every = np.union1d(self.starts, out["bar_start"])
+        gone, old, self.starts = every[:-self.keep], self.starts, every[-self.keep:]
+        out = out[out["bar_start"] >= self.starts[0]]
+        gone = pd.DataFrame({"bar_start": np.intersect1d(gone, old), **dict.fromkeys(PRICES, np.nan), "filled": False})
+        self.step += 1
+        out = pd.concat([out.assign(evicted=False), gone.assign(evicted=True)]).assign(symbol=key[0], step=self.step)
+        return out.astype({"bar_start": "int64"})[["symbol", "bar_start", *PRICES, "filled", "evicted", "step"]]
+
+
+class Line(Ordered):
+    """The state is the time of the last point's first tick."""
+
+    columns = {"seq": "i8", "ts_ms": "i8", "price": "f8"}
 
-    @staticmethod
-    def send(out, key, candle, filled):
-        start, first, high, low, last, volume = candle
-        out[start] = Row(symbol=key[0], bar_start=start, open=first, high=high, low=low, close=last, volume=volume, filled=filled)
+    def __init__(self, interval: int):
+        self.interval = interval
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "anchor long, step long")
 
-class Line(Fold):
-    state = "anchor long"
+    def load(self, key) -> None:
+        self.anchor, self.step = self.kept.get() if self.kept.exists() else (None, 0)
 
-    def __init__(self, interval: int):
-        self.interval = interval
+    def store(self, key) -> None:
+        self.kept.update((self.anchor, self.step))
 
-    def step(self, key, state, r, out):
-        anchor = state[0][0] if state and r.ts_ms - state[0][0] < self.interval else r.ts_ms
-        out[anchor] = Row(symbol=key[0], time=anchor, value=r.price)
-        return [(anchor,)]
+    def fold(self, key, rows: np.ndarray) -> pd.DataFrame:
+        times, last = chains.Line(rows["ts_ms"], self.interval).points(self.anchor)
+        self.anchor, self.step = int(times.max()), self.step + 1
+        return pd.DataFrame({"symbol": key[0], "time": times, "value": rows["price"][last], "step": self.step})
 
 
 class Features(Fold):
@@ -99,9 +134,46 @@ class Features(Fold):
 
 
 class OrderStates(Fold):
+    """Orders that have ended are kept apart, and forgotten when a timer says so."""
+
     state = "state string, cum_qty long, total_qty long"
     order = ("event_seq",)
 
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open, self.ended = handle.getValueState("open", self.state), handle.getValueState("ended", self.state)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.keep((initialState.state, initialState.cum_qty, initialState.total_qty))
+
+    def keep(self, now: tuple) -> None:
+        if now[0] in TERMINAL:
+            self.ended.update(now)
+            self.open.clear()
+        else:
+            self.open.update(now)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = next((tuple(s.get()) for s in (self.open, self.ended) if s.exists()), None)
+        state, out, latest = [now] if now else [], {}, 0
+        for r in sorted(rows, key=lambda r: r.event_seq):
+            state = self.step(key, state, r, out)
+            latest = max(latest, r.at_ms or 0)
+        if state and state[0] != now:
+            self.keep(state[0])
+        if state and state[0][0] in TERMINAL and self.forget_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(latest + self.forget_ms)
+        yield from out.values()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.ended.clear()
+        yield from ()
+
     def step(self, key, state, r, out):
         if not state:
             now, result = (r.state, 0, r.total_qty), "ACCEPTED"
@@ -155,39 +227,50 @@ class Barrier(Fold):
             out[at, s] = Row(universe=key[0], symbol=s, bar_start=at, open=first, high=high, low=low, close=last, volume=volume)
 
 
-class Risk(Fold):
-    state = "rest double"
+class Risk(Ordered):
+    """The state is what is left of an account's margin."""
+
+    columns = {"seq": "i8", "order_id": "i8", "value": "f8", "margin": "f8"}
 
     def __init__(self, cap: float):
         self.cap = cap
 
-    def step(self, key, state, r, out):
-        rest = state[0][0] if state else r.margin
-        if r.value is None:
-            decision = "INVALID_ARGUMENTS"
-        elif r.value > self.cap:
-            decision = "EXCEEDS_MAX_CAP"
-        elif r.value > rest:
-            decision = "INSUFFICIENT_MARGIN"
-        else:
-            decision, rest = "APPROVED", rest - r.value
-        out[r.seq, r.order_id] = Row(account_id=key[0], order_id=r.order_id, decision=decision)
-        return [(rest,)]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "rest double")
+
+    def load(self, key) -> None:
+        self.rest = self.kept.get()[0] if self.kept.exists() else None
+
+    def store(self, key) -> None:
+        self.kept.update((self.rest,))
+
+    def fold(self, key, rows: np.ndarray) -> pd.DataFrame:
+        if self.rest is None:
+            self.rest = float(np.nan_to_num(rows["margin"][0]))
+        value = rows["value"]
+        decision = np.where(np.isnan(value), "INVALID_ARGUMENTS", np.where(value > self.cap, "EXCEEDS_MAX_CAP", "INSUFFICIENT_MARGIN")).astype(object)
+        asked = np.flatnonzero(value <= self.cap)
+        good, self.rest = fits_one(value[asked], self.rest)
+        decision[asked[good]] = "APPROVED"
+        return pd.DataFrame({"account_id": key[0], "order_id": rows["order_id"], "decision": decision})
 
 
 def fold(rows: DataFrame, key: str, processor: Fold, schema: str) -> DataFrame:
     return rows.groupBy(key).transformWithState(processor, schema, "Update", "None")
 
 
-def stream_candles(ticks: DataFrame, interval: int, max_gap: int = 43_200_000, most: int = 50) -> DataFrame:
-    """Each candle again whenever a batch changes it, and flat ones for gaps up to max_gap; ticks older than the last candle are dropped."""
-    return fold(ticks, "symbol", Candles(interval, max_gap, most),
-                "symbol string, bar_start long, open double, high double, low double, close double, volume double, filled boolean")
+def stream_candles(ticks: DataFrame, interval: int, max_gap: int = 43_200_000, most: int = 50, keep: int = 500) -> DataFrame:
+    """Each candle again whenever a chunk of ticks changes it, and flat ones for gaps up to max_gap; ticks older than the last candle are dropped.
+
+    Of a symbol's candles the last ``keep`` stay: one that leaves goes out once more as evicted, without prices. A higher step is later."""
+    return fold_ordered(ticks, "symbol", Candles(interval, max_gap, most, keep),
+                        "symbol string, bar_start long, open double, high double, low double, close double, volume double, filled boolean, evicted boolean, step long")
 
 
 def stream_line(ticks: DataFrame, interval: int) -> DataFrame:
-    """The points of ``bars.anchored_line``, each again whenever a batch changes it."""
-    return fold(ticks, "symbol", Line(interval), "symbol string, time long, value double")
+    """The points of ``chains.anchored_line``, each again, with a higher step, whenever a chunk of ticks changes it."""
+    return fold_ordered(ticks, "symbol", Line(interval), "symbol string, time long, value double, step long")
 
 
 def stream_features(bars: DataFrame, window: int, eps: float = EPS) -> DataFrame:
@@ -195,14 +278,22 @@ def stream_features(bars: DataFrame, window: int, eps: float = EPS) -> DataFrame
     return fold(bars, "symbol", Features(window, eps), "symbol string, bar_start long, close double, log_return double, ret_mean double, ret_std double, zscore double")
 
 
-def stream_orders(events: DataFrame) -> DataFrame:
+def stream_orders(events: DataFrame, known: DataFrame | None = None, forget_ms: int | None = None, time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """What each requested change (order_id, event_seq, state, delta_qty, total_qty) leads to. The first one of an order
-    opens it and adds no quantity; ILLEGAL and OVERFILL change nothing; a fill up to the total makes FILLED."""
-    return fold(events, "order_id", OrderStates(), "order_id long, event_seq long, result string, state string, cum_qty long, total_qty long")
+    opens it and adds no quantity; ILLEGAL and OVERFILL change nothing; a fill up to the total makes FILLED.
+
+    known (order_id, state, cum_qty, total_qty) are orders that a stream begins with, as ``orders.replay`` gives them from a log. With forget_ms, an order
+    that has ended is forgotten once the watermark (of the column time, by delay) is so far behind its last change; so the state is that of the open orders
+    and of those that ended not long ago, and a change that comes later opens a new order. Changes behind the watermark are then dropped.
+    """
+    begin = None if known is None else known.select("order_id", "state", F.col("cum_qty").cast("long").alias("cum_qty"), F.col("total_qty").cast("long").alias("total_qty")).groupBy("order_id")
+    timed = events.withColumn("at_ms", F.lit(None).cast("long")) if forget_ms is None else events.withColumn("at_ms", F.unix_millis(time)).withWatermark(time, delay)
+    return timed.groupBy("order_id").transformWithState(OrderStates(forget_ms), "order_id long, event_seq long, result string, state string, cum_qty long, total_qty long", "Update",
+                                                        "None" if forget_ms is None else "EventTime", begin)
 
 
 def stream_barrier(bars: DataFrame, symbols: list[str]) -> DataFrame:
-    """All of a universe's symbols at a time, once every one has come or a later time begins; those that did not come are
+    """For universes that one task can hold (``barrier.start_barrier`` spreads them): all of a universe's symbols at a time, once every one has come or a later time begins; those that did not come are
     flat at their last close, or 1 before the first. Older bars are passed over; a last incomplete time is not sent."""
     return fold(bars, "universe", Barrier(symbols), "universe string, symbol string, bar_start long, open double, high double, low double, close double, volume double")
 
@@ -212,7 +303,7 @@ def stream_risk(orders: DataFrame, cap: float, blocked: DataFrame) -> DataFrame:
     listed = blocked.select("symbol").distinct().withColumn("listed", F.lit(True))
     rows = orders.join(listed, "symbol", "left")
     refused = rows.filter("listed").select("account_id", "order_id", F.lit("BLACKLISTED").alias("decision"))
-    return fold(rows.filter("listed IS NULL"), "account_id", Risk(cap), "account_id long, order_id long, decision string").unionByName(refused)
+    return fold_ordered(rows.filter("listed IS NULL"), "account_id", Risk(cap), "account_id long, order_id long, decision string").unionByName(refused)
 
 
 def stream_dedup_submits(orders: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
