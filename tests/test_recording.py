@@ -154,7 +154,7 @@ def test_orders_go_on_from_a_replayed_log(spark, tmp_path):
 def test_ended_orders_are_forgotten(spark, tmp_path):
     """A change that comes after the time to keep ended orders opens a new one; an open order stays."""
     schema = "order_id long, event_seq long, state string, delta_qty int, total_qty long, ms long"
-    for some in ([(1, 1, "PENDING", 0, 5, 0), (1, 2, "REJECTED", 0, 5, 10), (2, 1, "PENDING", 0, 5, 0)], [(3, 1, "PENDING", 0, 1, 500)], [(1, 3, "FILLED", 0, 5, 600), (3, 2, "SUBMITTED", 0, 1, 90_000)],
+    for some in ([(1, 1, "PENDING", 0, 5, 5), (1, 2, "REJECTED", 0, 5, 10), (2, 1, "PENDING", 0, 5, 5)], [(3, 1, "PENDING", 0, 1, 500)], [(1, 3, "FILLED", 0, 5, 600), (3, 2, "SUBMITTED", 0, 1, 90_000)],
                  [(3, 3, "FILLED", 1, 1, 90_000)], [(1, 4, "SUBMITTED", 0, 8, 95_000), (2, 2, "SUBMITTED", 0, 8, 95_000)]):
         add_file(spark, f"{tmp_path}/in", some, schema)
     events = source(spark, f"{tmp_path}/in", schema).withColumn("ts", F.timestamp_millis("ms"))

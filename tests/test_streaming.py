@@ -91,9 +91,10 @@ def test_candles_of_several_batches(spark, stream, monkeypatch, chunk, keep):
 def test_bars_that_a_timer_closes(spark, stream):
     """A symbol that falls silent: its open bar goes out once the watermark has passed it, and a later tick begins anew."""
     rows = [("A", 1.0, 1.0, 0, 1), ("A", 2.0, 1.0, H // 2, 2), ("B", 5.0, 1.0, H // 3, 3), ("A", 3.0, 1.0, 5 * H, 4), ("A", 4.0, 1.0, 6 * H, 5), ("A", 4.5, 1.0, 6 * H + 1, 6), ("B", 7.0, 1.0, 9 * H, 7), ("A", 5.0, 1.0, 9 * H, 8)]
+    rows = [(s, p, v, t + 10 * H, i) for s, p, v, t, i in rows]
     sent = [tuple(r) for r in stream(rows, TICK, lambda t: sb.stream_bars(t, H, 100, closing="1 minute"), files=4)]
-    assert ("B", 0, 5.0, 5.0, 5.0, 5.0, 1.0, 0) in sent and len(set(sent)) == len(sent)
-    assert {r[:2] for r in sent if r[0] == "A"} >= {("A", 0), ("A", 5 * H)} and ("A", 0, 1.0, 2.0, 1.0, 2.0, 2.0, 0) in sent
+    assert ("B", 10 * H, 5.0, 5.0, 5.0, 5.0, 1.0, 0) in sent and len(set(sent)) == len(sent)
+    assert {r[1] for r in sent if r[0] == "A"} == {10 * H, 15 * H, 16 * H} and ("A", 10 * H, 1.0, 2.0, 1.0, 2.0, 2.0, 0) in sent
 
 
 def test_line(spark, stream):

@@ -19,7 +19,7 @@ def nearest(rows: DataFrame, marks: DataFrame, after: bool = False, slice_ms: in
     kept = [c for c in rows.columns if c not in ("symbol", "at")]
     slice_ = F.floor(F.col("at") / slice_ms).alias("slice")
     own = rows.select("symbol", "at", slice_, F.struct(*kept).alias("row"))
-    mark = marks.select("symbol", "at", slice_, F.struct("at", *(c for c in marks.columns if c not in ("symbol", "at"))).alias("mark"))
+    mark = marks.filter("symbol IS NOT NULL").select("symbol", "at", slice_, F.struct("at", *(c for c in marks.columns if c not in ("symbol", "at"))).alias("mark"))
     both = mark.withColumn("row", F.lit(None).cast(own.schema["row"].dataType)).withColumn("side", F.lit(0)).unionByName(
         own.withColumn("mark", F.lit(None).cast(mark.schema["mark"].dataType)).withColumn("side", F.lit(1)))
     best, order = (F.min, F.desc) if after else (F.max, F.asc)

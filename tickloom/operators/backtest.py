@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import next_bar
+from .asof import nearest, next_bar
+from .prefix import running_sums
 
 YEAR = 252 * 390
+SLICE_MS = 86_400_000  # of a run, whose rows are summed together
 
 
 def fill_costs(orders: DataFrame, bars: DataFrame, gamma: float = 0.1, rate: float = 0.0001, flat: float = 1.0) -> DataFrame:
@@ -25,13 +27,28 @@ def positions(fills: DataFrame) -> DataFrame:
     return fills.groupBy("run_id", "symbol").agg(F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))).alias("net")).filter("net != 0")
 
 
-def cash_ledger(fills: DataFrame, initial: float, order: list[str]) -> DataFrame:
-    w = Window.partitionBy("run_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def live_fill_costs(orders: DataFrame, bars: DataFrame, gamma: float = 0.1, rate: float = 0.0001, volume: float = 100_000.0) -> DataFrame:
+    """Orders (symbol, ts_ms, side, qty, price, status, ...) at the last close of their symbol up to their time, or at their own price before its first bar.
+
+    Slippage is by a fixed volume, and there is no flat fee. Canceled orders, and those whose price is missing or not above 0, are not filled; a side in any case
+    that is not BUY sells.
+    """
+    marks = bars.select("symbol", F.col("bar_start").alias("at"), "close")
+    found = nearest(orders.filter("status IS NULL OR status <> 'CANCELLED'").withColumnRenamed("ts_ms", "at"), marks).withColumnRenamed("at", "ts_ms")
+    base, slip = F.coalesce("mark.close", "price"), gamma * F.col("qty") / volume
+    price = base * F.when(F.upper("side") == "BUY", 1 + slip).otherwise(1 - slip)
+    return (found.withColumn("base", base).filter("base > 0").withColumn("exec_price", price).withColumn("commission", F.col("qty") * F.col("exec_price") * rate)
+            .select(*orders.columns, "exec_price", "commission"))
+
+
+def cash_ledger(fills: DataFrame, initial: float, order: list[str], slice_ms: int = SLICE_MS) -> DataFrame:
+    """order begins with ts_ms; a run's fills are summed in slices of time."""
     cost = F.col("qty") * F.col("exec_price")
-    return fills.withColumn("cash", F.lit(initial) + F.sum(F.when(F.col("side") == "BUY", -(cost + F.col("commission"))).otherwise(cost - F.col("commission"))).over(w))
+    flow = F.when(F.col("side") == "BUY", -(cost + F.col("commission"))).otherwise(cost - F.col("commission"))
+    return running_sums(fills, ["run_id"], "ts_ms", order, {"cash": flow}, slice_ms).withColumn("cash", F.col("cash") + initial)
 
 
-def nav_series(bars: DataFrame, fills: DataFrame, initial: float) -> DataFrame:
+def nav_series(bars: DataFrame, fills: DataFrame, initial: float, slice_ms: int = SLICE_MS) -> DataFrame:
     """Cash and positions at every time of a bar or fill of the run's symbols; a fill's price is the mark after its bar's
     close, until the next bar. Bars meet the (run, symbol) pairs that have fills, as other symbols do not change a NAV."""
     cost = F.col("qty") * F.col("exec_price")
@@ -46,7 +63,7 @@ def nav_series(bars: DataFrame, fills: DataFrame, initial: float) -> DataFrame:
     value = F.sum("q").over(w) * F.col("mark") + F.sum("flow").over(w)
     change = step.withColumn("value", value).withColumn("gain", F.col("value") - F.coalesce(F.lag("value").over(Window.partitionBy("run_id", "symbol").orderBy("ts_ms")), F.lit(0.0)))
     times = change.groupBy("run_id", "ts_ms").agg(F.sum("gain").alias("gain"))
-    return times.withColumn("nav", F.lit(initial) + F.sum("gain").over(Window.partitionBy("run_id").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0))).drop("gain")
+    return running_sums(times, ["run_id"], "ts_ms", ["ts_ms"], {"nav": F.col("gain")}, slice_ms).withColumn("nav", F.col("nav") + initial).drop("gain")
 
 
 def nav_returns(nav: DataFrame) -> DataFrame:

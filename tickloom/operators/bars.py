@@ -81,6 +81,16 @@ def gap_fill(bars: DataFrame, interval: int, max_gap: int = 43_200_000, most: in
     return bars.select("symbol", "bar_start", "open", "high", "low", "close", "volume").withColumn("filled", F.lit(False)).unionByName(fill.withColumn("filled", F.lit(True)))
 
 
+def fill_to_now(bars: DataFrame, interval: int, now_ms: int, max_gap: int = 64_800_000, most: int = 120) -> DataFrame:
+    """Flat bars behind each symbol's last bar, up to the interval that now is in (which gets none), if that is at most max_gap later."""
+    now = now_ms - now_ms % interval
+    last = bars.groupBy("symbol").agg(F.max("bar_start").alias("last"), F.max_by("close", "bar_start").alias("close")).withColumn("gap", F.lit(now) - F.col("last"))
+    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(most).cast("long"), F.expr(f"(gap - 1) div {interval}")))
+    fill = last.filter((F.col("gap") > interval) & (F.col("gap") <= max_gap)).withColumn("i", F.explode(steps))
+    fill = fill.select("symbol", (F.col("last") + F.col("i") * interval).alias("bar_start"), *(F.col("close").alias(c) for c in ("open", "high", "low", "close")), F.lit(0.0).alias("volume"))
+    return bars.select(*fill.columns).withColumn("filled", F.lit(False)).unionByName(fill.withColumn("filled", F.lit(True)))
+
+
 def last_n(bars: DataFrame, n: int = 500, time: str = "bar_start") -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc(time))
     return bars.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")

@@ -23,8 +23,8 @@ a2 AS (SELECT *, cur IS NULL OR win > cur AS roll FROM a1),
 a3 AS (SELECT *, max(CASE WHEN roll THEN cur END) OVER (PARTITION BY symbol ORDER BY seq) AS prev FROM a2),
 audit AS (SELECT symbol, price, size, ts_ms, seq, CASE WHEN roll THEN 'ROLL' WHEN win = cur THEN 'ON_TIME' WHEN ts_ms >= cur - {HOUR // 2} AND win = prev THEN 'LATE_ACCEPTED' ELSE 'LATE_DROPPED' END AS kind FROM a3)"""
 NAV = f"{BARS}, nav AS (SELECT symbol AS run_id, row_number() OVER (PARTITION BY symbol ORDER BY bar_start) AS step, close AS nav FROM bars)"
-TRADES = """trades AS (SELECT (user_id % 10)::VARCHAR AS symbol, CASE WHEN event_type = 'purchase' THEN 'BUY' ELSE 'SELL' END AS action, value AS price,
- (props->>'k')::DOUBLE AS qty, (epoch_us(ts) // 1000) AS ts_ms, event_id AS seq FROM events WHERE event_type IN ('purchase', 'signup'))"""
+TRADES = """trades AS (SELECT (user_id % 10)::VARCHAR AS symbol, CASE WHEN event_type IN ('purchase', 'click') THEN 'BUY' ELSE 'SELL' END AS action, value AS price,
+ (props->>'k')::DOUBLE AS qty, (epoch_us(ts) // 1000) AS ts_ms, event_id AS seq FROM events)"""
 ORDER_EVENTS = """l AS (SELECT l_orderkey AS order_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey) + 2 AS event_seq,
  l_quantity::INT AS delta_qty, sum(l_quantity) OVER (PARTITION BY l_orderkey)::INT - (l_orderkey % 2)::INT + CASE WHEN l_orderkey % 11 = 0 THEN 5 ELSE 0 END AS total_qty FROM lineitem),
 per AS (SELECT order_id, max(event_seq) AS n, max(total_qty) AS total_qty FROM l GROUP BY order_id),
@@ -117,11 +117,23 @@ def last_n_bars(spark, sf):
     return b.last_n(hours(spark, sf), 24).select("symbol", "bar_start", "close")
 
 
-@query(f"""WITH {BARS}, one AS (SELECT * FROM bars WHERE symbol < 'p') SELECT symbol, bar_start, close FROM one UNION ALL
-SELECT symbol, bar_start, close FROM bars WHERE symbol NOT IN (SELECT symbol FROM one)""", "close")
+@query(f"""WITH {BARS}, one AS (SELECT symbol, bar_start, close FROM bars WHERE symbol < 'p' AND volume > 40), two AS (SELECT symbol, bar_start, close * 2 + 1 AS close FROM bars WHERE symbol <> 'click')
+SELECT * FROM one UNION ALL SELECT * FROM two WHERE symbol NOT IN (SELECT symbol FROM one)""", "close")
 def source_fallback(spark, sf):
-    own = hours(spark, sf).select("symbol", "bar_start", "close")
-    return b.first_source(own.filter("symbol < 'p'"), own).drop("priority")
+    """Two feeds with other prices; each lacks symbols of the other, and where both have one the first one's bars count alone."""
+    own = hours(spark, sf)
+    first, second = own.filter("symbol < 'p' AND volume > 40"), own.filter("symbol <> 'click'").withColumn("close", F.col("close") * 2 + 1)
+    return b.first_source(*(x.select("symbol", "bar_start", "close") for x in (first, second))).drop("priority")
+
+
+@query(f"""WITH {BARS}, l AS (SELECT symbol, max(bar_start) AS last, arg_max(close, bar_start) AS close FROM bars GROUP BY symbol), n AS (SELECT max(ts_ms) + {16 * HOUR} AS present FROM ticks),
+g AS (SELECT *, present - present % {HOUR // 4} - last AS gap FROM l, n)
+SELECT symbol, bar_start, open, high, low, close, volume, false AS filled FROM bars UNION ALL
+SELECT symbol, last + i * {HOUR // 4}, close, close, close, close, 0.0, true FROM g, unnest(range(1, least(120, (gap - 1) // {HOUR // 4}) + 1)) AS t(i) WHERE gap > {HOUR // 4} AND gap <= 18 * {HOUR}""", OHLC)
+def fill_to_now(spark, sf):
+    """Now is 16 hours behind the last tick."""
+    now = v.ticks(spark, sf).agg(F.max("ts_ms")).first()[0]
+    return b.fill_to_now(hours(spark, sf), HOUR // 4, (now or 0) + 16 * HOUR)
 
 
 FEATURES = f"""WITH {BARS}, r AS (SELECT symbol, bar_start, close, ln(close) - ln(lag(close) OVER w) AS ret, row_number() OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_start)),
@@ -307,9 +319,9 @@ def latest_trade_per_symbol(spark, sf):
 
 @query(f"""WITH {TRADES}, q AS (SELECT *, ts_ms - ts_ms % {24 * HOUR} AS candle, CASE WHEN qty > 0 THEN qty ELSE 100 END AS q FROM trades),
 g AS (SELECT symbol, candle, action, count(*) AS n, sum(q) AS qty, sum(price * q) / sum(q) AS vwap FROM q GROUP BY ALL)
-SELECT *, CASE WHEN n > 1 THEN 1.2 ELSE 1.0 END::DOUBLE AS size FROM g""", "qty vwap size")
+SELECT *, CASE WHEN n > 1 THEN 1.2 ELSE 1.0 END::DOUBLE AS size, CASE WHEN n > 1 THEN printf('%s %dx (%d@%.2f)', action[1], n, qty::BIGINT, vwap) ELSE printf('%s %d@%.2f', action[1], qty::BIGINT, vwap) END AS text FROM g""", "qty vwap size")
 def trade_markers(spark, sf):
-    return s.trade_markers(v.trades(spark, sf).withColumn("candle", F.expr(f"ts_ms - ts_ms % {24 * HOUR}"))).drop("text")
+    return s.trade_markers(v.trades(spark, sf).withColumn("candle", F.expr(f"ts_ms - ts_ms % {24 * HOUR}")))
 
 
 @query(f"""WITH {BARS}, g AS (SELECT symbol, arg_max(close, bar_start) AS latest, arg_min(open, bar_start) AS first FROM bars GROUP BY symbol)
@@ -404,6 +416,19 @@ def fill_costs(spark, sf):
     return costs(spark, sf).select("symbol", "order_id", "fill_start", "exec_price", "commission")
 
 
+@query(f"""WITH {BARS}, r AS (SELECT symbol, seq AS order_id, ts_ms, CASE seq % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'buy' ELSE 'SELL' END AS side, seq % 50 * 10.0::DOUBLE AS qty,
+ CASE WHEN seq % 4 = 0 THEN 0 ELSE price END AS price FROM ticks WHERE seq % 11 <> 0),
+x AS (SELECT r.*, coalesce(b.close, r.price) AS base FROM r ASOF LEFT JOIN bars b ON r.symbol = b.symbol AND r.ts_ms - {2 * HOUR} >= b.bar_start),
+y AS (SELECT *, base * (1 + CASE WHEN upper(side) = 'BUY' THEN 1 ELSE -1 END * (0.1::DOUBLE * qty / 100000::DOUBLE)) AS exec_price FROM x WHERE base > 0)
+SELECT symbol, order_id, exec_price, qty * exec_price * 0.0001::DOUBLE AS commission FROM y""")
+def live_fill_costs(spark, sf):
+    """Bars count from two hours after their start; every eleventh order is canceled, every fourth has no price of its own."""
+    t = v.ticks(spark, sf)
+    own = t.select("symbol", F.col("seq").alias("order_id"), "ts_ms", F.expr("CASE seq % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'buy' ELSE 'SELL' END").alias("side"), (F.col("seq") % 50 * 10.0).alias("qty"),
+                   F.when(F.col("seq") % 4 == 0, 0.0).otherwise(F.col("price")).alias("price"), F.when(F.col("seq") % 11 == 0, "CANCELLED").alias("status"))
+    return backtest.live_fill_costs(own, hours(spark, sf).withColumn("bar_start", F.col("bar_start") + 2 * HOUR)).select("symbol", "order_id", "exec_price", "commission")
+
+
 @query(f"WITH {FILL_COSTS} SELECT run_id, symbol, sum(qty * exec_price * 0.0001 + 1) AS commission, sum(abs(exec_price - close) * qty) AS slippage, sum(qty * exec_price) AS turnover FROM fc GROUP BY ALL", "commission slippage turnover")
 def transaction_costs(spark, sf):
     return backtest.transaction_costs(costs(spark, sf))

@@ -105,8 +105,9 @@ def spread(spark, sf):
 
 
 def trades(spark, sf):
-    e = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "signup"))
-    return e.select((F.col("user_id") % 10).cast("string").alias("symbol"), F.when(F.col("event_type") == "purchase", "BUY").otherwise("SELL").alias("action"),
+    """Purchases and clicks buy, all others sell."""
+    e = table(spark, sf, "events")
+    return e.select((F.col("user_id") % 10).cast("string").alias("symbol"), F.when(F.col("event_type").isin("purchase", "click"), "BUY").otherwise("SELL").alias("action"),
                     F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("qty"), millis("ts").alias("ts_ms"), F.col("event_id").alias("seq"))
 
 
