@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tickloom.llm.line_dedup import BYTES_OF_WORD, remove_repeated_lines
+from tickloom.llm.line_dedup import BYTES_OF_WORD, minimum, remove_repeated_lines, weighed, windows
 
 
 def plain(texts, words):
@@ -56,3 +56,32 @@ def test_as_plain(spark, words):
             lines += r.choice([[r.choice(short)], r.choice(passages), [f"own {i} {r.random()}"]])
         texts.append("\n".join(lines))
     assert left(spark, texts, words) == plain(texts, words)
+
+
+@pytest.mark.parametrize("words", [2, 5, 9])
+def test_windows_guarantee_fingerprints(words):
+    """Texts that share a run of so many words select the same lines of it, wherever it stands; of short lines only some are selected."""
+    r, some, every = random.Random(words), 0, 0
+    for _ in range(300):
+        body = [" ".join(r.choice("abcd") for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 9))]
+        sides = [[[f"{side}{r.randrange(9)}" for _ in range(r.randrange(4))] for side in "xy"] for _ in range(2)]
+        if sum(len(x.split()) for x in body) < words:
+            continue
+        picked = []
+        for before, after in sides:
+            lines, weights = weighed("\n".join([*before, *body, *after]), words)
+            hashes, start = [hash(x) % 97 for x in lines], len(before)
+            chosen = {minimum(hashes, w): w for w in windows(weights, words)}
+            picked.append({minimum(hashes, w) - start for w in windows(weights, words) if start <= w[0] and w[1] <= start + len(body)})
+            some, every = some + len(chosen), every + len(lines)
+        assert picked[0] == picked[1] and picked[0]
+    assert some < 0.85 * every
+
+
+def test_hot_and_very_long_texts(spark):
+    """One line in a third of all texts, and a text of 200,000 lines that holds it too."""
+    common = "this line is everywhere in the corpus"
+    long = "\n".join([f"own line number {i}" for i in range(200_000)] + [common])
+    texts = [f"first {i} of all\n{common}\nlast {i} of all" if i % 3 == 0 else f"only text {i}" for i in range(3000)] + [long, long]
+    got = left(spark, texts, 3)
+    assert got[0] == texts[0] and got[3] == "first 3 of all\nlast 3 of all" and got[4] == texts[4] and got[-2] == long.rpartition("\n")[0] and got[-1] == ""

@@ -19,6 +19,8 @@ LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 HELD = 1 << 20
 #: Sources of a language whose pairs a task sums at once; values of terms that it holds as a table.
 SOURCES, CELLS = 1024, 1 << 20
+#: Kept terms of a language for each task that sums its pairs.
+PIECE = 1 << 11
 MILLIARD = 1_000_000_000
 
 
@@ -241,9 +243,8 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, text
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")))
     over = ranked(over.filter("value > 0")).filter(F.col("rank") <= top)
 
-    widest = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.max("v").alias("v")).agg(F.max("sources"), F.max(F.col("v") * F.col("sources")), F.max("v")).first()
-    blocks = -(-(widest[0] or 1) // SOURCES)
-    pieces = min(parts, max(1, -(-(widest[1] or 0) * min(widest[0] or 1, SOURCES) // (1 << 29)), -(-(widest[1] or 0) // (1 << 24))))
+    widest = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.max("v").alias("v")).agg(F.max("sources"), F.max("v")).first()
+    blocks, pieces = -(-(widest[0] or 1) // SOURCES), min(parts, max(1, -(-(widest[1] or 0) // PIECE)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     header = (groups.groupBy("lang").agg(F.max("v").alias("v"), F.array_sort(F.collect_list(F.struct("source", F.col("total").alias("n")))).alias("entries"))
               .withColumn("side", F.lit(0)).withColumn("piece", every(pieces)))

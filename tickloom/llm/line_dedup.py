@@ -1,4 +1,4 @@
-"""Line dedup: fingerprints of the shortest line runs that count, joined with their first place."""
+"""Line dedup by winnowing: the minima of windows of lines are fingerprints, whose places are joined and extended to whole runs."""
 
 from __future__ import annotations
 
@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, partitions, small_batches, stage
 
-WORDS = 3            # words of the shortest run that is deleted
+WORDS = 3            # words of a window, and so of the shortest run that is deleted
 BYTES_OF_WORD = 16   # a line has a word for each so many bytes at least, as some scripts have no blanks
-RUN = 1      # lines of the shortest run that can be deleted
-WINDOW = 1   # one fingerprint of every so many is selected: all of them
 
 
 def lines_of(text: str) -> tuple[list[str], list[int]]:
@@ -24,13 +22,22 @@ def lines_of(text: str) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip()]
 
 
-def shortest_runs(weights: list[int], words: int) -> list[tuple[int, int]]:
+def weighed(text: str, words: int) -> tuple[list[str], list[int]]:
+    """The lines that are not blank, without surrounding white space, and their words, counted up to a window's."""
+    lines = [x for x in (line.strip() for line in text.split("\n")) if x]
+    enough = words * BYTES_OF_WORD
+    return lines, [words if (n := len(x.encode())) >= enough else min(words, max(len(x.split()), n // BYTES_OF_WORD)) for x in lines]
+
+
+def windows(weights: list[int], words: int) -> list[tuple[int, int]]:
     """The shortest run of at least so many words from each line on, and up to each line.
 
-    Each line of any longer run is in one of these that lies in that run: in the one from it
+    Each line of any run of so many words is in one of these that lies in that run: in the one from it
     on, or else in the one up to it, or else in the one from the run's first line on.
     """
     n, found = len(weights), set()
+    if not n or min(weights) >= words:
+        return [(i, i + 1) for i in range(n)]
     last = total = 0
     for first in range(n):
         while last < n and total < words:
@@ -52,19 +59,48 @@ def shortest_runs(weights: list[int], words: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def minimum(hashes: list[int], window: tuple[int, int]) -> int:
+    """The line that a window selects: the last one of the least hash in it."""
+    first, last = window
+    if last == first + 1:
+        return first
+    least = min(hashes[first:last])
+    return max(i for i in range(first, last) if hashes[i] == least)
+
+
 def fingerprints(words: int):
+    """Which lines of a text its windows select, and their hashes. Equal runs of a window's words select equal lines."""
     def run(batches):
         for batch in small_batches(batches, "text"):
-            rows, first, last, digests = [], [], [], []
+            rows, places, prints = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                lines, full = lines_of(text or "")
-                lines = [lines[k].strip() for k in full]
-                weights = [max(len(x.split()), len(x.encode()) // BYTES_OF_WORD) for x in lines]
-                for a, b in shortest_runs(weights, words):
-                    rows.append(i)
-                    first.append(a)
-                    last.append(b)
-                    digests.append(xxhash.xxh3_128_digest(lines[a] if b == a + 1 else "\n".join(lines[a:b])))
+                lines, weights = weighed(text or "", words)
+                hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
+                chosen = sorted({minimum(hashes, w) for w in windows(weights, words)})
+                rows += [i] * len(chosen)
+                places += chosen
+                prints += [hashes[k] for k in chosen]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["row_id", "place", "print"])
+
+    return run
+
+
+def extended(words: int):
+    """From a text's fingerprints that stand elsewhere too, the whole windows to both sides of each: their first and last line, and 128 bits of what they hold."""
+    def run(batches):
+        for batch in small_batches(batches, "text"):
+            rows, first, last, digests = [], [], [], []
+            for i, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                if not places:
+                    continue
+                (lines, weights), known = weighed(text or "", words), set(places)
+                hashes = [xxhash.xxh3_64_intdigest(x) for x in lines] if min(weights) < words else []
+                for a, b in windows(weights, words):
+                    if (a if b == a + 1 else minimum(hashes, (a, b))) in known:
+                        rows.append(i)
+                        first.append(a)
+                        last.append(b)
+                        digests.append(xxhash.xxh3_128_digest(lines[a] if b == a + 1 else "\n".join(lines[a:b])))
             take = pa.array(rows, pa.int64())
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
@@ -103,12 +139,13 @@ def remove_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     doc_id or before in its own. A line counts its words, or one for each BYTES_OF_WORD bytes
     if that is more. A line's first place always stays.
 
-    Fingerprints (128 bits) are of the shortest runs that are long enough, from each line on
-    and up to each line. They cover a longer run, wherever the first place of each is, so
-    nothing is extended; of a selection among them a run's ends, or runs whose parts have
-    their first places in several texts, would stay.
+    A window is the shortest run of so many words from a line on, or up to a line; it selects its line of the least hash, the last of several. Texts
+    that share a run of so many words select the same lines of it, so only places of fingerprints that stand at two places or more go on.
+    From these, the windows that selected them are compared whole (by 128 bits), and each that stands further ahead marks its
+    lines; as windows overlap, the marks extend a match to both sides up to the first and last line of the longest repeated run. A run is whole
+    even if its parts have their first places in several texts.
 
-    Only one first place of each fingerprint is joined, never all pairs. Null text is one
+    Each window is joined with its one first place, never all pairs. Null text is one
     empty line. Of rows with the same doc_id, the order in which they are read decides; a null
     doc_id comes first. Further columns are ignored; an empty table gives no rows.
     """
@@ -116,10 +153,13 @@ def remove_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
         raise ValueError("a run has one word at least")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = bucketed(rows, "row_id", partitions(docs))
-    prints = stage(texts.mapInArrow(fingerprints(words), "row_id bigint, doc_id bigint, first bigint, last bigint, h bigint, g bigint"))
-    firsts = stage(prints.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_id", "first")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-                   .select("h", "g", F.col("f.row_id").alias("other_id"), F.col("f.first").alias("other_first")))
-    spans = (prints.join(firsts, ["h", "g"]).filter((F.col("row_id") != F.col("other_id")) | (F.col("first") != F.col("other_first")))
+    prints = stage(texts.mapInArrow(fingerprints(words), "row_id bigint, place int, print bigint"))
+    twice = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    places = prints.join(twice, "print", "left_semi").groupBy("row_id").agg(F.collect_list("place").alias("places"))
+    whole = stage(texts.join(places, "row_id").mapInArrow(extended(words), "row_id bigint, doc_id bigint, first bigint, last bigint, h bigint, g bigint"))
+    firsts = (whole.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_id", "first")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+              .select("h", "g", F.col("f.row_id").alias("other_id"), F.col("f.first").alias("other_first")))
+    spans = (whole.join(firsts, ["h", "g"]).filter((F.col("row_id") != F.col("other_id")) | (F.col("first") != F.col("other_first")))
              .groupBy("row_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     return texts.join(spans, "row_id", "left").select("doc_id", "text", "spans").mapInArrow(
         delete_runs, "doc_id bigint, n_lines bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
