@@ -145,7 +145,8 @@ def remove_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lines; as windows overlap, the marks extend a match to both sides up to the first and last line of the longest repeated run. A run is whole
     even if its parts have their first places in several texts.
 
-    Each window is joined with its one first place, never all pairs. Null text is one
+    Each window is joined with its one first place, never all pairs; what both joins look up is written before, so that Spark can split the
+    places of a line that is in very many texts over tasks. Null text is one
     empty line. Of rows with the same doc_id, the order in which they are read decides; a null
     doc_id comes first. Further columns are ignored; an empty table gives no rows.
     """
@@ -154,11 +155,11 @@ def remove_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = bucketed(rows, "row_id", partitions(docs))
     prints = stage(texts.mapInArrow(fingerprints(words), "row_id bigint, place int, print bigint"))
-    twice = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    twice = stage(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"))
     places = prints.join(twice, "print", "left_semi").groupBy("row_id").agg(F.collect_list("place").alias("places"))
     whole = stage(texts.join(places, "row_id").mapInArrow(extended(words), "row_id bigint, doc_id bigint, first bigint, last bigint, h bigint, g bigint"))
-    firsts = (whole.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_id", "first")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("h", "g", F.col("f.row_id").alias("other_id"), F.col("f.first").alias("other_first")))
+    firsts = stage(whole.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_id", "first")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+                   .select("h", "g", F.col("f.row_id").alias("other_id"), F.col("f.first").alias("other_first")))
     spans = (whole.join(firsts, ["h", "g"]).filter((F.col("row_id") != F.col("other_id")) | (F.col("first") != F.col("other_first")))
              .groupBy("row_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     return texts.join(spans, "row_id", "left").select("doc_id", "text", "spans").mapInArrow(
