@@ -51,24 +51,33 @@ class Bars(Ordered):
         previous = np.maximum.accumulate(np.append(replaced, np.where(roll, before, LEAST)))[1:]
         late = ~roll & (win < before) & (win == previous) & (ts - before >= -self.late)
         kept = roll | (win == before) | late
-        bars = pd.DataFrame(by_window(win[kept], rows[kept], False))
-        bars["version"] = np.add.reduceat(late[kept][np.argsort(win[kept], kind="stable")].astype(np.int64), np.unique(np.sort(win[kept]), return_index=True)[1]) if len(bars) else np.zeros(0, np.int64)
-        bars = bars.set_index("bar_start")
-        for start in old:
-            was = self.own[start]
-            if start in bars.index:
-                now = bars.loc[start].to_dict()
-                closing = now if now["last"] >= was["last"] else was
-                now |= {"open": was["open"], "high": max(was["high"], now["high"]), "low": min(was["low"], now["low"]), "volume": was["volume"] + now["volume"],
-                        "close": closing["close"], "last": closing["last"], "version": was["version"] + now["version"]}
-                bars.loc[start, VALUES] = [now[c] for c in VALUES]
-        top, second = int(max(before[-1], win[-1])), int(previous[-1])
-        if current not in bars.index and old and top > current:
-            bars = pd.concat([pd.DataFrame([self.own[current]], index=[current]), bars])  # its last tick came in an earlier chunk
-        self.own = {s: {c: v for c, v in bars.loc[s].to_dict().items()} if s in bars.index else self.own[s] for s in (top, second) if s != LEAST}
+        bars = pd.DataFrame(by_window(win[kept], rows[kept], False)).assign(version=0).set_index("bar_start")
+        top, sent = int(max(before[-1], win[-1])), []
+        for start in set(old) | set(win[late].tolist()):  # bars from before, and those that late ticks correct, tick after tick
+            at = np.flatnonzero(kept & (win == start))
+            steps = self.steps(self.own.get(start), rows[at], late[at])
+            # closed in this chunk: as it was when the next one began; and again after each late tick
+            out = np.append(start < top and start >= current, late[at]) & np.append(len(at) == 0 or late[at][0], np.ones(len(at), bool))
+            if start < top and start >= current and len(at) and not late[at][0]:
+                out[np.flatnonzero(~late[at])[-1] + 1] = True
+            sent.append(steps[out].assign(bar_start=start))
+            bars.loc[start, VALUES] = steps.iloc[-1][VALUES].to_list()
+        done = bars[(bars.index < top) & ~bars.index.isin([*old, *win[late]])]
+        sent.append(done.reset_index())
+        self.own = {s: bars.loc[s].to_dict() for s in (top, int(previous[-1])) if s != LEAST}
         for bar in self.own.values():
             bar |= {"last": int(bar["last"]), "version": int(bar["version"])}
-        return self.rows(key, bars[bars.index < top])
+        return self.rows(key, pd.concat(sent).set_index("bar_start"))
+
+    @staticmethod
+    def steps(bar: dict | None, rows: np.ndarray, late: np.ndarray) -> pd.DataFrame:
+        """A bar as it was (nothing, if it begins here), and after each of its ticks in their order."""
+        was = bar or {"open": rows["price"][0], "high": -np.inf, "low": np.inf, "close": np.nan, "volume": 0.0, "last": LEAST, "version": 0}
+        price, ts = np.append(was["close"], rows["price"]), np.append(was["last"], rows["ts_ms"])
+        last = np.maximum.accumulate(ts)
+        closing = np.maximum.accumulate(np.where(ts >= last, np.arange(len(ts)), 0))
+        return pd.DataFrame({"open": was["open"], "high": np.maximum.accumulate(np.append(was["high"], rows["price"])), "low": np.minimum.accumulate(np.append(was["low"], rows["price"])),
+                             "close": price[closing], "volume": np.add.accumulate(np.append(was["volume"], rows["size"])), "last": last, "version": was["version"] + np.append(0, np.cumsum(late))})
 
     @staticmethod
     def rows(key, bars: pd.DataFrame) -> pd.DataFrame:
@@ -86,8 +95,8 @@ class Bars(Ordered):
 
 
 def stream_bars(ticks: DataFrame, window_ms: int = 60_000, late_ms: int = 100, closing: str | None = None) -> DataFrame:
-    """Each bar when a later one begins, and again with a higher version when late ticks have corrected it, version being the number of
-    late ticks so far (of several in a chunk the last one's goes out). The open bar is not sent, unless closing is given.
+    """Each bar when a later one begins, and again with a higher version for each late tick that corrects it, version being the number of
+    late ticks so far. The open bar is not sent, unless closing is given.
 
     closing is a delay of the watermark, such as "10 seconds": once it has passed the end of a symbol's open bar by late_ms, the bar goes out and the
     symbol's state is dropped; ticks behind the watermark are dropped before.
