@@ -66,12 +66,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     (from 0) and shuffle_key, an md5 that deals the rows to partitions and sorts each of them.
 
     A null source is a source of its own; with weights it has weight 0. Rows with the
-    same key draw alike; rows without a key draw by their place in the table, each for itself.
+    same key draw alike; rows without a key draw by what is in their columns, so equal ones alike, wherever they are read.
     Empty tables give no rows. Texts are not looked at. Columns of docs named n_copies, copy
     or shuffle_key, in any case, are replaced; other names may be any.
     """
     own = Carried(docs, ["n_copies", "copy", "shuffle_key"])
-    rows = own.rows.select("*", F.coalesce(own.col(key).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id())).alias("k"),
+    rows = own.rows.select("*", F.coalesce(own.col(key).cast("string"), F.concat(F.lit("row "), F.md5(F.to_json(F.struct(*own.rows.columns))))).alias("k"),
                            own.col(source).alias("source"))
     rates = source_rates(rows.select("source"), weights, total, "source")
     rated = rows.join(rates, F.col("source").eqNullSafe(F.col("s")))
