@@ -17,6 +17,8 @@ PERCENT = 80            # link from this Jaccard similarity
 ROWS, MISSED = 5, 1e-7  # slots of a band; chance of a pair at that similarity to share no band
 GROUP = 64              # members that one task compares with a leader
 BLOCK = 256             # members of a band that are compared with one another, or with as many others
+RARE = 64               # sets that a shingle may lead to one another; those of more frequent ones are compared in blocks
+COUNTERS = 20           # bits of the table of counters that orders shingles by how rare they are (8 MB, of any input)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -110,7 +112,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, group_size: int)
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
     wanted = dealt.select("a", "part", F.col("b").alias("row_id"), F.lit(1).alias("role")).union(
         dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("row_id"), F.lit(0).alias("role")))
-    met = (wanted.join(texts.select("row_id", "text"), "row_id").repartition("a", "part")
+    met = (wanted.join(texts.select("row_id", "text"), "row_id").repartition(partitions(texts), "a", "part")
            .sortWithinPartitions("a", "part", "role"))
 
     def compare(batches):
@@ -187,7 +189,7 @@ def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links_of_rest(members: DataFrame, texts: DataFrame, bands: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) among members of a band that differ in root, by comparing all such pairs.
+    """Links (a, b) among members of a band that differ in root, by comparing all such pairs (of those that only frequent shingles lead to others).
 
     A band's members are dealt into blocks of about ``block``, and each two blocks meet in one
     group. There all full sets are intersected at once; a pair counts in the first of the bands
@@ -199,7 +201,7 @@ def links_of_rest(members: DataFrame, texts: DataFrame, bands: DataFrame, percen
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("row_id", "key", "root", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")))
     met = (dealt.join(bands, "row_id").join(texts.select("row_id", "text"), "row_id")
-           .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id"))
+           .repartition(partitions(texts), "key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id"))
 
     def compare(batches):
         group, rows = None, []
@@ -266,13 +268,80 @@ def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
+def counters(batches):
+    """How often the sets of a task have a shingle of each counter."""
+    total = np.zeros(1 << COUNTERS, np.int64)
+    for batch in small_batches(batches, "text"):
+        every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column("text"))])
+        total += np.bincount((every >> U(64 - COUNTERS)).astype(np.int64), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+
+
+def prefixes(batches, often: np.ndarray, percent: int):
+    """The rarest shingles of each set, so many that two similar sets share one of theirs, with their places in that order."""
+    for batch in small_batches(batches, "text"):
+        row, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "root"))
+        sets = shingle_sets(batch.column("text"))
+        n = np.array([len(x) for x in sets], np.int64)
+        most = n - (n * percent + 99) // 100 + 1
+        most[n == 0] = 0
+        first = [x[np.lexsort((x, often[(x >> U(64 - COUNTERS)).astype(np.int64)]))[:k]] for x, k in zip(sets, most.tolist(), strict=True)]
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in most.tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)), pa.array(np.repeat(row, most)),
+             pa.array(np.repeat(root, most)), pa.array(np.repeat(n, most)), pa.array(place)], names=["shingle", "row_id", "root", "n", "place"])
+
+
+def met_by_rare(members: DataFrame, texts: DataFrame, percent: int, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, hot): pairs (a, ra, b, rb, most) of members of different roots whose sets can be similar, and the row_id
+    of members that a shingle of more than ``rare`` sets leads to others; two similar sets are a pair, or both hot.
+
+    Of two similar sets, the rarest n - ceil(n * percent / 100) + 1 shingles of each have one in common. At the first
+    such one, what is left behind it on either side bounds the intersection (most).
+    """
+    rows = members.select("row_id", "root").distinct().join(texts.select("row_id", "text"), "row_id")
+    counts = rows.select("text").mapInArrow(counters, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << COUNTERS, np.int64)
+    often[counts.column("counter").to_numpy()] = counts.column("n").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+    placed = stage(rows.select("row_id", "root", "text").mapInArrow(lambda b: prefixes(b, shared.value, percent),
+                                                                    "shingle bigint, row_id bigint, root bigint, n bigint, place bigint"))
+    meets = stage(placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+                  .filter("low != high").select("shingle", (F.col("c") > rare).alias("hot")))
+    hot = stage(placed.join(meets.filter("hot"), "shingle", "left_semi").select("row_id").distinct())
+    cold = stage(placed.join(meets.filter("NOT hot"), "shingle", "left_semi"))
+    one = cold.select("shingle", F.col("row_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("an"), F.col("place").alias("ap"))
+    two = cold.select("shingle", F.col("row_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("bn"), F.col("place").alias("bp"))
+    most = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
+    pairs = (one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("an", "bn", percent))
+             .filter(most * (100 + percent) >= (F.col("an") + F.col("bn")) * percent)
+             .groupBy("a", "ra", "b", "rb").agg(F.max(most / (F.col("an") + F.col("bn"))).alias("most")))
+    return stage(pairs), hot
+
+
+def links_by_rare(pairs: DataFrame, links: DataFrame, texts: DataFrame, percent: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """links with those of pairs, and their components: the likeliest pair of each two roots first, then all pairs that are still apart."""
+    ends = (F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
+    best = stage(pairs.groupBy(*ends).agg(F.max(F.struct("most", "a", "b")).alias("best")).select("best.a", "best.b"))
+    links = stage(links.union(verified(best, texts, percent, group)))
+    roots = stage(components(links))
+    top = lambda own, to: roots.select(F.col("node").alias(own), F.col("root").alias(to))
+    rest = stage(pairs.join(best, ["a", "b"], "left_anti").join(top("a", "ta"), "a", "left").join(top("b", "tb"), "b", "left")
+                 .filter(F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b"))
+    if rest.head(1):
+        links = stage(links.union(verified(rest, texts, percent, group)))
+        roots = stage(components(links))
+    return links, roots
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, stored so that later joins on it leave the texts in place."""
     rows = docs.withColumn("row_id", F.monotonically_increasing_id())
     return bucketed(rows, "row_id", partitions(docs))
 
 
-def rooted(texts: DataFrame, percent: int, group: int, block: int) -> DataFrame:
+def rooted(texts: DataFrame, percent: int, group: int, block: int, rare: int) -> DataFrame:
     """row_id, doc_id, n_shingles and root of each row."""
     bands = bands_for(percent)
     sigs = stage(texts.mapInArrow(lambda batches: signatures(batches, bands), "row_id bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
@@ -301,9 +370,16 @@ def rooted(texts: DataFrame, percent: int, group: int, block: int) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         roots = stage(components(links))
         members = stage(members.join(led, "key").filter("row_id != a").select("key", "row_id", "n", "weight"))
-    extra = stage(links_of_rest(still_apart(members, roots), texts, sigs.select("row_id", "bands"), percent, block))
-    if extra.head(1):
-        roots = stage(components(links.union(extra)))
+    apart = still_apart(members, roots)
+    if apart.head(1):
+        pairs, hot = met_by_rare(apart, texts, percent, rare)
+        if pairs.head(1):
+            links, roots = links_by_rare(pairs, links, texts, percent, group)
+        if hot.head(1):
+            apart = still_apart(members.join(hot, "row_id", "left_semi"), roots)
+            extra = stage(links_of_rest(apart, texts, sigs.select("row_id", "bands"), percent, block))
+            if extra.head(1):
+                roots = stage(components(links.union(extra)))
 
     rows = (sigs.select("row_id", "doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
             .withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("row_id")))
@@ -311,7 +387,7 @@ def rooted(texts: DataFrame, percent: int, group: int, block: int) -> DataFrame:
     return stage(rows.join(roots, F.col("rep") == F.col("node"), "left").select("row_id", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK, rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
     Sets are the distinct runs of five words, A-Z lower-cased; documents with fewer words
@@ -320,24 +396,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP,
     a row reaches, and kept are the rows that bear it.
 
     Rows with equal sets (by a 128-bit digest of all of it) are one class from the start. Classes that share a band are compared
-    with the band's leader, its most connected member; after ROUNDS such leaders, all members
-    of a band that are still not connected are compared with one another, so that no link of
+    with the band's leader, its most connected member; after ROUNDS such leaders, members that are
+    still not connected with all of their band meet where they share one of their rarest shingles. Where
+    more than rare sets do, they are compared with all such ones of their band, in blocks, so that no link of
     a shared band is lost; group and block bound what one task compares. A row is a node of its own,
     so a repeated doc_id does not link rows; a null doc_id is passed over in the minimum,
     and where a component has no other, component_id is null and kept true. Further columns
     are ignored; an empty table gives no rows.
     """
     texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = rooted(texts, percent, group, block)
+    rows = rooted(texts, percent, group, block, rare)
     least = stage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, block: int = BLOCK, rare: int = RARE) -> DataFrame:
     """The rows of docs without those that near_duplicates links with a kept one: of each component
     the row with the smallest doc_id stays (a null one last), of equal ones one row."""
     given = Carried(docs, [])
     texts = numbered(given.rows.select("*", given.col("doc_id").cast("long").alias("doc_id")))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
-    kept = stage(rooted(texts.select("row_id", "doc_id", "text"), percent, group, block).groupBy("root").agg(first).select("first.row_id"))
+    kept = stage(rooted(texts.select("row_id", "doc_id", "text"), percent, group, block, rare).groupBy("root").agg(first).select("first.row_id"))
     return given.restored(texts.join(kept, "row_id", "left_semi"))
