@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, stage
+from .common import Carried, partitions, stage
 
 #: exp(-rate) must stay a normal number: larger rates are sums of draws of at most this mean.
 LARGEST_RATE = 64.0
@@ -85,4 +85,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
                           F.least(F.col("block") * BLOCK + BLOCK, F.col("n_copies")) - 1)))
               .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "k", F.col("copy").cast("string")))))
     out = own.restored(copies)
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
+    return out.repartition(partitions(docs), "shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
