@@ -89,6 +89,18 @@ def test_templates(spark, seed):
     assert got == plain_template(paths, labels) and any("*" in t for t in got.values())
 
 
+def test_templates_of_long_equal_paths(spark, monkeypatch):
+    """Hundreds of equal segments are passed at once; stars of the urls themselves and empty segments fare as in the plain walk."""
+    rounds, kept = [], urls.stage
+    monkeypatch.setattr(urls, "stage", lambda df: rounds.append(1) or kept(df))
+    trap = ("loop",) * 800  # the plain walk calls itself once a segment
+    paths = sorted({(*trap, x, *y) for x in "ab" for y in ((), ("",), ("", "c"), ("*",), ("*", "d"), ("p", "q"), ("p", "q", "r"))} | {("*", "u", str(i)) for i in range(3)} | {("",), ("", "")})
+    labels = {p: (2 * (i % 3), 2 * (i % 3) if "a" in p else 0) for i, p in enumerate(paths)}
+    shapes = spark.createDataFrame([("h", list(p), float(labels[p][0]), float(labels[p][1])) for p in paths], "host string, shape array<string>, lab double, bad double")
+    got = {tuple(x.shape): x.template for x in urls.template_tree(shapes).collect()}
+    assert got == plain_template(paths, labels) and len(rounds) < 10
+
+
 def test_templates_are_rejected_by_their_labels(spark):
     """Pages of a bad place go, labelled or not; those of a good place stay; deep paths are generalised too."""
     names = [x + y for x in "abcdef" for y in "abcdefg"]

@@ -55,32 +55,45 @@ def similar(bad: Column, lab: Column, node_bad: Column, node_lab: Column) -> Col
     return (lab == 0) | (gap * gap * lab <= F.lit(SIMILAR_Z * SIMILAR_Z) * p * (1.0 - p))
 
 
+def common_start(a: str, b: str) -> Column:
+    """Leading segments that two arrays share, and so all that are sorted between them."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(a))
+
+
 def template_tree(shapes: DataFrame) -> DataFrame:
     """host, shape, template from host, shape, lab, bad (one row for each shape of a host).
 
     Level by level, a node with over MAX_CHILDREN children becomes a variable for those
     that do not differ from it in their share of bad pages; so do siblings that are alike
     in it, if there are at least two. Each level is a grouping and a join of the shapes,
-    not of the pages. A shape that is alone below its node cannot be merged any more and
-    ends there with all its segments, so there are as many levels as different shapes share.
+    not of the pages. A shape that is alone at its node or child cannot be merged any more and
+    ends there with all its segments; segments that all shapes below a child share are passed
+    at once. So there are as many rounds as nodes with several children on one way, and one for
+    what follows a variable, however long the paths are.
     """
-    at, ended, level = shapes.withColumn("prefix", F.lit("")), None, 0
+    at, ended = shapes.withColumn("prefix", F.lit("")).withColumn("level", F.lit(0)), None
+    path = lambda first, count: F.concat(F.lit("/"), F.array_join(F.slice("shape", first, count), "/"))
     while True:
-        level += 1
-        at = at.withColumn("seg", F.coalesce(F.get("shape", F.lit(level - 1)), F.lit("")))
-        child = at.groupBy("host", "prefix", "seg").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
+        at = at.withColumn("seg", F.coalesce(F.get("shape", F.col("level")), F.lit("")))
+        child = at.groupBy("host", "prefix", "seg").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"),
+                                                        F.min("shape").alias("least"), F.max("shape").alias("most"), F.min("level").alias("level"))
         node = child.groupBy("host", "prefix").agg(F.sum("lab").alias("nlab"), F.sum("bad").alias("nbad"),
                                                    F.count(F.lit(1)).alias("children"), F.sum("n").alias("shapes"))
         alike = similar(F.col("bad"), F.col("lab"), F.col("nbad"), F.col("nlab"))
         enough = (F.col("children") > MAX_CHILDREN) | ((F.col("children") > 1) & (F.col("lab") > 0))
+        variable = alike & enough & (F.col("seg") != "")
+        own = ~variable & (F.col("seg") != "*")  # a segment that is a star meets the variables
         merged = (child.join(node, ["host", "prefix"])
-                  .select("host", "prefix", "seg", F.when(alike & enough & (F.col("seg") != ""), F.lit("*"))
-                          .otherwise(F.col("seg")).alias("to"), (F.col("shapes") == 1).alias("alone")))
-        rest = F.array_join(F.slice("shape", F.lit(level), F.greatest(F.size("shape") - (level - 1), F.lit(0))), "/")
-        rest = F.when(F.size("shape") >= level, F.concat(F.lit("/"), rest, F.lit("/"))).otherwise(F.lit("/"))
-        moved = stage(at.join(stage(merged), ["host", "prefix", "seg"]).select(
-            "host", "shape", "lab", "bad", (F.col("alone") | (F.size("shape") < level)).alias("ends"),
-            F.concat("prefix", F.when(F.col("alone"), rest).otherwise(F.concat(F.lit("/"), F.col("to")))).alias("prefix")))
+                  .select("host", "prefix", "seg", F.when(variable, F.lit("*")).otherwise(F.col("seg")).alias("to"),
+                          ((F.col("shapes") == 1) | (own & (F.col("n") == 1))).alias("alone"),
+                          F.when(own, F.greatest(common_start("least", "most") - F.col("level") - 1, F.lit(0))).otherwise(0).alias("more")))
+        level, size = F.col("level"), F.size("shape")
+        rest = F.when(size > level, F.concat(path(level + 1, size), F.lit("/"))).otherwise(F.lit("/"))
+        passed = F.when(F.col("more") > 0, path(level + 2, F.col("more"))).otherwise(F.lit(""))
+        moved = stage(at.join(merged, ["host", "prefix", "seg"]).select(
+            "host", "shape", "lab", "bad", (level + 1 + F.col("more")).alias("level"), (F.col("alone") | (size <= level)).alias("ends"),
+            F.concat("prefix", F.when(F.col("alone"), rest).otherwise(F.concat(F.lit("/"), F.col("to"), passed))).alias("prefix")))
         done = moved.filter("ends").select("host", "shape", "lab", "bad", F.col("prefix").alias("template"))
         ended = done if ended is None else ended.unionByName(done)
         at = moved.filter("NOT ends").drop("ends")
