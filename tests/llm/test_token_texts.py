@@ -94,3 +94,16 @@ def test_many_rows_of_one_key(spark, tmp_path):
     shards = spark.read.parquet(f"{tmp_path}/t/blocks").select("shard").distinct().count()
     assert shards > 1 and len(rows) == 401 and rows[-1].doc_id == 1
     assert sorted(r.ids for r in rows) == sorted([*ids, tf.END_ID] for ids in plain([*(f"text {i}" for i in range(400)), "last"]))
+
+
+def test_several_blocks_a_shard(spark, tmp_path):
+    """Starts go on over blocks of one shard and over shards; each block says how many ids are before it."""
+    docs = spark.range(0, 10_000, numPartitions=2).selectExpr("id AS doc_id", "repeat('a b ', CAST(id % 3 AS INT)) AS text")
+    got = tf.token_files(docs, PATH, path=f"file://{tmp_path}/t", digest=False, as_read=True).orderBy("doc_id").collect()
+    blocks = spark.read.parquet(f"{tmp_path}/t/blocks").orderBy("shard", "block").collect()
+    assert [(b.shard, b.block) for b in blocks] == [(0, 0), (0, 1), (1, 0), (1, 1)] and [b.before for b in blocks[::2]] == [0, 0]
+    assert [b.before for b in blocks[1::2]] == [sum(b.n_tokens) for b in blocks[::2]]
+    at = 0
+    for i, row in enumerate(got):
+        assert (row.doc_id, row.start, row.n_tokens, len(row.ids)) == (i, at, 2 * (i % 3) + 1, row.n_tokens)
+        at += row.n_tokens

@@ -25,7 +25,7 @@ CACHE_WORDS, CACHE_BYTES = 1_000_000, 32 << 20  # words that a process remembers
 PIECE = 1 << 20
 
 BLOCKS = T.StructType([
-    T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()),
+    T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()),
     T.StructField("dictionary", T.StringType()), T.StructField("width", T.IntegerType()),
     T.StructField("doc_id", T.ArrayType(T.LongType())), T.StructField("offset", T.ArrayType(T.LongType())),
     T.StructField("n_tokens", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     they come, without a shuffle.
 
     path/dictionary has one row: the dictionary and its sha256. path/blocks has rows of at
-    most BLOCK_DOCS documents or about BLOCK_BYTES: dictionary hash, bytes per id, ids of the
+    most BLOCK_DOCS documents or about BLOCK_BYTES: how many ids of its shard are before it, dictionary hash, bytes per id, ids of the
     documents, offset and number of tokens of each, and the frames one after another. So a
     reader finds a document from the small columns and decompresses nothing else. Shards are
     Spark partitions by range of the order, or those of docs as_read; a lost task writes the same again.
@@ -244,10 +244,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         press = zstandard.ZstdCompressor(level=3, dict_data=common)
         end = np.array([end_id], coder.dtype).tobytes()
         shard, block = TaskContext.get().partitionId(), 0
-        ids, offsets, sizes, frames, size = [], [], [], [], 0
+        ids, offsets, sizes, frames, size, before = [], [], [], [], 0, 0
 
         def flush():
-            row = {"shard": [shard], "block": [block], "dictionary": [name], "width": [coder.width], "doc_id": [ids],
+            row = {"shard": [shard], "block": [block], "before": [before], "dictionary": [name], "width": [coder.width], "doc_id": [ids],
                    "offset": [offsets], "n_tokens": [sizes], "data": [b"".join(frames)]}
             return pa.RecordBatch.from_pydict(row, schema=ARROW)
 
@@ -261,7 +261,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 size += len(frame)
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
                     yield flush()
-                    block += 1
+                    block, before = block + 1, before + sum(sizes)
                     ids, offsets, sizes, frames, size = [], [], [], [], 0
         if ids:
             yield flush()
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     (rows.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
-ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dictionary", pa.string()), ("width", pa.int32()),
+ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("dictionary", pa.string()), ("width", pa.int32()),
                    ("doc_id", pa.list_(pa.int64())), ("offset", pa.list_(pa.int64())),
                    ("n_tokens", pa.list_(pa.int64())), ("data", pa.binary())])
 
@@ -283,20 +283,16 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     """doc_id, start, n_tokens and ids (array<int>; with digest ids_crc32 instead) from files.
 
     start counts the ids of all documents before it. Blocks are decompressed where they are
-    read; only the number of ids of each shard, one row a shard, is put in order at once.
+    read; only the number of ids of each shard, one row for each task that wrote, is put in order and broadcast.
     """
     stored = spark.read.parquet(f"{path}/dictionary").first()
     if hashlib.sha256(bytes(stored["data"])).hexdigest() != stored["dictionary"]:
         raise ValueError("the dictionary does not have the hash that it is stored under")
     shared = spark.sparkContext.broadcast((stored["dictionary"], bytes(stored["data"])))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    sums = (blocks.select("shard", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-            .groupBy("shard").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("block", "n"))).alias("b")))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
-              .select("shard", "base", F.posexplode("b").alias("i", "x"), "b")
-              .select("shard", "x.block", (F.col("base") + F.aggregate(F.slice("b", F.lit(1), F.col("i")),
-                      F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("start")))
+    counts = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("base"))
 
     def decode(batches):
         name, trained = shared.value
@@ -320,7 +316,8 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
     last = "ids_crc32" if digest else "ids"
     kind = "bigint" if digest else "array<int>"
-    out = blocks.join(starts, ["shard", "block"]).mapInArrow(decode, f"doc_id bigint, start bigint, n_tokens bigint, last {kind}")
+    placed = blocks.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("before"))
+    out = placed.mapInArrow(decode, f"doc_id bigint, start bigint, n_tokens bigint, last {kind}")
     return out.withColumnRenamed("last", last)
 
 
