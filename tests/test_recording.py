@@ -162,3 +162,32 @@ def test_ended_orders_are_forgotten(spark, tmp_path):
     got = {(r.order_id, r.event_seq): (r.result, r.state, r.total_qty) for r in sent.collect()}
     assert got[1, 3] == ("ILLEGAL", "REJECTED", 5)  # not forgotten yet
     assert got[1, 4] == ("ACCEPTED", "SUBMITTED", 8) and got[2, 2] == ("ACCEPTED", "SUBMITTED", 5) and got[3, 3] == ("ACCEPTED", "FILLED", 1)
+
+
+def test_orders_of_a_bucket_are_decided_as_one_by_one(spark, tmp_path):
+    """Orders that share a bucket, over batches of several files: the same as a plain loop, with few keys of state."""
+    rng, schema = random.Random(3), "order_id long, event_seq long, state string, delta_qty int, total_qty long"
+    some = [(k, n, rng.choice([*("PENDING SUBMITTED PARTIALLY_FILLED PARTIALLY_FILLED FILLED PENDING_CANCEL CANCELED".split()), None, "else"]), rng.choice([None, 1, 2, 5]), rng.choice([None, 4, 6]))
+            for k in [*range(60), None, (1 << 60) + 1] for n in range(1, 9)]
+    first = [(k, "SUBMITTED", 0, 4) for k in range(0, 60, 2)]
+    for part in (range(1, 4), range(4, 9)):
+        add_file(spark, f"{tmp_path}/in", [r for r in some if r[1] in part], schema)
+    known = spark.createDataFrame(first, "order_id long, state string, cum_qty long, total_qty long")
+    sent = sinks.drain(st.stream_orders(source(spark, f"{tmp_path}/in", schema), known, buckets=3), f"{tmp_path}/out", f"{tmp_path}/c", "update", 2)
+    want, state = [], {k: (s, c, t) for k, s, c, t in first}
+    for k, n, asked, delta, total in some:
+        if k not in state:
+            state[k], result = (asked, 0, total), "ACCEPTED"
+        else:
+            was, cum, most = state[k]
+            result = "ACCEPTED" if (was, asked) in st.LEGAL else "ILLEGAL"
+            if result == "ACCEPTED" and asked in ("PARTIALLY_FILLED", "FILLED") and most is not None:
+                new = cum + (delta or 0)
+                result = "OVERFILL" if new > most else "UNDERFILLED" if asked == "FILLED" and new < most else "ACCEPTED"
+                asked, cum = ("FILLED" if new == most else asked), (cum if new > most else new)
+            if result in ("ACCEPTED", "UNDERFILLED"):
+                state[k] = asked, cum, most
+        want.append((k, n, result, *state[k]))
+    got = [(r.order_id, r.event_seq, r.result, r.state, r.cum_qty, r.total_qty) for r in sent.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(x for x in os.listdir(f"{tmp_path}/c/state/0") if x.isdigit()) == ["0", "1"]  # not the session's partitions

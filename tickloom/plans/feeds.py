@@ -401,11 +401,17 @@ def microbatch_sink(spark, sf):
     return back("ticks", one.schema).unionByName(back("bars", two.schema), allowMissingColumns=True)
 
 
-def cut(rows: DataFrame, path: str, condition: list[str]) -> DataFrame:
-    """Rows as a stream of one file a batch, a file for each condition."""
+def cut(rows: DataFrame, path: str, condition: list[str], files: int = 1, key: str | None = None) -> DataFrame:
+    """Rows as a stream of a batch for each condition; in so many files a batch, dealt by key: should one be empty and so not be there,
+    the next condition's first file joins the batch, and each key's rows still come in the order of the conditions."""
     for c in condition:
-        rows.filter(c).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some = rows.filter(c)
+        (some.coalesce(1) if files == 1 else some.repartition(files, key)).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+#: Bytes of the log for each file of a batch.
+FILE_BYTES = 8 << 20
 
 
 LEGAL_SQL = " OR ".join(f"(f.state = '{p}' AND e.state = '{n}')" for p, n in o.LEGAL)
@@ -425,8 +431,10 @@ def order_state_stream(spark, sf):
     events, path = v.order_events(spark, sf).select("order_id", "event_seq", "state", "delta_qty", "total_qty", "symbol", "price"), v.scratch(spark)
     events.write.parquet(f"{path}/log")
     events = spark.read.schema(events.schema).parquet(f"{path}/log")
-    later = cut(events, f"{path}/in", ["event_seq BETWEEN 3 AND 4", "event_seq BETWEEN 5 AND 6", "event_seq > 6"])
-    return sinks.drain(st.stream_orders(later, o.replay(events.filter("event_seq <= 2"))), f"{path}/out", f"{path}/checkpoint", "update").drop("batch_id")
+    files = v.pieces(events, FILE_BYTES)
+    later = cut(events, f"{path}/in", ["event_seq BETWEEN 3 AND 4", "event_seq BETWEEN 5 AND 6", "event_seq > 6"], files, "order_id")
+    parts = max(spark.sparkContext.defaultParallelism, files)  # a partition of state costs a second a batch, so there are no more than the log asks for
+    return sinks.drain(st.stream_orders(later, o.replay(events.filter("event_seq <= 2")), buckets=4 * parts), f"{path}/out", f"{path}/checkpoint", "update", parts).drop("batch_id")
 
 
 @query(f"""WITH {BARS}, r AS (SELECT symbol, bar_start, close, ln(close) - ln(lag(close) OVER w) AS ret, row_number() OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_start))

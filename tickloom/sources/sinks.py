@@ -157,16 +157,20 @@ def start_listed(ticks: DataFrame, lists: str, path: str, checkpoint: str, once:
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream sends until its source is drained, from Parquet, with batch_id."""
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """All that a stream sends until its source is drained, from Parquet, with batch_id. A new checkpoint's state has so many partitions, or the session's."""
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
-    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark, own = stream.sparkSession, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions:
+        own["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in own}
     try:
+        for k, value in own.items():
+            spark.conf.set(k, value)
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for k, value in before.items():
+            spark.conf.set(k, value) if value else spark.conf.unset(k)
     return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(path)

@@ -26,13 +26,18 @@ def scratch(spark: SparkSession) -> str:
 PART_BYTES, MOST_PARTS = 128 << 20, 20_000
 
 
-def partitions(df: DataFrame) -> int:
-    """The session's shuffle partitions, or one for each PART_BYTES of the files that df reads, if that is more."""
+def pieces(df: DataFrame, each: int) -> int:
+    """One for each so many bytes of the files that df reads."""
     leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
     for i in range(leaves.size()):
         size = int(leaves.apply(i).stats().sizeInBytes())
         total += size if size < 1 << 60 else 0  # rows that are in no file have no known size
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-total // PART_BYTES)))
+    return max(1, min(MOST_PARTS, -(-total // each)))
+
+
+def partitions(df: DataFrame, each: int = PART_BYTES) -> int:
+    """The session's shuffle partitions, or one for each so many bytes of the files that df reads, if that is more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces(df, each))
 
 
 def millis(c):

@@ -8,6 +8,7 @@ from statistics import fmean, pstdev
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -16,10 +17,13 @@ from pyspark.sql.types import Row
 from ..operators import chains
 from ..operators.features import EPS
 from ..operators.folds import fits_one
-from ..operators.orders import LEGAL, TERMINAL
+from ..operators.orders import LEGAL, STATUS, TERMINAL
 from .ordered import LEAST, Ordered, by_window, fold_ordered
 
 PRICES = ["open", "high", "low", "close", "volume"]
+RESULTS = ["ACCEPTED", "UNDERFILLED", "OVERFILL", "ILLEGAL"]
+PARTIAL, FULL = STATUS.index("PARTIALLY_FILLED"), STATUS.index("FILLED")
+MAY = np.array([[(was, now) in LEGAL for now in STATUS] for was in STATUS])
 
 
 class Fold(StatefulProcessor):
@@ -133,65 +137,118 @@ class Features(Fold):
         return [(c,) for c in closes]
 
 
-class OrderStates(Fold):
-    """Orders that have ended are kept apart, and forgotten when a timer says so."""
+def packed(rows: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    state = "state string, cum_qty long, total_qty long"
-    order = ("event_seq",)
+
+class OrderStates(StatefulProcessor):
+    """The key is a bucket of orders: their states are kept as one Arrow table, and a batch's events are decided as arrays, the first ones
+    of all orders, then the second ones, and so on. A bucket has one timer, at which the first of its ended orders is forgotten."""
+
+    never = np.iinfo(np.int64).max
+    kinds = {"order_id": "int64", "state": object, "cum_qty": "int64", "total_qty": "int64", "no_total": bool, "until": "int64"}
 
     def __init__(self, forget_ms: int | None):
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open, self.ended = handle.getValueState("open", self.state), handle.getValueState("ended", self.state)
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.keep((initialState.state, initialState.cum_qty, initialState.total_qty))
-
-    def keep(self, now: tuple) -> None:
-        if now[0] in TERMINAL:
-            self.ended.update(now)
-            self.open.clear()
+        self.handle, self.kept = handle, handle.getValueState("kept", "orders binary, timer long")
+
+    def load(self) -> tuple[pd.DataFrame, int]:
+        if not self.kept.exists():
+            return pd.DataFrame({c: np.empty(0, kind) for c, kind in self.kinds.items()}), self.never
+        orders, timer = self.kept.get()
+        return pa.ipc.open_stream(bytes(orders)).read_pandas(), timer
+
+    def keep(self, known: pd.DataFrame, timer: int, gone: bool = False) -> None:
+        """Orders of a bucket by their ids, and its timer; one that is gone needs no deletion."""
+        soonest = int(known["until"].min()) if len(known) else self.never
+        if soonest != timer:
+            if timer != self.never and not gone:
+                self.handle.deleteTimer(timer)
+            if soonest != self.never:
+                self.handle.registerTimer(soonest)
+        if len(known):
+            self.kept.update((packed(known), soonest))
         else:
-            self.open.update(now)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = next((tuple(s.get()) for s in (self.open, self.ended) if s.exists()), None)
-        state, out, latest = [now] if now else [], {}, 0
-        for r in sorted(rows, key=lambda r: r.event_seq):
-            state = self.step(key, state, r, out)
-            latest = max(latest, r.at_ms or 0)
-        if state and state[0] != now:
-            self.keep(state[0])
-        if state and state[0][0] in TERMINAL and self.forget_ms is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(latest + self.forget_ms)
-        yield from out.values()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.ended.clear()
+            self.kept.clear()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.kept.update((bytes(initialState["orders"].iloc[0]), self.never))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, timer = self.load()
+        new = pd.concat(rows, ignore_index=True)
+        new = new.iloc[np.lexsort((new["event_seq"], new["order_id"]))]
+        ids, first, count = np.unique(new["order_id"].to_numpy(), return_index=True, return_counts=True)
+        touched = known["order_id"].isin(ids).to_numpy()
+        at, begin = np.searchsorted(ids, known["order_id"].to_numpy()[touched]), {c: np.zeros(len(ids), kind) for c, kind in self.kinds.items()}
+        for c in self.kinds:
+            begin[c][at] = known[c].to_numpy()[touched]
+        codes, names = pd.factorize(np.concatenate([np.array(STATUS, object), np.where(begin["state"] == 0, None, begin["state"]), new["state"].to_numpy(object)]))  # null is -1
+        now = {"state": codes[len(STATUS):len(STATUS) + len(ids)], "opened": np.isin(ids, known["order_id"]), **{c: begin[c] for c in ("cum_qty", "total_qty", "no_total")}}
+        own = {c: new[c].to_numpy() for c in ("delta_qty", "total_qty", "no_total")} | {"state": codes[len(STATUS) + len(ids):]}
+        sent = self.decide(now, own, first, count)
+        until = np.full(len(ids), self.never)
+        if self.forget_ms is not None:
+            ended = np.isin(now["state"], [STATUS.index(s) for s in TERMINAL])
+            until = np.where(ended, np.maximum(np.maximum.reduceat(new["at_ms"].to_numpy(), first), 0) + self.forget_ms, until)
+        text = np.append(np.asarray(names, object), None)
+        changed = pd.DataFrame({"order_id": ids, "state": text[now["state"]], "cum_qty": now["cum_qty"], "total_qty": now["total_qty"], "no_total": now["no_total"], "until": until})
+        self.keep(pd.concat([known[~touched], changed]).sort_values("order_id", ignore_index=True) if len(known) else changed, timer)
+        seq, gone = new["event_seq"].to_numpy(), new["no_seq"].to_numpy()
+        last = np.append((np.diff(new["order_id"]) != 0) | (np.diff(seq) != 0), True)  # of a number that comes twice in a batch the last one
+        out = pd.DataFrame({"order_id": pd.array(new["order_id"].to_numpy(), "Int64"), "event_seq": pd.array(np.where(gone, 0, seq), "Int64"), "result": np.array(RESULTS, object)[sent["result"]],
+                            "state": text[sent["state"]], "cum_qty": sent["cum_qty"], "total_qty": pd.array(sent["total_qty"], "Int64")})
+        out.loc[gone, "event_seq"] = pd.NA
+        out.loc[sent["no_total"], "total_qty"] = pd.NA
+        if key[0] < 0:
+            out["order_id"] = pd.array([pd.NA] * len(out), "Int64")
+        yield out[last]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known, timer = self.load()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.keep(known[known["until"] > now].reset_index(drop=True), timer, gone=True)
         yield from ()
 
-    def step(self, key, state, r, out):
-        if not state:
-            now, result = (r.state, 0, r.total_qty), "ACCEPTED"
-        else:
-            was, cum, total = now = state[0]
-            if (was, r.state) not in LEGAL:
-                result = "ILLEGAL"
-            elif r.state in ("PARTIALLY_FILLED", "FILLED"):
-                cum += r.delta_qty or 0
-                if cum > total:
-                    result = "OVERFILL"
-                else:
-                    now = "FILLED" if cum == total else r.state, cum, total
-                    result = "UNDERFILLED" if r.state == "FILLED" and cum < total else "ACCEPTED"
-            else:
-                now, result = (r.state, cum, total), "ACCEPTED"
-        out[r.event_seq] = Row(order_id=key[0], event_seq=r.event_seq, result=result, state=now[0], cum_qty=now[1], total_qty=now[2])
-        return [now]
+    @staticmethod
+    def decide(now: dict, rows: dict, first: np.ndarray, count: np.ndarray) -> dict:
+        """Changes now, the states of orders; gives what goes out for each row. Of order i, count[i] rows begin at first[i]."""
+        sent = {"result": np.zeros(len(rows["state"]), np.int8), **{c: np.empty(len(rows["state"]), now[c].dtype) for c in ("state", "cum_qty", "total_qty", "no_total")}}
+        some, step = np.arange(len(first)), 0
+        while len(some):
+            at = first[some] + step
+            was, asked, opened, no_total = now["state"][some], rows["state"][at], now["opened"][some], now["no_total"][some]
+            named = (np.minimum(was, asked) >= 0) & (np.maximum(was, asked) < len(STATUS))
+            legal = opened & named & MAY[np.where(named, was, 0), np.where(named, asked, 0)]
+            fill = legal & ((asked == PARTIAL) | (asked == FULL))
+            cum, total = now["cum_qty"][some] + np.where(fill, rows["delta_qty"][at], 0), now["total_qty"][some]
+            counts = fill & ~no_total  # without a total nothing is counted, as in SQL
+            over = counts & (cum > total)
+            moves = ~opened | (legal & ~over)
+            now["state"][some] = np.where(moves, np.where(counts & (cum == total), FULL, asked), was)
+            now["cum_qty"][some] = np.where(opened, np.where(counts & ~over, cum, now["cum_qty"][some]), 0)
+            now["total_qty"][some] = np.where(opened, total, rows["total_qty"][at])
+            now["no_total"][some] = np.where(opened, no_total, rows["no_total"][at])
+            now["opened"][some] = True
+            sent["result"][at] = np.select([moves & ~(counts & (asked == FULL) & (cum < total)), moves, over], [0, 1, 2], 3)
+            for c in ("state", "cum_qty", "total_qty", "no_total"):
+                sent[c][at] = now[c][some]
+            step += 1
+            some = some[count[some] > step]
+        return sent
+
+
+def begin_orders(bucket: tuple, known: pd.DataFrame) -> pd.DataFrame:
+    """The orders of a bucket that a stream begins with, as its state has them."""
+    own = known[[c for c in OrderStates.kinds if c != "until"]].assign(until=OrderStates.never).sort_values("order_id", ignore_index=True)
+    if not own["order_id"].is_unique:
+        raise ValueError("an order that the stream begins with is there twice")
+    return pd.DataFrame({"bucket": [bucket[0]], "orders": [packed(own)]})
 
 
 class Barrier(Fold):
@@ -278,18 +335,28 @@ def stream_features(bars: DataFrame, window: int, eps: float = EPS) -> DataFrame
     return fold(bars, "symbol", Features(window, eps), "symbol string, bar_start long, close double, log_return double, ret_mean double, ret_std double, zscore double")
 
 
-def stream_orders(events: DataFrame, known: DataFrame | None = None, forget_ms: int | None = None, time: str = "ts", delay: str = "1 hour") -> DataFrame:
+def stream_orders(events: DataFrame, known: DataFrame | None = None, forget_ms: int | None = None, time: str = "ts", delay: str = "1 hour", buckets: int = 256) -> DataFrame:
     """What each requested change (order_id, event_seq, state, delta_qty, total_qty) leads to. The first one of an order
     opens it and adds no quantity; ILLEGAL and OVERFILL change nothing; a fill up to the total makes FILLED.
 
     known (order_id, state, cum_qty, total_qty) are orders that a stream begins with, as ``orders.replay`` gives them from a log. With forget_ms, an order
     that has ended is forgotten once the watermark (of the column time, by delay) is so far behind its last change; so the state is that of the open orders
     and of those that ended not long ago, and a change that comes later opens a new order. Changes behind the watermark are then dropped.
+
+    Orders are dealt to buckets by their ids; a batch reads and writes the states of the buckets that it touches, each
+    whole and at a fixed cost of some 0.1 s. A checkpoint keeps its number of buckets.
     """
-    begin = None if known is None else known.select("order_id", "state", F.col("cum_qty").cast("long").alias("cum_qty"), F.col("total_qty").cast("long").alias("total_qty")).groupBy("order_id")
-    timed = events.withColumn("at_ms", F.lit(None).cast("long")) if forget_ms is None else events.withColumn("at_ms", F.unix_millis(time)).withWatermark(time, delay)
-    return timed.groupBy("order_id").transformWithState(OrderStates(forget_ms), "order_id long, event_seq long, result string, state string, cum_qty long, total_qty long", "Update",
-                                                        "None" if forget_ms is None else "EventTime", begin)
+    bucket = F.when(F.col("order_id").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col("order_id").cast("long")), F.lit(buckets))).cast("int").alias("bucket")
+    number = lambda c, kind="long": F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c)
+    own = [bucket, number("order_id"), F.coalesce(F.col("event_seq").cast("long"), F.lit(LEAST)).alias("event_seq"), F.col("event_seq").isNull().alias("no_seq"), "state", number("delta_qty"),
+           number("total_qty"), F.col("total_qty").isNull().alias("no_total")]
+    rows = events.select(*own) if forget_ms is None else events.withWatermark(time, delay).select(*own, F.coalesce(F.unix_millis(time), F.lit(0).cast("long")).alias("at_ms"), time)
+    begin = None
+    if known is not None:
+        orders = known.select(bucket, number("order_id"), "state", number("cum_qty"), number("total_qty"), F.col("total_qty").isNull().alias("no_total"))
+        begin = orders.groupBy("bucket").applyInPandas(begin_orders, "bucket int, orders binary").groupBy("bucket")
+    return rows.groupBy("bucket").transformWithStateInPandas(OrderStates(forget_ms), "order_id long, event_seq long, result string, state string, cum_qty long, total_qty long", "Update",
+                                                             "None" if forget_ms is None else "EventTime", begin)
 
 
 def stream_barrier(bars: DataFrame, symbols: list[str]) -> DataFrame:
