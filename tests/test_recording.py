@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from tickloom.operators import asof, bars
-from tickloom.sources import sinks
+from tickloom.operators import asof, bars, orders
+from tickloom.sources import sinks, views
 from tickloom.streaming import barrier
 from tickloom.streaming import stateful as st
 
@@ -191,3 +191,12 @@ def test_orders_of_a_bucket_are_decided_as_one_by_one(spark, tmp_path):
     got = [(r.order_id, r.event_seq, r.result, r.state, r.cum_qty, r.total_qty) for r in sent.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sorted(x for x in os.listdir(f"{tmp_path}/c/state/0") if x.isdigit()) == ["0", "1"]  # not the session's partitions
+
+
+def test_order_events_partitions_follow_the_files(spark, monkeypatch):
+    """Lines are dealt once, to fixed partitions of bounded size, in which the replay goes on."""
+    sf, each = "/root/testdata/sf0.001", 10_000
+    monkeypatch.setattr(views, "LINE_BYTES", each)
+    states = orders.replay(views.order_events(spark, sf))
+    assert states.rdd.getNumPartitions() == -(-os.path.getsize(f"{sf}/lineitem.parquet") // each) > 4
+    assert states._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1

@@ -83,22 +83,32 @@ def fills(spark, sf):
 TAILS = {1: ["PENDING_CANCEL"], 2: ["PENDING_CANCEL", "CANCELED"], 3: ["FILLED"], 4: ["CANCELED"], 5: ["REJECTED"], 6: ["PENDING"]}
 
 
+#: Bytes of the files of lines for each partition of the order events: a line becomes about two wide rows, and files of repeated values are small.
+LINE_BYTES = 4 << 20
+
+
 def order_events(spark, sf):
-    """PENDING, SUBMITTED, a partial fill for each line, then a tail. Odd orders are one short, so they over-fill; of every eleventh five are missing."""
+    """PENDING, SUBMITTED, a partial fill for each line, then a tail. Odd orders are one short, so they over-fill; of every eleventh five are missing.
+
+    Lines are dealt by order once and sorted once; an order's first line gives what comes before it, too, and its last one the tail. Partitions follow the files
+    and are not put together again, as compressed shuffles say little of what rows take in memory; what replays the events goes on in them."""
     l = table(spark, sf, "lineitem")  # noqa: E741
+    l = l.select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity").repartition(partitions(l, LINE_BYTES), "l_orderkey")  # noqa: E741
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    total = (F.sum("l_quantity").over(Window.partitionBy("l_orderkey")).cast("int") - F.when(F.col("l_orderkey") % 2 == 1, 1).otherwise(0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = (F.sum("l_quantity").over(whole).cast("int") - F.when(F.col("l_orderkey") % 2 == 1, 1).otherwise(0)
              + F.when(F.col("l_orderkey") % 11 == 0, 5).otherwise(0))
-    lines = l.select(F.col("l_orderkey").alias("order_id"), (F.row_number().over(w) + 2).cast("long").alias("event_seq"),
-                     F.lit("PARTIALLY_FILLED").alias("state"), F.col("l_quantity").cast("int").alias("delta_qty"), total.alias("total_qty"))
+    lines = l.select(F.col("l_orderkey").alias("order_id"), (F.row_number().over(w) + 2).cast("long").alias("seq"), (F.count(F.lit(1)).over(whole) + 2).alias("n"),
+                     F.col("l_quantity").cast("int").alias("qty"), total.alias("total_qty"))
     tail = F.array().cast("array<string>")
     for k, states in TAILS.items():
         tail = F.when(F.col("order_id") % 7 == k, F.array(*map(F.lit, states))).otherwise(tail)
-    event = lambda seq, state: F.struct(seq.cast("long").alias("event_seq"), state.alias("state"))
-    rest = lines.groupBy("order_id").agg(F.max("event_seq").alias("n"), F.max("total_qty").alias("total_qty")).select(
-        "order_id", "total_qty", F.explode(F.concat(F.array(event(F.lit(1), F.lit("PENDING")), event(F.lit(2), F.lit("SUBMITTED"))),
-                                                    F.transform(tail, lambda s, i: event(F.col("n") + i + 1, s)))).alias("e"))
-    events = rest.select("order_id", "e.event_seq", "e.state", F.lit(0).alias("delta_qty"), "total_qty").unionByName(lines)
+    event = lambda seq, state, qty: F.struct(seq.cast("long").alias("event_seq"), state.alias("state"), qty.cast("int").alias("delta_qty"))
+    none = F.array(event(F.lit(0), F.lit(""), F.lit(0)))
+    own = F.array(event(F.col("seq"), F.lit("PARTIALLY_FILLED"), F.col("qty")))
+    before = F.when(F.col("seq") == 3, F.array(event(F.lit(1), F.lit("PENDING"), F.lit(0)), event(F.lit(2), F.lit("SUBMITTED"), F.lit(0)))).otherwise(F.slice(none, 1, 0))
+    behind = F.when(F.col("seq") == F.col("n"), F.transform(tail, lambda s, i: event(F.col("n") + i + 1, s, F.lit(0)))).otherwise(F.slice(none, 1, 0))
+    events = lines.select("order_id", F.explode(F.concat(before, own, behind)).alias("e"), "total_qty").select("order_id", "e.*", "total_qty")
     return events.withColumns({"symbol": F.concat(F.lit("S"), (F.col("order_id") + F.col("event_seq")) % 5), "price": F.col("event_seq") * 1.5,
                                "correlation_id": F.concat_ws("-", "order_id", "event_seq")})
 
