@@ -9,6 +9,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, bars, orders
+from tickloom.plans import feeds
 from tickloom.sources import sinks, views
 from tickloom.streaming import barrier
 from tickloom.streaming import stateful as st
@@ -200,3 +201,9 @@ def test_order_events_partitions_follow_the_files(spark, monkeypatch):
     states = orders.replay(views.order_events(spark, sf))
     assert states.rdd.getNumPartitions() == -(-os.path.getsize(f"{sf}/lineitem.parquet") // each) > 4
     assert states._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_order_log_is_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "scratch", lambda spark: f"{tmp_path}/log")
+    rows = feeds.scan_order_events(spark, "/root/testdata/sf0.001").count()
+    assert sum(os.path.getsize(f"{tmp_path}/log/{f}") for f in os.listdir(f"{tmp_path}/log")) < 40 * rows

@@ -65,10 +65,10 @@ def eod_archive(spark, sf):
 
 @query(f"WITH {ORDER_EVENTS} SELECT order_id::VARCHAR AS order_id, event_seq, state, delta_qty, symbol, price, total_qty, correlation_id FROM ev")
 def scan_order_events(spark, sf):
-    """The log as JSON lines with status codes, with a blank line in each file, read back and decoded."""
+    """The log as JSON lines with status codes, with a blank line, in compressed files of at most a million lines, read back and decoded."""
     path = v.scratch(spark)
     coded = v.order_events(spark, sf).withColumn("state", o.encode_status(F.col("state")))
-    coded.select(F.to_json(F.struct(F.col("order_id").cast("string").alias("order_id"), *coded.columns[1:])).alias("value")).union(spark.createDataFrame([("",)], "value string")).write.text(path)
+    coded.select(F.to_json(F.struct(F.col("order_id").cast("string").alias("order_id"), *coded.columns[1:])).alias("value")).union(spark.createDataFrame([("",)], "value string")).write.option("compression", "gzip").option("maxRecordsPerFile", 1 << 20).text(path)
     return ingest.read_order_events(spark, path).withColumn("state", o.decode_status(F.col("state"))).select(
         "order_id", "event_seq", "state", "delta_qty", "symbol", "price", "total_qty", "correlation_id")
 
