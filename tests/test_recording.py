@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import asof, bars, orders
 from tickloom.plans import feeds
+from tickloom.plans import queries as plans
 from tickloom.sources import sinks, views
 from tickloom.streaming import barrier
 from tickloom.streaming import stateful as st
@@ -203,6 +204,17 @@ def test_order_events_partitions_follow_the_files(spark, monkeypatch):
     assert states._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
 
 
+def test_cancels_of_larger_tables_take_no_larger_tasks(spark, monkeypatch):
+    """Requests join in the partitions of the lines: ten times the tables give ten times the tasks."""
+    monkeypatch.setattr(views, "LINE_BYTES", 20_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as it is for large tables
+    try:
+        most = [max(plans.queries()["resolve_cancels"](spark, f"/root/testdata/sf{sf}").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) for sf in ("0.001", "0.01")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most[1] < 1.5 * most[0]
+
+
 def test_order_log_is_compressed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(views, "scratch", lambda spark: f"{tmp_path}/log")
     rows = feeds.scan_order_events(spark, "/root/testdata/sf0.001").count()
